@@ -2,4 +2,31 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+OP2 = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL
+), item_window AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[p : p + least(10, len(ws)) - 1], ' ') AS g
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS p FROM item WHERE len(ws) > 0)
+), doc_window AS (
+  SELECT rid, p, k, array_to_string(ws[p : p + k - 1], ' ') AS g
+  FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM doc, (SELECT DISTINCT k FROM item_window) WHERE len(ws) >= k)
+), met AS (
+  SELECT rid, p, k, item FROM doc_window JOIN item_window USING (k, g)
+), hit AS (
+  SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM met) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2}
