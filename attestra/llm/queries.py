@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, embeddings, hosts, packing, simhash, sql
-from attestra.llm.common import table
+from attestra.llm import chat, decontaminate, embeddings, hosts, language, packing, simhash, sql, toxicity
+from attestra.llm.common import fold, table
 
 
 #: The rules that every page is held against: verdict, host, path.
@@ -41,6 +41,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = fold(F.col("doc_id"), 4) == 2
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op5_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -65,13 +72,27 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~out))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id",
+        out.alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= 0.5).cast("int").alias("predicted"),
+        F.size("__offending").cast("long").alias("n_offending"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op5_hosts, op6_packing, op7_chat, op10_simhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_language, op5_hosts, op6_packing, op7_chat, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
