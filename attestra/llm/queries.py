@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, embeddings, hosts, language, packing, simhash, sql, toxicity
+from attestra.llm import chat, decontaminate, embeddings, hosts, katz, language, packing, simhash, sql, toxicity
 from attestra.llm.common import fold, table
 
 
@@ -48,6 +48,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op5_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -92,7 +96,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_language, op5_hosts, op6_packing, op7_chat, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_language, op4_katz, op5_hosts, op6_packing, op7_chat, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
