@@ -236,12 +236,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_cut(t, s) if s else t for t, s in zip(batch["text"].to_pylist(), batch["__spans"].to_pylist(), strict=True)]
-            columns = {name: batch[name] for name in batch.schema.names if not name.startswith("__")}
-            columns["text"] = pa.array(texts, batch["text"].type)
+            columns = {name: batch[name] for name in batch.schema.names if name != "__spans"}
+            cut = {i: _cut(batch["text"][i].as_py(), s) for i, s in enumerate(batch["__spans"].to_pylist()) if s}
+            if cut:
+                columns["text"] = pa.array([cut.get(i, t) for i, t in enumerate(batch["text"].to_pylist())], batch["text"].type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(cut[i]) if i in cut else n for i, n in enumerate(batch["n_chars"].to_pylist())], batch["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    dirty = kept.where("size(__spans) > 0").select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.where("size(__spans) = 0").select(*docs.columns).unionByName(dirty)
+    return kept.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)

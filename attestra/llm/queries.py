@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, embeddings, hosts, katz, language, packing, simhash, sql, toxicity
+from attestra.llm import chat, decontaminate, embeddings, hosts, katz, language, packing, secrets, simhash, sql, toxicity
 from attestra.llm.common import fold, table
 
 
@@ -90,13 +90,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_language, op4_katz, op5_hosts, op6_packing, op7_chat, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_embeddings, op2_decontaminate, op3_language, op4_katz, op5_hosts, op6_packing, op7_chat, op8_toxicity, op9_secrets, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
