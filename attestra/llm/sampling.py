@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 SPAN = 1 << 62
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int) -> list[Row]:
-    """About ``per_label`` rows of each label at most (all, where there are fewer), chosen by a hash of id and text.
+def labelled_sample(rows: DataFrame, label: str, per_label: int, by: tuple[str, ...] = ("doc_id", "text")) -> list[Row]:
+    """About ``per_label`` rows of each label at most (all, where there are fewer), chosen by a hash of the columns ``by``.
 
     The share of each label that is wanted follows from its count, so one scan without a shuffle of
     texts finds the rows; the hash order then bounds them. The choice doesn't depend on partitions.
@@ -17,7 +17,7 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int) -> list[Row]:
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row for each label
     if not counts:
         return []
-    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    mark = F.shiftrightunsigned(F.xxhash64(*by), 2)
     limit = F.lit(0).cast("long")
     for value, n in counts.items():
         share = min(1.0, 1.25 * per_label / n)

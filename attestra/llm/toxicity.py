@@ -9,6 +9,7 @@ L1 penalty that leaves most at zero, and the trained sentence scores then tell w
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,6 +51,12 @@ def noisy_or(scores: list[float]) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(np.array(scores), 1 - 1e-12)).sum())) if scores else 0.0
 
 
+def _sentences(text: str | None) -> Iterator[set[bytes]]:
+    for m in SENTENCE.finditer(text or ""):
+        if words := set(m.group().encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()):
+            yield words
+
+
 def train(texts: list[str | None], labels: list[int], prevalence: float, rounds: int = ROUNDS, step: float = STEP, l1: float = L1) -> ToxicityModel:
     """Fits word weights to document labels; without both labels every score is about 0 or all alike.
 
@@ -59,17 +66,19 @@ def train(texts: list[str | None], labels: list[int], prevalence: float, rounds:
     y = np.array(labels, bool)
     if not y.any() or y.all():
         return ToxicityModel(-40.0 if not y.any() else 40.0, {})
-    bags = [[s for m in SENTENCE.finditer(t or "") if (s := set(m.group().encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()))] for t in texts]
-    seen = Counter(w for bag in bags for w in set().union(*bag))
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update(set().union(*_sentences(t)))
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCUMENTS))}
-    words, at, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    del seen
+    words, at, owner = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for s in _sentences(t):
             ids = [vocabulary[w] for w in s if w in vocabulary]
-            words += ids
-            at += [len(owner)] * len(ids)
+            words.extend(ids)
+            at.extend([len(owner)] * len(ids))
             owner.append(d)
-    words, at, owner = np.array(words, np.int64), np.array(at, np.int64), np.array(owner, np.int64)
+    words, at, owner = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (words, at, owner))
     share = np.where(y, prevalence / y.sum(), (1 - prevalence) / (~y).sum())
     weights, bias = np.zeros(len(vocabulary)), -np.log(2.0 * max(len(owner) / len(y), 1))
     square, square_b = np.full(len(vocabulary), 1e-8), 1e-8
@@ -95,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) ->
     ``labels``: doc_id and toxic (0 or 1; null rows are left out). An id with both labels counts as toxic.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = labelled_sample(docs.select("doc_id", "text").join(known, "doc_id"), "toxic", per_label)
+    chosen = docs.sparkSession.createDataFrame(labelled_sample(known, "toxic", per_label, ("doc_id",)), known.schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text")).collect()  # 4 * per_label ids at most
     counts = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], (counts["toxic"] or 0) / max(counts["n"], 1))
 
