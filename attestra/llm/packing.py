@@ -11,9 +11,11 @@ most j - 1 pieces, a number that depends on the classes alone) goes to one best-
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ END_ID = 2
 FILL = 63 / 64
 #: Pieces of so many tokens or fewer are not cut.
 LEAST_PIECE = 32
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def classes(capacity: int = CAPACITY) -> list[int]:
@@ -55,11 +57,20 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
     return pieces
 
 
+#: A letter of plain Latin text, as UTF-8; the tokenizer takes a run of them as one word.
+LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+WORD = re.compile(rb"(?<![^ ])" + LETTER + rb"+(?![^ ])")
+#: Punctuation after such a letter; without the apostrophe, which the tokenizer joins with some letters.
+MARK = re.compile(rb"[.,;:!?*#$%&()-](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+
+
 class CachedEncoder:
-    """Ids of texts as little-endian 32-bit bytes; what white space separates is encoded once.
+    """Ids of texts as little-endian 32-bit bytes; a part of a text is encoded once.
 
-    The tokenizer drops white space and joins nothing across it, so the ids of a text are those of
-    its parts in order. The cache is emptied when it holds ``CACHE_WORDS`` parts.
+    The tokenizer lower-cases, drops white space and joins nothing across it, nor letters with the
+    punctuation after them, so the ids of a text are those of its parts in order. Plain Latin words
+    are encoded many at a time and told apart by the ids that end a word. Texts with a control
+    string's opening go to the tokenizer whole. The cache is emptied when it holds ``CACHE_WORDS`` parts.
     """
 
     def __init__(self, path: str):
@@ -67,17 +78,41 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: set[bytes]) -> None:
+        words = WORD.findall(b" ".join(parts))
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.cache.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        for part in parts.difference(words):
+            self.cache[part] = self._whole(part.decode("utf-8"))
 
     def encode(self, text: str) -> bytes:
-        parts = text.encode("utf-8").split()
+        if "<|" in text:
+            return self._whole(text)
+        parts = MARK.sub(rb" \g<0>", text.encode("utf-8").lower()).split()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = list(set(parts).difference(self.cache))
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False), strict=True):
-                self.cache[part] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, parts))
+        found = list(map(self.cache.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            self._learn({parts[i] for i in missing})
+            for i in missing:
+                found[i] = self.cache[parts[i]]
+        return b"".join(found)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> CachedEncoder:
+    """One encoder for each worker, whose cache serves all its tasks."""
+    return CachedEncoder(path)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, place long"
@@ -85,7 +120,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, part, places = CachedEncoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
+        encoder, end, part, places = encoder_of(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
         cuts: dict[int, list] = {}
         for batch in batches:
             rows = []
