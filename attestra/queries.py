@@ -5,15 +5,256 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestra.model import ORD, All, AnyOf, ColumnRef, Condition, Dataset, Leaf, Literal, Not, Values
+from attestra.operators import joins, operations
+from attestra.operators.conditions import violations
+from attestra.plans.batch import batch_issues
+from attestra.plans.rules import parse_condition, parse_rule
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+ORDERS = {
+    "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"],
+    "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"], "nation": ["n_nationkey"], "region": ["r_regionkey"],
+}
+
+
+def dataset(spark: SparkSession, sf_dir: str, name: str) -> Dataset:
+    """A test table; its rows' order is that of its key columns, as a struct where there are several."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = ORDERS[name]
+    return Dataset(name, df.withColumn(ORD, F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)), name.upper())
+
+
+def dated(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Orders with texts of whole, partial and impossible dates, d and e, and of durations, p."""
+    ds = dataset(spark, sf_dir, "orders")
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    d = F.when(k % 9 == 1, F.substring(day, 1, 4)).when(k % 9 == 2, F.substring(day, 1, 7)).when(k % 9 == 3, F.concat(F.substring(day, 1, 8), F.lit("31"))).when(k % 9 == 4, F.concat(day, F.lit("T10:30")))
+    d = d.when(k % 9 == 5, F.lit("")).when(k % 9 == 6, F.lit(None)).when(k % 9 == 7, F.concat(day, F.lit("T25:00"))).when(k % 9 == 8, F.concat(day, F.lit("T07"))).otherwise(day)
+    p = F.element_at(F.array(*map(F.lit, ["P1D", "PT5M", "P", "1D", "P1Y2M3DT4H", "P3W", "P1W2D", "P1DT"])), (k % 8 + 1).cast("int"))
+    return ds.with_df(ds.df.select("o_orderkey", "o_custkey", "o_orderdate", d.alias("d"), F.concat(F.substring(day, 1, 5), F.lit("07-01")).alias("e"), p.alias("p"), ORD))
+
+
+DATED = """(SELECT o_orderkey, o_custkey, substr(day, 1, 5) || '07-01' AS e, CASE o_orderkey % 9 WHEN 1 THEN substr(day, 1, 4) WHEN 2 THEN substr(day, 1, 7) WHEN 3 THEN substr(day, 1, 8) || '31'
+ WHEN 4 THEN day || 'T10:30' WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN day || 'T25:00' WHEN 8 THEN day || 'T07' ELSE day END AS d,
+ ['P1D', 'PT5M', 'P', '1D', 'P1Y2M3DT4H', 'P3W', 'P1W2D', 'P1DT'][CAST(o_orderkey % 8 + 1 AS INT)] AS p
+ FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders))"""
+DATE_KEY = "CASE WHEN try_cast(substr({0}, 1, 10) AS DATE) IS NOT NULL AND length({0}) = 10 THEN {0} || 'T00:00' WHEN try_cast(substr({0}, 1, 10) AS DATE) IS NOT NULL AND regexp_matches({0}, 'T([01][0-9]|2[0-3]):[0-5][0-9]') THEN {0} WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}') THEN {0} || '-01T00:00' WHEN regexp_full_match({0}, '[0-9]{{4}}') THEN {0} || '-01-01T00:00' END"
+
+
+def listed(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Users with the list of their event types in order, and a second list."""
+    ds = dataset(spark, sf_dir, "events")
+    lists = ds.df.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("value") > 120, F.col("event_type")))), "|").alias("high"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("value") < 2, F.col("event_type")))), "|").alias("low"))
+    return Dataset("lists", lists.withColumn(ORD, F.col("user_id")), "L")
+
+
+LISTED = "(SELECT user_id, coalesce(string_agg(DISTINCT event_type, '|' ORDER BY event_type) FILTER (value > 120), '') AS high, coalesce(string_agg(DISTINCT event_type, '|' ORDER BY event_type) FILTER (value < 2), '') AS low FROM events GROUP BY user_id)"
+SPLIT = "list_filter(string_split({0}, '|'), lambda x: x <> '')"
+
+
+def padded(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Events with a text column that is empty or null in places, and enumerated columns."""
+    ds = dataset(spark, sf_dir, "events")
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.lit("")).otherwise(F.col("event_type"))
+    return ds.with_df(ds.df.withColumns({"note": text, "x": F.col("event_type"), "x1": F.when(k % 3 > 0, F.lit("a")), "x2": F.when(k % 4 > 1, F.lit("b"))}))
+
+
+PADDED = "(SELECT *, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END AS note, event_type AS x, CASE WHEN event_id % 3 > 0 THEN 'a' END AS x1, CASE WHEN event_id % 4 > 1 THEN 'b' END AS x2 FROM events)"
+
+
+def flagged(source: Callable[[SparkSession, str], Dataset] | str, keys: list[str], condition: Condition, presence: bool | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds = dataset(spark, sf_dir, source) if isinstance(source, str) else source(spark, sf_dir)
+        return violations(ds, condition, presence).where("__mask").select(*keys)
+
+    return run
+
+
+def leaf(target: str, operator: str, value: object = None, **options: object) -> Leaf:
+    comparator = value if isinstance(value, (Literal, ColumnRef, Values)) else Values(tuple(value)) if isinstance(value, list) else Literal(value)
+    return Leaf(target, operator, comparator, options)
+
+
+FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+COUNTED = "SELECT event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE n {0}"
+
+#: name: (table, key columns, condition, SQL)
+CONDITIONS: dict[str, tuple] = {
+    "exists": (padded, ["event_id"], leaf("note", "exists"), f"SELECT event_id FROM {PADDED} WHERE note IS NOT NULL"),
+    "not_exists": (padded, ["event_id"], leaf("note", "not_exists"), f"SELECT event_id FROM {PADDED} WHERE note IS NULL"),
+    "is_empty": (padded, ["event_id"], leaf("note", "empty"), f"SELECT event_id FROM {PADDED} WHERE note IS NULL OR note = ''"),
+    "is_not_empty": (padded, ["event_id"], leaf("note", "non_empty"), f"SELECT event_id FROM {PADDED} WHERE NOT (note IS NULL OR note = '')"),
+    "equal_to": ("orders", ["o_orderkey"], leaf("o_orderstatus", "equal_to", "F"), "SELECT o_orderkey FROM orders WHERE o_orderstatus IS NOT DISTINCT FROM 'F'"),
+    "not_equal_to": (padded, ["event_id"], leaf("note", "not_equal_to", ColumnRef("event_type")), f"SELECT event_id FROM {PADDED} WHERE note IS DISTINCT FROM event_type"),
+    "equal_to_case_insensitive": ("customer", ["c_custkey"], leaf("c_mktsegment", "equal_to_case_insensitive", "Building"), f"SELECT c_custkey FROM customer WHERE {FOLD.format('c_mktsegment')} = 'building'"),
+    "not_equal_to_case_insensitive": ("customer", ["c_custkey"], leaf("c_mktsegment", "not_equal_to_case_insensitive", "Building"), f"SELECT c_custkey FROM customer WHERE {FOLD.format('c_mktsegment')} IS DISTINCT FROM 'building'"),
+    "equal_to_membership": ("orders", ["o_orderkey"], leaf("o_orderstatus", "equal_to", "F| P"), "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')"),
+    "equal_to_type_insensitive": ("part", ["p_partkey"], leaf("p_size", "equal_to", "7.0", type_insensitive=True), "SELECT p_partkey FROM part WHERE p_size = 7"),
+    "contains": ("part", ["p_partkey"], leaf("p_name", "contains", "ring"), "SELECT p_partkey FROM part WHERE contains(p_name, 'ring')"),
+    "does_not_contain": (padded, ["event_id"], leaf("note", "does_not_contain", "ch"), f"SELECT event_id FROM {PADDED} WHERE NOT coalesce(contains(note, 'ch'), false)"),
+    "contains_case_insensitive": ("part", ["p_partkey"], leaf("p_type", "contains_case_insensitive", "mo"), f"SELECT p_partkey FROM part WHERE contains({FOLD.format('p_type')}, 'mo')"),
+    "does_not_contain_case_insensitive": ("part", ["p_partkey"], leaf("p_type", "does_not_contain_case_insensitive", "mo"), f"SELECT p_partkey FROM part WHERE NOT contains({FOLD.format('p_type')}, 'mo')"),
+    "contains_in_list": (listed, ["user_id"], leaf("high", "contains", "view"), f"SELECT user_id FROM {LISTED} WHERE CASE WHEN contains(high, '|') THEN list_contains(string_split(high, '|'), 'view') ELSE contains(high, 'view') END"),
+    "is_contained_by": ("orders", ["o_orderkey"], leaf("o_orderpriority", "is_contained_by", ["1-URGENT", "2-HIGH"]), "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+    "is_not_contained_by": (padded, ["event_id"], leaf("note", "is_not_contained_by", ["view", "click"]), f"SELECT event_id FROM {PADDED} WHERE NOT coalesce(note IN ('view', 'click'), false)"),
+    "is_contained_by_case_insensitive": ("orders", ["o_orderkey"], leaf("o_orderpriority", "is_contained_by_case_insensitive", ["1-urgent", "2-High"]), f"SELECT o_orderkey FROM orders WHERE {FOLD.format('o_orderpriority')} IN ('1-urgent', '2-high')"),
+    "is_not_contained_by_case_insensitive": ("orders", ["o_orderkey"], leaf("o_orderpriority", "is_not_contained_by_case_insensitive", ["1-urgent", "2-High"]), f"SELECT o_orderkey FROM orders WHERE {FOLD.format('o_orderpriority')} NOT IN ('1-urgent', '2-high')"),
+    "contains_all": (listed, ["user_id"], leaf("high", "contains_all", ["click", "view"]), f"SELECT user_id FROM {LISTED} WHERE list_has_all(list_append(string_split(high, '|'), high), ['click', 'view'])"),
+    "not_contains_all": (listed, ["user_id"], leaf("high", "not_contains_all", ColumnRef("low")), f"SELECT user_id FROM {LISTED} WHERE NOT list_has_all(list_append(string_split(high, '|'), high), {SPLIT.format('low')})"),
+    "shares_no_elements_with": (listed, ["user_id"], leaf("high", "shares_no_elements_with", ColumnRef("low")), f"SELECT user_id FROM {LISTED} WHERE NOT list_has_any({SPLIT.format('high')}, {SPLIT.format('low')})"),
+    "is_not_ordered_subset_of": (listed, ["user_id"], leaf("low", "is_not_ordered_subset_of", ColumnRef("high")), f"SELECT user_id FROM {LISTED} WHERE NOT list_has_all({SPLIT.format('high')}, {SPLIT.format('low')})"),
+    "less_than": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], leaf("l_quantity", "less_than", 5), "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity < 5"),
+    "less_than_or_equal_to": ("part", ["p_partkey"], leaf("p_size", "less_than_or_equal_to", "9"), "SELECT p_partkey FROM part WHERE p_size <= 9"),
+    "greater_than": ("orders", ["o_orderkey"], leaf("o_orderpriority", "greater_than", "3"), "SELECT o_orderkey FROM orders WHERE o_orderpriority > '3'"),
+    "greater_than_or_equal_to": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], leaf("l_discount", "greater_than_or_equal_to", ColumnRef("l_tax")), "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_discount >= l_tax"),
+    "matches_regex": ("part", ["p_partkey"], leaf("p_brand", "matches_regex", "#1[0-5]$"), "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#1[0-5]$')"),
+    "does_not_match_regex": (padded, ["event_id"], leaf("note", "does_not_match_regex", "^[a-p]"), f"SELECT event_id FROM {PADDED} WHERE NOT coalesce(regexp_matches(note, '^[a-p]'), false)"),
+    "not_matches_regex": ("supplier", ["s_suppkey"], leaf("s_name", "not_matches_regex", "Supplier#0+[1-9]"), "SELECT s_suppkey FROM supplier WHERE NOT regexp_full_match(s_name, 'Supplier#0+[1-9]')"),
+    "longer_than": ("documents", ["doc_id"], leaf("text", "longer_than", 3000), "SELECT doc_id FROM documents WHERE length(text) > 3000"),
+    "starts_with": ("part", ["p_partkey"], leaf("p_name", "starts_with", "small"), "SELECT p_partkey FROM part WHERE starts_with(p_name, 'small')"),
+    "prefix_not_equal_to": (padded, ["event_id"], leaf("note", "prefix_not_equal_to", "v"), f"SELECT event_id FROM {PADDED} WHERE note <> '' AND NOT starts_with(note, 'v')"),
+    "prefix_equal_to": ("part", ["p_partkey"], leaf("p_type", "prefix_equal_to", "ST", prefix=2), "SELECT p_partkey FROM part WHERE left(p_type, 2) = 'ST'"),
+    "not_prefix_matches_regex": (padded, ["event_id"], leaf("note", "not_prefix_matches_regex", "^[a-e]i", prefix=3), f"SELECT event_id FROM {PADDED} WHERE note <> '' AND NOT regexp_matches(left(note, 3), '^[a-e]i')"),
+    "prefix_is_not_contained_by": ("part", ["p_partkey"], leaf("p_type", "prefix_is_not_contained_by", ["PRO", "SMA"], prefix=3), "SELECT p_partkey FROM part WHERE left(p_type, 3) NOT IN ('PRO', 'SMA')"),
+    "suffix_is_not_contained_by": ("part", ["p_partkey"], leaf("p_type", "suffix_is_not_contained_by", ["MO", "RD"], suffix=2), "SELECT p_partkey FROM part WHERE right(p_type, 2) NOT IN ('MO', 'RD')"),
+    "ends_with": ("part", ["p_partkey"], leaf("p_name", "ends_with", "ring"), "SELECT p_partkey FROM part WHERE ends_with(p_name, 'ring')"),
+    "suffix_matches_regex": ("supplier", ["s_suppkey"], leaf("s_name", "suffix_matches_regex", "^[0-4]5$", suffix=2), "SELECT s_suppkey FROM supplier WHERE regexp_matches(right(s_name, 2), '^[0-4]5$')"),
+    "not_suffix_matches_regex": ("supplier", ["s_suppkey"], leaf("s_name", "not_suffix_matches_regex", "^[0-4]5$", suffix=2), "SELECT s_suppkey FROM supplier WHERE NOT regexp_matches(right(s_name, 2), '^[0-4]5$')"),
+    "is_complete_date": (dated, ["o_orderkey"], leaf("d", "is_complete_date"), f"SELECT o_orderkey FROM {DATED} WHERE try_cast(substr(d, 1, 10) AS DATE) IS NOT NULL AND (length(d) = 10 OR regexp_matches(d, 'T([01][0-9]|2[0-3]):[0-5][0-9]'))"),
+    "is_incomplete_date": (dated, ["o_orderkey"], leaf("d", "is_incomplete_date"), f"SELECT o_orderkey FROM {DATED} WHERE d = '' OR length(d) IN (4, 7) OR (length(d) = 13 AND try_cast(substr(d, 1, 10) AS DATE) IS NOT NULL)"),
+    "invalid_date": (dated, ["o_orderkey"], leaf("d", "invalid_date"), f"SELECT o_orderkey FROM {DATED} WHERE length(d) > 7 AND (try_cast(substr(d, 1, 10) AS DATE) IS NULL OR regexp_matches(d, 'T25'))"),
+    "invalid_duration": (dated, ["o_orderkey"], leaf("p", "invalid_duration"), f"SELECT o_orderkey FROM {DATED} WHERE p IN ('P', '1D', 'P1W2D')"),
+    "target_is_not_sorted_by": (
+        "events", ["event_id"], leaf("value", "target_is_not_sorted_by", [{"name": "event_type"}], within="user_id"),
+        "SELECT event_id FROM (SELECT event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi, min(value) OVER (PARTITION BY user_id ORDER BY b RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS b FROM events)) WHERE hi > value OR lo < value",
+    ),
+    "empty_within_except_last_row": (padded, ["event_id"], leaf("note", "empty_within_except_last_row", ColumnRef("user_id"), ordering="event_id"), f"SELECT event_id FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM {PADDED}) WHERE event_id <> last AND (note IS NULL OR note = '')"),
+    "does_not_have_next_corresponding_record": ("events", ["event_id"], leaf("event_type", "does_not_have_next_corresponding_record", ColumnRef("event_type"), ordering="event_id", within="user_id"), "SELECT event_id FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS e FROM events) WHERE e IS NOT NULL AND e <> event_type"),
+    "not_present_on_multiple_rows_within": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], leaf("l_returnflag", "not_present_on_multiple_rows_within", None, within="l_orderkey"), "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS n FROM lineitem) WHERE n = 1"),
+    "inconsistent_enumerated_columns": (padded, ["event_id"], leaf("x", "inconsistent_enumerated_columns"), f"SELECT event_id FROM {PADDED} WHERE x1 IS NULL AND x2 IS NOT NULL"),
+    "is_not_unique_set": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], leaf("l_orderkey", "is_not_unique_set", ["l_linenumber"]), "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1"),
+    "is_unique_set": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], leaf("l_orderkey", "is_unique_set", ["l_linenumber"]), "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1"),
+    "is_not_unique_relationship": ("supplier", ["s_suppkey"], leaf("s_nationkey", "is_not_unique_relationship", ColumnRef("s_name"), direction="target_to_comparator"), "SELECT s_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE n > 1"),
+    "is_inconsistent_across_dataset": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], leaf("l_linestatus", "is_inconsistent_across_dataset", ["l_orderkey"]), "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, min(l_linestatus) OVER (PARTITION BY l_orderkey) AS a, max(l_linestatus) OVER (PARTITION BY l_orderkey) AS b FROM lineitem) WHERE a <> b"),
+    "does_not_equal_string_part": ("pages", ["page_id"], leaf("url", "does_not_equal_string_part", ColumnRef("url"), regex="^(https?://[^?#]*)"), "SELECT page_id FROM pages WHERE regexp_matches(url, '^(https?://[^?#]*)') AND url <> regexp_extract(url, '^(https?://[^?#]*)', 1)"),
+    "all_any_not": (
+        "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], All((AnyOf((leaf("l_returnflag", "equal_to", "R"), leaf("l_quantity", "greater_than", 45))), Not(leaf("l_linestatus", "equal_to", "O")))),
+        "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_returnflag = 'R' OR l_quantity > 45) AND NOT l_linestatus = 'O'",
+    ),
+    "expression_text": ("customer", ["c_custkey"], parse_condition('c_mktsegment in ["BUILDING", "MACHINERY"] and (c_nationkey > 20 or $not(c_acctbal >= 0))'), "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND (c_nationkey > 20 OR NOT c_acctbal >= 0)"),
+}
+for _name, _sign in (("equal_to", "="), ("not_equal_to", "<>"), ("less_than", "<"), ("less_than_or_equal_to", "<="), ("greater_than", ">"), ("greater_than_or_equal_to", ">=")):
+    CONDITIONS[f"date_{_name}"] = (dated, ["o_orderkey"], leaf("d", f"date_{_name}", ColumnRef("e")), f"SELECT o_orderkey FROM {DATED} WHERE {DATE_KEY.format('d')} {_sign} {DATE_KEY.format('e')}")
+
+
+def operated(source: Callable[[SparkSession, str], Dataset] | str, columns: list[str], *specs: dict, others: tuple[str, ...] = ()) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds = dataset(spark, sf_dir, source) if isinstance(source, str) else source(spark, sf_dir)
+        context = operations.Context([ds, *[dataset(spark, sf_dir, o) for o in others]], parse_condition)
+        for spec in specs:
+            ds = operations.apply(ds, spec, context)
+        return ds.df.select(*[F.round(c, 4).alias(c) if ds.df.schema[c].dataType.typeName() == "double" else F.col(c) for c in columns])
+
+    return run
+
+
+OPEN = {"operator": "filter", "where": {"name": "o_orderstatus", "operator": "equal_to", "value": "O", "value_is_literal": True}}
+LINES = ["l_orderkey", "l_linenumber", "l_partkey"]
+LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
+
+OPERATED: dict[str, tuple[Query, str]] = {
+    "filter": (operated("orders", ["o_orderkey", "o_totalprice"], OPEN), "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders WHERE o_orderstatus = 'O'"),
+    "derive": (operated("part", ["p_partkey", "flag", "kind", "said"], {"operator": "derive", "target": "flag", "value": "Y"}, {"operator": "derive", "target": "kind", "from": "p_type"}, {"operator": "derive", "target": "said", "expression": '$concat($lowercase(p_type), "-", $uppercase(p_name))'}), "SELECT p_partkey, 'Y' AS flag, p_type AS kind, lower(p_type) || '-' || upper(p_name) AS said FROM part"),
+    "aggregate_count": (operated("lineitem", [*LINES, "n"], {"operator": "aggregate", "by": ["l_orderkey"], "as": "n"}), "SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"),
+    "aggregate_count_filtered": (operated("lineitem", [*LINES, "n"], {"operator": "aggregate", "by": ["l_orderkey"], "as": "n", "filter": {"l_returnflag": "R"}}), "SELECT l_orderkey, l_linenumber, l_partkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS BIGINT) AS n FROM lineitem"),
+    "aggregate_sum": (operated("lineitem", [*LINES, "s"], {"operator": "aggregate", "function": "sum", "source_column": "l_quantity", "by": ["l_orderkey"], "as": "s"}), "SELECT l_orderkey, l_linenumber, l_partkey, round(sum(l_quantity) OVER (PARTITION BY l_orderkey), 4) AS s FROM lineitem"),
+    "aggregate_mean": (operated("orders", ["o_orderkey", "m"], {"operator": "aggregate", "function": "avg", "source_column": "o_custkey", "by": ["o_orderpriority"], "as": "m"}), "SELECT o_orderkey, round(avg(o_custkey) OVER (PARTITION BY o_orderpriority), 4) AS m FROM orders"),
+    "aggregate_min_max": (operated("events", ["event_id", "lo", "hi"], {"operator": "aggregate", "function": "min", "source_column": "value", "by": ["user_id"], "as": "lo"}, {"operator": "aggregate", "function": "max", "source_column": "value", "by": ["user_id"], "as": "hi"}), "SELECT event_id, round(min(value) OVER (PARTITION BY user_id), 4) AS lo, round(max(value) OVER (PARTITION BY user_id), 4) AS hi FROM events"),
+    "aggregate_count_distinct": (operated("events", ["event_id", "n"], {"operator": "aggregate", "function": "distinct_count", "source_column": "event_type", "by": ["user_id"], "as": "n"}), "SELECT event_id, n FROM events JOIN (SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY user_id) USING (user_id)"),
+    "min_group": (operated("events", ["event_id", "first"], {"operator": "min", "name": "event_type", "by": ["user_id"], "as": "first"}), "SELECT event_id, min(event_type) OVER (PARTITION BY user_id) AS first FROM events"),
+    "max_external": (operated("customer", ["c_custkey", "latest"], {"operator": "max", "name": "o_orderpriority", "dataset": "orders", "group": ["o_custkey"], "group_aliases": ["c_custkey"], "as": "latest"}, others=("orders",)), "SELECT c_custkey, latest FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS latest FROM orders GROUP BY 1) ON o_custkey = c_custkey"),
+    "record_count_external": (operated("nation", ["n_nationkey", "n"], {"operator": "record_count", "dataset": "customer", "group": ["c_nationkey"], "group_aliases": ["n_nationkey"], "as": "n"}, others=("customer",)), "SELECT n_nationkey, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey"),
+    "sort": (operated("customer", ["c_custkey", "place"], {"operator": "sort", "by": ["c_mktsegment", "c_nationkey"], "descending": True}, {"operator": "row_number", "as": "place"}), "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_nationkey DESC, c_custkey) AS place FROM customer"),
+    "select_drop_rename": (operated("supplier", ["id", "s_acctbal"], {"operator": "select", "columns": ["s_suppkey", "s_name", "s_acctbal"]}, {"operator": "drop", "columns": ["S_NAME"]}, {"operator": "rename", "mapping": {"s_suppkey": "id"}}), "SELECT s_suppkey AS id, round(s_acctbal, 4) AS s_acctbal FROM supplier"),
+    "distinct_rows": (operated("orders", ["o_custkey", "o_orderkey"], {"operator": "distinct", "by": ["o_custkey"]}), "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1"),
+    "distinct_values": (operated("events", ["event_id", "types"], {"operator": "distinct", "name": "event_type", "by": ["user_id"], "id": "types"}), "SELECT event_id, types FROM events JOIN (SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS types FROM events GROUP BY 1) USING (user_id)"),
+    "distinct_reference": (operated("customer", ["c_custkey", "said"], {"operator": "distinct", "name": "o_orderstatus", "dataset": "orders", "group": ["o_custkey"], "group_aliases": ["c_custkey"], "id": "said"}, others=("orders",)), "SELECT c_custkey, coalesce(said, '') AS said FROM customer LEFT JOIN (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS said FROM orders GROUP BY 1) ON o_custkey = c_custkey"),
+    "row_number": (operated("lineitem", [*LINES, "k"], {"operator": "row_number", "by": ["l_suppkey"], "as": "k"}), f"SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY {LINE_ORDER}) AS k FROM lineitem"),
+    "study_day": (operated(dated, ["o_orderkey", "dy"], {"operator": "dy", "name": "d", "reference": "e", "id": "dy"}), f"SELECT o_orderkey, CAST(CASE WHEN n >= 0 THEN n + 1 ELSE n END AS INT) AS dy FROM (SELECT o_orderkey, CAST(date_diff('day', try_cast(e AS DATE), CASE WHEN length(d) >= 10 THEN try_cast(substr(d, 1, 10) AS DATE) END) AS INT) AS n FROM {DATED})"),
+    "map": (operated("orders", ["o_orderkey", "speed"], {"operator": "map", "id": "speed", "map": [{"o_orderpriority": "1-URGENT", "o_orderstatus": "O", "output": "now"}, {"o_orderpriority": "1-URGENT", "output": "soon"}, {"o_orderpriority": "5-LOW", "output": "later"}]}), "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'now' WHEN o_orderpriority = '1-URGENT' THEN 'soon' WHEN o_orderpriority = '5-LOW' THEN 'later' ELSE '' END AS speed FROM orders"),
+    "split_by": (operated("part", ["p_partkey", "words"], {"operator": "split_by", "name": "p_name", "delimiter": " ", "id": "words"}), "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), '|') AS words FROM part"),
+    "metadata_columns": (operated("nation", ["n_nationkey", "domains", "counted", "title"], {"operator": "study_domains", "id": "domains"}, {"operator": "variable_count", "name": "n_name", "id": "counted"}, {"operator": "extract_metadata", "name": "dataset_name", "id": "title"}, others=("region",)), "SELECT n_nationkey, 'NATION|REGION' AS domains, 1 AS counted, 'nation' AS title FROM nation"),
+}
+
+
+def joined(how: str, left: str, right: str, left_by: list[str], right_by: list[str], columns: dict[str, str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds = joins.join(dataset(spark, sf_dir, left), dataset(spark, sf_dir, right), how, left_by, right_by)
+        return ds.df.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
+
+    return run
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a join in left order, then right order, with their place."""
+    ds = joins.join(dataset(spark, sf_dir, "nation"), dataset(spark, sf_dir, "supplier"), "left_join", ["n_nationkey"], ["s_nationkey"])
+    return ds.df.select("n_nationkey", F.col("`supplier.s_suppkey`").alias("s_suppkey"), F.col(ORD).cast("long").alias("place"))
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lookups in turn."""
+    ds = joins.join(joins.join(dataset(spark, sf_dir, "customer"), dataset(spark, sf_dir, "nation"), "lookup", ["c_nationkey"], ["n_nationkey"]), dataset(spark, sf_dir, "region"), "lookup", ["nation.n_regionkey"], ["r_regionkey"])
+    return ds.df.select("c_custkey", F.col("`nation.n_name`").alias("n_name"), F.col("`region.r_name`").alias("r_name"))
+
+
+JOINED: dict[str, tuple[Query, str]] = {
+    "left_join": (joined("left_join", "documents", "labels", ["doc_id"], ["doc_id"], {"doc_id": "doc_id", "labels.toxic": "toxic"}), "SELECT d.doc_id, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "inner_join": (joined("inner_join", "orders", "customer", ["o_custkey"], ["c_custkey"], {"o_orderkey": "o_orderkey", "customer.c_mktsegment": "segment"}), "SELECT o_orderkey, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "semi_join": (joined("semi_join", "documents", "labels", ["doc_id"], ["doc_id"], {"doc_id": "doc_id"}), "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
+    "anti_join": (joined("anti_join", "documents", "labels", ["doc_id"], ["doc_id"], {"doc_id": "doc_id"}), "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
+    "join_positions": (positions, "SELECT n_nationkey, s_suppkey, row_number() OVER (ORDER BY n_nationkey, s_suppkey) AS place FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey"),
+    "match_datasets": (matched, "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"),
+}
+
+#: Rules in the loader's own form, as a rule file would hold them.
+LINE_RULES = [
+    {"Core": {"Id": "LINE-1"}, "Rule Type": "Record Data", "Sensitivity": "Record", "Outcome": {"Message": "unknown flag"}, "Check": {"all": [{"name": "l_returnflag", "operator": "is_not_contained_by", "value": ["A", "N"]}, {"name": "l_quantity", "operator": "less_than", "value": 10}]}},
+    {"Core": {"Id": "LINE-2"}, "Rule Type": "Record Data", "Sensitivity": "Record", "Outcome": {"Message": "high tax"}, "Check": {"all": [{"name": "l_tax", "operator": "greater_than", "value": 0.07}]}},
+    {"Core": {"Id": "LINE-3"}, "Rule Type": "Record Data", "Sensitivity": "Record", "Outcome": {"Message": "open and returned"}, "Check": {"any": [{"all": [{"name": "l_linestatus", "operator": "equal_to", "value": "O", "value_is_literal": True}, {"name": "l_returnflag", "operator": "equal_to", "value": "R", "value_is_literal": True}]}]}},
+]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """Issues of several rules on one table, found in one scan."""
+    ds = dataset(spark, sf_dir, "lineitem")
+    issues = batch_issues(ds, [parse_rule(r) for r in LINE_RULES])
+    return issues.select("rule_id", "dataset", F.col("row").cast("long").alias("row"), F.array_join("variables", "|").alias("variables"), "message")
+
+
+FLAGSHIP_SQL = f"""
+WITH placed AS (SELECT *, row_number() OVER (ORDER BY {LINE_ORDER}) AS row FROM lineitem)
+SELECT 'LINE-1' AS rule_id, 'lineitem' AS dataset, row, 'l_returnflag|l_quantity' AS variables, 'unknown flag' AS message FROM placed WHERE l_returnflag NOT IN ('A', 'N') AND l_quantity < 10
+UNION ALL SELECT 'LINE-2', 'lineitem', row, 'l_tax', 'high tax' FROM placed WHERE l_tax > 0.07
+UNION ALL SELECT 'LINE-3', 'lineitem', row, 'l_linestatus|l_returnflag', 'open and returned' FROM placed WHERE l_linestatus = 'O' AND l_returnflag = 'R'
+"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {"rule_batch": flagship}
+    found |= {f"check_{n}": flagged(source, keys, condition) for n, (source, keys, condition, _) in CONDITIONS.items()}
+    found |= {f"do_{n}": q for n, (q, _) in OPERATED.items()}
+    found |= {f"do_{n}": q for n, (q, _) in JOINED.items()}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"rule_batch": FLAGSHIP_SQL}
+    found |= {f"check_{n}": sql for n, (*_, sql) in CONDITIONS.items()}
+    found |= {f"do_{n}": sql for n, (_, sql) in OPERATED.items()}
+    found |= {f"do_{n}": sql for n, (_, sql) in JOINED.items()}
+    return found
