@@ -69,14 +69,15 @@ def classify(catalog: DataFrame, mapped: DataFrame) -> DataFrame:
     condition = F.coalesce("condition", F.lit(""))
     macro = condition.rlike(r"%[A-Za-z_.]+%|\$\{")
     simple = condition.rlike(r"(?i)^[\w.'\"\s,()|=!<>@%-]+$") & ~macro
+    said = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
     kind = (
-        F.when(F.col("score") >= SAME_ID, F.struct(F.lit("native").alias("kind"), F.lit("another catalog has the rule").alias("reason")))
-        .when(F.col("rule_type").isin("schema", "xml", "external"), F.struct(F.lit("unsupported"), F.lit("needs what no table holds")))
-        .when(F.trim(condition) == "", F.struct(F.lit("manual"), F.lit("no condition")))
-        .when(macro, F.struct(F.lit("skeleton"), F.lit("macros in the condition")))
-        .when(simple, F.struct(F.lit("automatic"), F.lit("the condition can be converted")))
-        .otherwise(F.struct(F.lit("manual"), F.lit("the condition is free text")))
-    )
+        F.when(F.col("score") >= SAME_ID, said("native", "another catalog has the rule"))
+        .when(F.col("rule_type").isin("schema", "xml", "external"), said("unsupported", "needs what no table holds"))
+        .when(F.trim(condition) == "", said("manual", "no condition"))
+        .when(macro, said("skeleton", "macros in the condition"))
+        .when(simple, said("automatic", "the condition can be converted"))
+        .otherwise(said("manual", "the condition is free text"))
+    )
     return rows.withColumn("__k", kind).select(*CATALOG, "other_id", "score", F.col("__k.kind").alias("kind"), F.col("__k.reason").alias("reason"))
 
 

@@ -31,9 +31,13 @@ PACKAGE_BYTES = 256 * 1024 * 1024
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    """A small text file of any store that Spark reads."""
-    row = spark.read.text(path, wholetext=True).first()
-    return row[0] if row else ""
+    """A small text file of any store that Spark reads, also one whose name begins with an underscore."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def infer(df: DataFrame, columns: Sequence[str]) -> DataFrame:
