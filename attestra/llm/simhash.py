@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 SMALL_BUCKET = 48
+BLOCK = 2048
 CHUNK = 200_000
 
 
@@ -83,25 +85,53 @@ def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(_signed(x)).cast("long") for x in values])
 
 
-def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def _block_links(radius: int):
+    """Star edges of the links between two blocks of a bucket; each node's to the smallest node it reaches there."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        fps = np.sort(frame["fp"].to_numpy())
+        block = frame.sort_values("fp")["block"].to_numpy()
+        left, right, marks = np.flatnonzero(block == i), np.flatnonzero(block == j), fps.view(np.uint64)
+        found = [np.array(np.nonzero(np.bitwise_count(marks[left[at : at + 256], None] ^ marks[None, right]) <= radius)) + [[at], [0]] for at in range(0, len(left), 256)]
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        a, b, root = left[a], right[b], np.arange(len(fps))
+        while True:
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+            if (before == root).all():
+                break
+        moved = root != np.arange(len(fps))
+        return pd.DataFrame({"a": fps[moved], "b": fps[root[moved]]})
+
+    return run
+
+
+def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the distinct ``fp`` values: their components are those of all pairs within ``radius``.
 
     Small buckets give every pair within the radius. Large ones give, for radius 2, links through
-    shared one-bit neighbours, whose components are the same; other radii compare pairs everywhere.
+    shared one-bit neighbours; for other radii they are compared in blocks of about ``block`` members,
+    whose tasks return star edges. The components are the same either way.
     """
     masks = covering_masks(radius)
     keys = distinct.select("fp", F.posexplode(F.transform(_longs(masks), lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
     shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(shared, ["t", "key"]), "buckets")
-    few = members.where(F.col("n") <= small_bucket) if radius == 2 else members
+    few, many = members.where(F.col("n") <= small_bucket), members.where(F.col("n") > small_bucket)
     left, right = few.select("t", "key", F.col("fp").alias("a")), few.select("t", "key", F.col("fp").alias("b"))
     near = left.join(right, ["t", "key"]).where("a > b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
     if radius != 2:
-        return near
+        many = many.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        many = many.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        many = many.select("t", "key", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        return near.unionByName(many.groupBy("t", "key", "i", "j").applyInPandas(_block_links(radius), "a long, b long"))
     flips = F.array(*[_longs([0] + [1 << i for i in range(64) if not m >> i & 1]) for m in masks])
-    names = members.where(F.col("n") > small_bucket).select(
-        "t", "fp", F.explode(F.transform(F.get(flips, F.col("t")), lambda f: F.col("fp").bitwiseXOR(f))).alias("name")
-    )
+    names = many.select("t", "fp", F.explode(F.transform(F.get(flips, F.col("t")), lambda f: F.col("fp").bitwiseXOR(f))).alias("name"))
     met = names.groupBy("t", "name").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     return near.unionByName(met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b"))
 
