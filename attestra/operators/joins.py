@@ -74,3 +74,43 @@ def supplemental(parent: Dataset, supp: Dataset, subject: str = "USUBJID") -> Da
     rows = parent.df.select(quoted(subject).alias("__s"), F.explode(stacked).alias("k"), *[quoted(c).alias(f"{parent.name}.{c}") for c in parent.columns if c != subject])
     same = (quoted(subject) == F.col("__s")) & (F.coalesce("IDVAR", F.lit("")) == F.col("k.v")) & (F.coalesce(F.col("IDVARVAL").cast("string"), F.lit("")) == F.col("k.x"))
     return supp.with_df(supp.df.join(rows, same, "left").drop("__s", "k"))
+
+
+def related_rows(relations: Dataset, tables: Sequence[Dataset], subject: str = "USUBJID") -> Dataset:
+    """Rows of a relation table (RDOMAIN, subject, IDVAR, IDVARVAL) with __found: whether a row of the named table has that value.
+
+    The columns that relations name in a table are stacked to (table, subject, name, value) and joined
+    once; a blank IDVAR asks for any row of the subject, a blank subject for any subject's.
+    """
+    named = {(r[0] or "").upper(): [] for r in relations.df.select("RDOMAIN").distinct().collect()}
+    for domain, name in relations.df.select("RDOMAIN", "IDVAR").distinct().collect():  # names of tables and columns
+        if name:
+            named[(domain or "").upper()].append(name)
+    stacked = None
+    for table in tables:
+        domain = (table.domain or table.name).upper()
+        if domain not in named:
+            continue
+        columns = [F.struct(F.lit(n).alias("v"), scalars.text(scalars.of_column(table.df, table.column(n)), None).alias("x")) for n in named[domain] if table.column(n)]
+        key = F.coalesce(quoted(table.column(subject)).cast("string"), F.lit("")) if table.column(subject) else F.lit("")
+        values = F.array(*columns, F.struct(F.lit("").alias("v"), F.lit("").alias("x")))
+        rows = table.df.select(F.lit(domain).alias("__d"), F.array_distinct(F.array(key, F.lit(""))).alias("s"), F.explode(values).alias("k")).select("__d", "k", F.explode("s").alias("__s"))
+        rows = rows.select("__d", "__s", F.col("k.v").alias("__v"), F.coalesce("k.x", F.lit("")).alias("__x")).distinct()
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    if stacked is None:
+        return relations.with_df(relations.df.withColumn("__found", F.lit(False)))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    same = (F.upper(plain("RDOMAIN")) == F.col("__d")) & (plain(subject) == F.col("__s")) & (plain("IDVAR") == F.col("__v")) & (plain("IDVARVAL") == F.col("__x"))
+    return relations.with_df(relations.df.join(stacked, same, "left").withColumn("__found", F.col("__d").isNotNull()).drop("__d", "__s", "__v", "__x"))
+
+
+def union_of_splits(tables: Sequence[Dataset], domain: str) -> Dataset:
+    """The parts of a domain that is split over several tables as one table, with __table and rows in table order."""
+    split = [t for t in tables if (t.domain or t.name).upper() == domain.upper()]
+    if not split:
+        raise MissingColumn(domain)
+    out = None
+    for i, t in enumerate(split):
+        df = t.df.withColumns({ORD: F.struct(F.lit(i).alias("part"), F.col(ORD).alias("row")), "__table": F.lit(t.name)})
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return split[0].with_df(out)

@@ -32,6 +32,8 @@ class Context:
     parse_condition: Callable[[Any], Condition] | None = None
     codelists: DataFrame | None = None  # code, extensible, term_code, value, pref_term, version
     codelist_dates: dict[str, list[str]] = field(default_factory=dict)
+    #: What a standard's library says of a domain: by domain, "columns", "required", "expected", "permissible" and "model" lists of names.
+    library: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
     def find(self, name: str) -> Dataset | None:
         """The first table whose name, domain or file stem is ``name``."""
@@ -375,6 +377,8 @@ def distinct_values(ds: Dataset, spec: dict, context: Context) -> Dataset:
 
 
 def distinct(ds: Dataset, spec: dict, context: Context) -> Dataset:
+    if spec.get("value_is_reference") is True:
+        return referenced_variables(ds, spec, context)
     return distinct_values(ds, spec, context) if word(spec, "id", "as", "output") else distinct_rows(ds, spec, context)
 
 
@@ -456,6 +460,41 @@ def column_order(ds: Dataset, spec: dict, context: Context) -> Dataset:
     return new_column(ds, word(spec, *OUT), F.lit("|".join(ds.columns)))
 
 
+def from_library(kind: str) -> Callable[[Dataset, dict, Context], Dataset]:
+    """A list of variable names that the standard's library has for the table's domain, joined by a bar."""
+
+    def run(ds: Dataset, spec: dict, context: Context) -> Dataset:
+        domain = (ds.domain or ds.name).upper()
+        names = [expand(n, ds.domain) for n in context.library.get(domain, {}).get(kind, [])]
+        if kind == "filtered":
+            names = [expand(n, ds.domain) for n in context.library.get(domain, {}).get(str(spec.get("key_value", "")).lower(), [])]
+        return new_column(ds, word(spec, *OUT), F.lit("|".join(names)))
+
+    return run
+
+
+def parent_column_order(ds: Dataset, spec: dict, context: Context) -> Dataset:
+    """The library's column order of the domain that each row's RDOMAIN names."""
+    source = columns_of(ds, [word(spec, "name", "source_column") or "RDOMAIN"])[0]
+    out = F.lit("")
+    for domain, lists in sorted(context.library.items()):
+        out = F.when(F.upper(quoted(source)) == domain, F.lit("[" + ", ".join(f"'{n}'" for n in lists.get("columns", [])) + "]")).otherwise(out)
+    return new_column(ds, word(spec, *OUT), out)
+
+
+def referenced_variables(ds: Dataset, spec: dict, context: Context) -> Dataset:
+    """The variables of the table that each row's RDOMAIN names, joined by a bar."""
+    source = columns_of(ds, [word(spec, "name", "source_column") or "RDOMAIN"])[0]
+    out = F.lit("")
+    for other in context.datasets:
+        out = F.when(F.upper(quoted(source)).isin(other.name.upper(), (other.domain or other.name).upper()), F.lit("|".join(other.columns))).otherwise(out)
+    return new_column(ds, word(spec, *OUT), out)
+
+
+def domain_is_custom(ds: Dataset, spec: dict, context: Context) -> Dataset:
+    return new_column(ds, word(spec, *OUT), F.lit((ds.domain or ds.name).upper() not in context.library))
+
+
 def dataset_names(ds: Dataset, spec: dict, context: Context) -> Dataset:
     return new_column(ds, word(spec, *OUT), F.lit("|".join(d.name for d in context.datasets)))
 
@@ -516,6 +555,15 @@ OPERATIONS: dict[str, Callable[[Dataset, dict, Context], Dataset]] = {
     "get_dataset_filtered_variables": filtered_variables,
     "get_xhtml_errors": xhtml_errors,
     "get_column_order_from_dataset": column_order,
+    "get_column_order_from_library": from_library("columns"),
+    "get_model_column_order": from_library("model"),
+    "get_model_filtered_variables": from_library("filtered"),
+    "get_parent_model_column_order": parent_column_order,
+    "required_variables": from_library("required"),
+    "expected_variables": from_library("expected"),
+    "permissible_variables": from_library("permissible"),
+    "referenced_variables": referenced_variables,
+    "domain_is_custom": domain_is_custom,
     "dataset_names": dataset_names,
     "variable_exists": variable_exists,
 }

@@ -59,3 +59,48 @@ def test_protocol(spark, tmp_path):
     assert tables["Range"]["R1"]["range_min_not_less_than_max"] and tables["Range"]["R1"]["range_unit_xor"] and tables["StudyCell"]["C1"]["study_cell_arm_epoch_duplicate"]
     assert tables["EligibilityCriterionItem"]["I2"]["eligibility_criterion_item_unused"] and not tables["EligibilityCriterionItem"]["I1"]["eligibility_criterion_item_unused"]
     assert tables["EligibilityCriterion"]["E1"]["eligibility_criterion_unused"] and not tables["Address"]["A1"]["address_all_blank"] and tables["PersonName"]["P1"]["person_name_missing_text_and_family_name"]
+
+
+def test_library_operations(spark):
+    from attestra.operators.operations import Context, apply
+
+    library = {"AE": {"columns": ["STUDYID", "--SEQ"], "required": ["--SEQ"], "expected": ["--TERM"], "timing": ["--DTC"], "model": ["--X"]}}
+    ae = Dataset("AE", spark.createDataFrame([(1, "AE"), (2, "LB"), (3, None)], f"{ORD} long, RDOMAIN string"), "AE")
+    context = Context([ae], library=library)
+    one = lambda **s: [r["v"] for r in apply(ae, {"id": "v", **s}, context).df.orderBy(ORD).collect()]
+    assert one(operator="required_variables")[0] == "AESEQ" and one(operator="get_column_order_from_library")[0] == "STUDYID|AESEQ" and one(operator="expected_variables")[0] == "AETERM"
+    assert one(operator="get_model_filtered_variables", key_value="Timing")[0] == "AEDTC" and one(operator="domain_is_custom") == [False] * 3
+    assert one(operator="get_parent_model_column_order") == ["['STUDYID', '--SEQ']", "", ""] and one(operator="distinct", value_is_reference=True) == ["RDOMAIN", "", ""]
+
+
+def test_relations_and_splits(spark):
+    from attestra.model import Leaf, Values
+    from attestra.operators import joins
+    from attestra.operators.conditions import violations
+
+    ae = Dataset("AE", spark.createDataFrame([(1, "s1", 1), (2, "s1", 2)], f"{ORD} long, USUBJID string, AESEQ long"), "AE")
+    rel = Dataset("RELREC", spark.createDataFrame([(1, "AE", "s1", "AESEQ", "2"), (2, "AE", "s1", "AESEQ", "9"), (3, "AE", "s2", "", ""), (4, "AE", "s1", "", ""), (5, "XX", "s1", "AESEQ", "1"), (6, "AE", None, "AESEQ", "1")], f"{ORD} long, RDOMAIN string, USUBJID string, IDVAR string, IDVARVAL string"))
+    assert [r["__found"] for r in joins.related_rows(rel, [ae]).df.orderBy(ORD).collect()] == [True, False, False, True, False, True]
+    parts = [Dataset(n, spark.createDataFrame([(1, "s1", k)], f"{ORD} long, USUBJID string, QSSEQ long"), "QS") for n, k in (("QSA", 1), ("QSB", 1), ("QSC", 2))]
+    whole = joins.union_of_splits(parts, "QS")
+    got = violations(whole, Leaf("QSSEQ", "is_not_unique_set", Values(("USUBJID",)))).where("__mask").select("__table").collect()
+    assert sorted(r[0] for r in got) == ["QSA", "QSB"]
+
+
+def test_cases(spark, tmp_path):
+    from attestra.harness import cases
+
+    rule = {"Core": {"Id": "R-1"}, "Rule Type": "Record Data", "Check": {"name": "T", "operator": "equal_to", "value": "BAD", "value_is_literal": True}, "Outcome": {"Message": "m"}}
+    for kind, rows, results in (("negative", "T\nBAD\nOK\n", "rule_id,dataset,domain,row,variables,message,error_count,usubjid,seq\nR-1,AE,AE,1,T,m,1,,\n"), ("positive", "T\nOK\n", None)):
+        at = tmp_path / "Published/R-1" / kind / "01"
+        (at / "data").mkdir(parents=True)
+        (at / "data/ae.csv").write_text(rows)
+        (at.parent.parent / "rule.json").write_text(json.dumps(rule))
+        if results:
+            (at / "results").mkdir()
+            (at / "results/results.csv").write_text(results)
+    scores = cases.run_scored(spark, tmp_path)
+    assert {r["rule_id"].lower().split("/")[2]: r["bucket"] for r in scores.collect()} == {"negative": "match", "positive": "empty_match"}
+    assert list(cases.gate(scores, scores)) == [] and "| match | 1 | 50.00% |" in cases.markdown(scores)
+    with pytest.raises(ValueError):
+        cases.run_scored(spark, tmp_path / "none")
