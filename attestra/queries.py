@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.harness import score
 from attestra.model import ORD, All, AnyOf, ColumnRef, Condition, Dataset, Leaf, Literal, Not, Values
 from attestra.operators import joins, operations
 from attestra.operators.conditions import violations
+from attestra.plans import post
 from attestra.plans.batch import batch_issues
+from attestra.plans.engine import validate
 from attestra.plans.rules import parse_condition, parse_rule
+from attestra.plans.tables import dataset_metadata, value_metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,11 +248,85 @@ UNION ALL SELECT 'LINE-3', 'lineitem', row, 'l_linestatus|l_returnflag', 'open a
 """
 
 
+def value_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text values of customers, one row for each variable."""
+    return value_metadata(dataset(spark, sf_dir, "customer")).df.select(F.col(f"{ORD}.__row_ord").alias("c_custkey"), "variable_name", "variable_value")
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of some tables."""
+    found = dataset_metadata(spark, [dataset(spark, sf_dir, n) for n in ("region", "nation", "supplier")])
+    return found.df.select("dataset_name", "DOMAIN", "record_count", "dataset_names")
+
+
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose sixty days meet another order of the same customer."""
+    ds = dataset(spark, sf_dir, "orders")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    timed = ds.with_df(ds.df.select("o_orderkey", "o_custkey", ORD, day("o_orderdate").alias("a"), day(F.date_add("o_orderdate", 60)).alias("b")))
+    return post.overlapping(timed, ["o_custkey"], "a", "b").df.select("o_orderkey", "o_custkey")
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that name a row of another table by a column's name and value, and whether it is there."""
+    docs = dataset(spark, sf_dir, "documents")
+    named = docs.df.select("doc_id", F.lit("LABELS").alias("RDOMAIN"), F.lit(None).cast("string").alias("USUBJID"), F.lit("doc_id").alias("IDVAR"), F.col("doc_id").cast("string").alias("IDVARVAL"), ORD)
+    found = joins.related_rows(docs.with_df(named), [dataset(spark, sf_dir, "labels")])
+    return found.df.select("doc_id", F.col("__found").alias("found"))
+
+
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places whose number of issues differs between two rules that nearly agree."""
+    ds = dataset(spark, sf_dir, "lineitem")
+
+    def issues(limit: int) -> DataFrame:
+        rows = violations(ds, leaf("l_quantity", "less_than", limit)).where("__mask")
+        return rows.select(F.lit("R").alias("rule_id"), F.lit("LINEITEM").alias("dataset"), F.col("l_suppkey").cast("int").alias("row"))
+
+    return score.difference(issues(5), issues(6), ("rule_id", "dataset", "row"))
+
+
+#: Rules with operations, match tables, groups and another rule type, as a rule file would hold them.
+STUDY_RULES = [
+    {"Core": {"Id": "S-1"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["ORDERS"]}}, "Outcome": {"Message": "order of a customer in debt"}, "Match Datasets": [{"Name": "customer", "Keys": [{"left": "o_custkey", "right": "c_custkey"}]}], "Check": {"all": [{"name": "customer.c_acctbal", "operator": "less_than", "value": 0}]}},
+    {"Core": {"Id": "S-2"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["ORDERS"]}}, "Outcome": {"Message": "largest order of a busy customer"}, "Operations": [{"operator": "aggregate", "by": ["o_custkey"], "as": "n"}, {"operator": "aggregate", "by": ["o_custkey"], "function": "max", "source_column": "o_totalprice", "as": "most"}], "Check": {"all": [{"name": "n", "operator": "greater_than", "value": 15}, {"name": "o_totalprice", "operator": "equal_to", "value": "most"}]}},
+    {"Core": {"Id": "S-3"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["CUSTOMER"]}}, "Outcome": {"Message": "customer without an urgent order"}, "Operations": [{"operator": "anti_join", "right": "orders", "left_by": ["c_custkey"], "right_by": ["o_custkey"]}], "Check": "$exists(c_custkey)"},
+    {"Core": {"Id": "S-4"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["CUSTOMER"]}}, "Outcome": {"Message": "segment by name"}, "Check": '$uppercase(c_mktsegment) = "building" and c_nationkey in [1, 2, 3]'},
+    {"Core": {"Id": "S-5"}, "Rule Type": "Domain Presence Check", "Sensitivity": "Dataset", "Outcome": {"Message": "no such table"}, "Check": {"all": [{"name": "LINEITEM", "operator": "not_exists"}]}},
+]
+
+
+def study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run over two tables: the issues of all rules."""
+    report = validate(spark, [parse_rule(r) for r in STUDY_RULES], [dataset(spark, sf_dir, "orders"), dataset(spark, sf_dir, "customer")])
+    return report.issues.select("rule_id", "dataset", F.col("row").cast("long").alias("row"), "message")
+
+
+MADE: dict[str, tuple[Query, str]] = {
+    "value_metadata": (value_rows, "SELECT c_custkey, 'c_name' AS variable_name, c_name AS variable_value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer"),
+    "dataset_metadata": (table_rows, "SELECT 'region' AS dataset_name, 'REGION' AS DOMAIN, count(*) AS record_count, 'region|nation|supplier' AS dataset_names FROM region UNION ALL SELECT 'nation', 'NATION', count(*), 'region|nation|supplier' FROM nation UNION ALL SELECT 'supplier', 'SUPPLIER', count(*), 'region|nation|supplier' FROM supplier"),
+    "overlapping": (overlaps, "SELECT o_orderkey, o_custkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey <> a.o_orderkey AND CAST(b.o_orderdate AS DATE) <= CAST(a.o_orderdate AS DATE) + 60 AND CAST(a.o_orderdate AS DATE) <= CAST(b.o_orderdate AS DATE) + 60)"),
+    "related_rows": (relations, "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS found FROM documents"),
+    "issue_difference": (differences, "SELECT 'R' AS rule_id, 'LINEITEM' AS dataset, CAST(l_suppkey AS VARCHAR) AS row, count(*) FILTER (l_quantity < 5) AS n_found, count(*) FILTER (l_quantity < 6) AS n_expected FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (l_quantity < 5) <> count(*) FILTER (l_quantity < 6)"),
+    "validate": (
+        study,
+        """WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most FROM orders),
+        c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS row FROM customer)
+        SELECT 'S-1' AS rule_id, 'orders' AS dataset, row, 'order of a customer in debt' AS message FROM o JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0
+        UNION ALL SELECT 'S-2', 'orders', row, 'largest order of a busy customer' FROM o WHERE n > 15 AND o_totalprice = most
+        UNION ALL SELECT 'S-3', 'customer', row_number() OVER (ORDER BY c_custkey), 'customer without an urgent order' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+        UNION ALL SELECT 'S-4', 'customer', row, 'segment by name' FROM c WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3)
+        UNION ALL SELECT 'S-5', 'STUDY', 1, 'no such table'""",
+    ),
+}
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"rule_batch": flagship}
     found |= {f"check_{n}": flagged(source, keys, condition) for n, (source, keys, condition, _) in CONDITIONS.items()}
     found |= {f"do_{n}": q for n, (q, _) in OPERATED.items()}
     found |= {f"do_{n}": q for n, (q, _) in JOINED.items()}
+    found |= {f"do_{n}": q for n, (q, _) in MADE.items()}
     return found
 
 
@@ -257,4 +335,5 @@ def oracle_sql() -> dict[str, str]:
     found |= {f"check_{n}": sql for n, (*_, sql) in CONDITIONS.items()}
     found |= {f"do_{n}": sql for n, (_, sql) in OPERATED.items()}
     found |= {f"do_{n}": sql for n, (_, sql) in JOINED.items()}
+    found |= {f"do_{n}": sql for n, (_, sql) in MADE.items()}
     return found
