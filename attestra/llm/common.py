@@ -52,6 +52,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of 1,000 rows and 16 MB at most, unless the session says otherwise.
+
+    Spark's own default of 10,000 rows holds tens of megabytes of text several times over in each worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
@@ -59,17 +69,3 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def row_batches(frames, column: str, limit: int = 4_000_000):
-    """Cut pandas batches into pieces of at most ``limit`` characters of ``column`` (one row at least)."""
-    for frame in frames:
-        sizes = frame[column].str.len().fillna(0).to_numpy()
-        begin, total = 0, 0
-        for i, size in enumerate(sizes):
-            if total and total + size > limit:
-                yield frame.iloc[begin:i]
-                begin, total = i, 0
-            total += size
-        if begin < len(frame):
-            yield frame.iloc[begin:]

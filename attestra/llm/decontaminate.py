@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.common import small_batches
+
 WINDOW = 10
 MAX_WORDS = 200_000
 MAX_COVERAGE = 0.5
@@ -166,6 +168,7 @@ def _scan(items: list[tuple[str | None, str]], window: int, column: str, schema:
 
 def _items(benchmark: DataFrame, max_words: int) -> list[list[tuple[str | None, str]]]:
     """The items in shards of about ``max_words`` words; one letter counts as a word at least."""
+    small_batches(benchmark.sparkSession)
     texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     words = texts.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\u0080-\U0010ffff]+")))).first()[0] or 0
     shards = max(1, math.ceil(words / max_words))
@@ -231,17 +234,28 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     A text of which more than ``max_coverage`` of the words are hit goes as a whole. Texts without a
     hit and null texts stay as they are; n_chars, where there, follows a text that was cut.
     """
-    found = scan(docs, benchmark, window)
-    kept = found.where(hit_words(F.col("__spans")) <= F.lit(max_coverage) * F.col("__n_words"))
+    shards = _items(benchmark, MAX_WORDS)
+    if len(shards) > 1:
+        found = scan(docs, benchmark, window)
+        kept = found.where(hit_words(F.col("__spans")) <= F.lit(max_coverage) * F.col("__n_words"))
+        return kept.select(*docs.columns, "__spans").mapInArrow(lambda batches: map(_without_spans, batches), docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(shards[0])  # MAX_WORDS words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {name: batch[name] for name in batch.schema.names if name != "__spans"}
-            cut = {i: _cut(batch["text"][i].as_py(), s) for i, s in enumerate(batch["__spans"].to_pylist()) if s}
-            if cut:
-                columns["text"] = pa.array([cut.get(i, t) for i, t in enumerate(batch["text"].to_pylist())], batch["text"].type)
-                if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([len(cut[i]) if i in cut else n for i, n in enumerate(batch["n_chars"].to_pylist())], batch["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return kept.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+        for batch in _scan(shared.value, window, "text")(batches):
+            hit = [sum(b - a for a, b in s) for s in batch["__spans"].to_pylist()]
+            few = pa.array([h <= max_coverage * n for h, n in zip(hit, batch["__n_words"].to_pylist(), strict=True)], pa.bool_())
+            yield _without_spans(batch.filter(few).drop_columns(["__n_words", "__items"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _without_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with the words of __spans cut out of its texts."""
+    columns = {name: batch[name] for name in batch.schema.names if name != "__spans"}
+    cut = {i: _cut(batch["text"][i].as_py(), s) for i, s in enumerate(batch["__spans"].to_pylist()) if s}
+    if cut:
+        columns["text"] = pa.array([cut.get(i, t) for i, t in enumerate(batch["text"].to_pylist())], batch["text"].type)
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(cut[i]) if i in cut else n for i, n in enumerate(batch["n_chars"].to_pylist())], batch["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

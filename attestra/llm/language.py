@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.common import small_batches
 from attestra.llm.sampling import labelled_sample
 
 SEGMENT = 512
@@ -143,6 +144,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.llm.common import materialize
+from attestra.llm.common import materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 2
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     A null or empty text has the end id alone. Repeated rows are documents of their own. An empty
     table gives no rows. Columns other than doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = materialize(read.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
     counts = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import materialize
+from attestra.llm.common import materialize, small_batches
 from attestra.llm.components import connected_components
 
 SHINGLE = 3
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, more
 
     A null text or one without words has fingerprint zero. Repeated rows give repeated rows.
     """
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long"), *more, "text")
     return read.mapInArrow(_fingerprints(shingle, seed), T.StructType([*read.drop("text").schema, T.StructField("fp", T.LongType())]))
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.common import small_batches
 from attestra.llm.decontaminate import WORD_BYTES
 from attestra.llm.sampling import labelled_sample
 
@@ -118,6 +119,7 @@ def score(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFram
 
     A null or empty text, or one without words, scores 0. Rows are never dropped.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema, T.StructField("__score", T.DoubleType()), T.StructField("__offending", SENTENCES)])
 
