@@ -104,3 +104,18 @@ def test_cases(spark, tmp_path):
     assert list(cases.gate(scores, scores)) == [] and "| match | 1 | 50.00% |" in cases.markdown(scores)
     with pytest.raises(ValueError):
         cases.run_scored(spark, tmp_path / "none")
+
+
+def test_drafted_cases_score(spark, tmp_path):
+    from attestra.catalog import fixtures
+    from attestra.catalog.rules import generate
+    from attestra.harness import cases
+
+    drafts = [generate("X1", "AE", "m", "AESEV == 'MILD' @or AESEV == 'SEVERE'"), generate("X2", "AE", "m", "AETERM != ''"), generate("X3", "AE", "m", "AEVAL >= 3 @and AEFLAG == 'Y'")]
+    made = [fixtures.write_cases(d, tmp_path) for d in drafts]
+    assert made == [False, True, True]  # no one cell differs from two values by these rules of thumb
+    assert fixtures.check_tree(tmp_path) == []
+    got = {r["rule_id"].lower(): r["bucket"] for r in cases.run_scored(spark, tmp_path).collect()}
+    assert got == {"draft/x2/negative/01": "match", "draft/x2/positive/01": "empty_match", "draft/x3/negative/01": "match", "draft/x3/positive/01": "empty_match"}
+    (tmp_path / "Draft/X2/rule.json").unlink()
+    assert fixtures.check_tree(tmp_path) == ["X2: no rule"]
