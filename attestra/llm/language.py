@@ -114,13 +114,16 @@ def train(rows: list[tuple[str | None, str]], landmarks: int = LANDMARKS, per_te
         known = np.unique(np.concatenate([grams(pieces[i], order) for i in chosen if len(pieces[i]) >= order] or [np.zeros(0, np.int64)]))
         table = np.full(SYMBOLS**order, -1, np.int32)
         table[known] = np.arange(len(known))
-        held = presence(pieces, order, table, len(known))
-        scaled = held / np.sqrt(np.maximum(held.sum(axis=1, keepdims=True), 1))
-        marks = scaled[chosen] / len(ORDERS)
+
+        def scaled(some: list[np.ndarray]) -> np.ndarray:
+            held = presence(some, order, table, len(known))  # noqa: B023  used in this round only
+            return held / np.sqrt(np.maximum(held.sum(axis=1, keepdims=True), 1))
+
+        marks = scaled([pieces[i] for i in chosen]) / len(ORDERS)
         codes.append(known)
         basis.append(marks)
-        kernel = kernel + scaled.astype(np.float64) @ marks.T
-        inner = inner + scaled[chosen].astype(np.float64) @ marks.T
+        kernel = kernel + np.concatenate([scaled(pieces[at : at + ROWS]) @ marks.T for at in range(0, len(pieces), ROWS)]).astype(np.float64)
+        inner = inner + (marks * len(ORDERS)).astype(np.float64) @ marks.T
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
     n = np.bincount(labels, minlength=len(languages))
     balance = (len(labels) / (len(languages) * n))[labels][:, None]
