@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from attestra.model import ORD, Dataset
 
 MOST_LEVELS = 40
+# Fixed value: the code of a reason that does not apply.
+NOT_APPLICABLE = "C48660"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -83,12 +85,12 @@ def row_flags() -> list[Flag]:
         Flag("Range", "range_unit_xor", unit("minValue") != unit("maxValue")),
         Flag("PersonName", "person_name_missing_text_and_family_name", ~filled("text") & ~filled("familyName")),
         Flag("Address", "address_all_blank", ~(filled("text") | (size("lines") > 0) | filled("city") | filled("district") | filled("state") | filled("postalCode") | filled("country"))),
-        Flag("Administration", "administration_dose_route_xor", filled("dose") != filled("route")),
-        Flag("Administration", "administration_dose_without_frequency", filled("dose") & ~filled("frequency")),
-        Flag("Administration", "administration_dose_product_xor", filled("dose") != (filled("administrableProductId") | filled("medicalDeviceId"))),
-        Flag("Administration", "administration_duplicate_embedded_product", filled("administrableProductId") & filled("medicalDevice.embeddedProductId")),
+        Flag("Administration", "administration_dose_route_xor", filled("dose.id") != filled("route.id")),
+        Flag("Administration", "administration_dose_without_frequency", filled("dose.id") & ~filled("frequency.id")),
+        Flag("Strength", "strength_numerator_range_missing_unit", (amount("numerator.minValue") & ~unit("numerator.minValue")) | (amount("numerator.maxValue") & ~unit("numerator.maxValue"))),
+        Flag("StudyAmendmentReason", "primary_reason_not_applicable", (F.col("key") == "primaryReason") & (text("code.code") == NOT_APPLICABLE)),
         Flag("Strength", "strength_numerator_value_missing_unit", amount("numerator") & ~unit("numerator")),
-        Flag("Strength", "strength_denominator_missing_unit", amount("denominator") & ~unit("denominator")),
+        Flag("Strength", "strength_denominator_missing_unit", filled("denominator.id") & ~unit("denominator")),
         Flag("GeographicScope", "geographic_scope_global_code_mismatch", (text("type.decode") == "Global") == filled("code")),
         Flag("BiospecimenRetention", "biospecimen_retained_missing_includes_dna", (text("isRetained") == "true") & ~filled("includesDNA")),
         Flag("ScheduleTimeline", "plannedDuration.present", filled("plannedDuration")),
@@ -127,10 +129,40 @@ def _named(rows: DataFrame, field: str, listed: bool) -> Column:
     return F.expr(f"try_variant_get(value, '$.{field}', 'array<string>')") if listed else F.array_compact(F.array(text(field)))
 
 
+def _joined_flags(kind: str, df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Checks of one kind that other objects of the document answer."""
+    of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
+    if kind in ("Administration", "AdministrableProduct"):
+        devices = of("MedicalDevice").select(F.col("document").alias("__d"), F.col("id").alias("__device"), text("embeddedProductId").alias("__embedded")).where("__embedded <> ''")
+    if kind == "Administration":
+        df = df.join(devices, (df["document"] == devices["__d"]) & (text("medicalDeviceId") == devices["__device"]), "left")
+        product = filled("administrableProductId") | F.col("__embedded").isNotNull()
+        df = df.withColumns({"administration_dose_product_xor": filled("dose.id") != product, "administration_duplicate_embedded_product": F.coalesce(text("administrableProductId") == F.col("__embedded"), F.lit(False))})
+        return df.drop("__d", "__device", "__embedded")
+    if kind == "AdministrableProduct":
+        given = of("Administration").select(F.col("document").alias("__g"), text("administrableProductId").alias("__given")).distinct()
+        inside = devices.select("__d", "__embedded").distinct()
+        df = df.join(given, (df["document"] == given["__g"]) & (df["id"] == given["__given"]), "left").join(inside, (df["document"] == inside["__d"]) & (df["id"] == inside["__embedded"]), "left")
+        only = filled("sourcing") & F.col("__embedded").isNotNull() & F.col("__given").isNull()
+        return df.withColumn("administrable_product_embedded_only_sourcing", only).drop("__g", "__given", "__d", "__embedded")
+    if kind == "StudyAmendmentReason":
+        first = of(kind).where("key = 'primaryReason'").select(F.col("document").alias("__d"), F.col("parent").alias("__p"), text("code.code").alias("__code"))
+        df = df.join(first, (df["document"] == first["__d"]) & (df["parent"] == first["__p"]), "left")
+        return df.withColumn("secondary_reason_matches_primary", F.coalesce((F.col("key") != "primaryReason") & (text("code.code") == F.col("__code")), F.lit(False))).drop("__d", "__p", "__code")
+    if kind == "ProductOrganizationRole":
+        valid = of("AdministrableProduct", "MedicalDevice").select(F.col("document").alias("__d"), F.col("id").alias("__id")).distinct()
+        named = df.select("document", "path", F.explode(_named(df, "appliesToIds", True)).alias("__ref"))
+        met = named.join(valid, (named["document"] == valid["__d"]) & (named["__ref"] == valid["__id"]), "left").groupBy(named["document"], named["path"])
+        met = met.agg(F.bool_or(F.col("__id").isNotNull()).alias("__some"), F.bool_or(F.col("__id").isNull()).alias("__odd"))
+        df = df.join(met, ["document", "path"], "left")
+        return df.withColumns({"product_role_missing_valid_target": ~F.coalesce("__some", F.lit(False)), "product_role_invalid_target": F.coalesce("__odd", F.lit(False))}).drop("__some", "__odd")
+    return df
+
+
 def entities(spark: SparkSession, rows: DataFrame, kinds: Sequence[str] | None = None) -> list[Dataset]:
     """A table for each kind of object: document, path, parent, id, name, value as JSON, and its flags."""
     known = kinds or [r[0] for r in rows.where("kind IS NOT NULL").select("kind").distinct().collect()]  # kinds are few
-    base = rows.select("document", "path", "parent", "id", "kind", "name", "value").withColumn("usdm_id_contains_space", F.coalesce(F.col("id").contains(" "), F.lit(False)))
+    base = rows.select("document", "path", "parent", "key", "id", "kind", "name", "value").withColumn("usdm_id_contains_space", F.coalesce(F.col("id").contains(" "), F.lit(False)))
     for kind, fields, flag in REPEATS:
         of_kind = F.lit(True) if kind is None else F.col("kind") == kind
         keys = [F.col(f) if f in ("id", "kind", "name") else text(f) for f in fields]
@@ -159,6 +191,7 @@ def entities(spark: SparkSession, rows: DataFrame, kinds: Sequence[str] | None =
                 listed = field.endswith("Ids")
                 used = rows.select(F.col("document").alias("__d"), F.explode(_named(rows, field, listed)).alias("__ref")).distinct().withColumn(flag, F.lit(True))
                 df = df.join(used, (df["document"] == used["__d"]) & (df["id"] == used["__ref"]), "left").drop("__d", "__ref").withColumn(flag, F.col(flag).isNull())
+        df = _joined_flags(kind, df, rows)
         df = df.withColumn("value", F.to_json("value")).withColumn(ORD, F.struct("document", "path"))
         tables.append(Dataset(kind, df, kind, source_format="protocol"))
     return tables

@@ -119,3 +119,19 @@ def test_drafted_cases_score(spark, tmp_path):
     assert got == {"draft/x2/negative/01": "match", "draft/x2/positive/01": "empty_match", "draft/x3/negative/01": "match", "draft/x3/positive/01": "empty_match"}
     (tmp_path / "Draft/X2/rule.json").unlink()
     assert fixtures.check_tree(tmp_path) == ["X2: no rule"]
+
+
+def test_protocol_products(spark, tmp_path):
+    thing = lambda kind, id, **more: {"instanceType": kind, "id": id, **more}
+    study = {"products": [thing("AdministrableProduct", "P1", sourcing={"code": "x"}), thing("AdministrableProduct", "P2", sourcing={"code": "x"})], "devices": [thing("MedicalDevice", "M1", embeddedProductId="P1"), thing("MedicalDevice", "M2", embeddedProductId="P2")],
+        "given": [thing("Administration", "A1", dose={"id": "d"}, medicalDeviceId="M1"), thing("Administration", "A2", dose={"id": "d"}, route={"id": "r"}, frequency={"id": "f"}, administrableProductId="P2", medicalDeviceId="M2"), thing("Administration", "A3", route={"id": "r"}, administrableProductId="")],
+        "amendment": {"primaryReason": thing("StudyAmendmentReason", "R1", code={"code": "C48660"}), "secondaryReasons": [thing("StudyAmendmentReason", "R2", code={"code": "C48660"}), thing("StudyAmendmentReason", "R3", code={"code": "C1"})]},
+        "roles": [thing("ProductOrganizationRole", "O1", appliesToIds=["P1", "P9"]), thing("ProductOrganizationRole", "O2")]}
+    (tmp_path / "a.json").write_text(json.dumps({"study": study}))
+    rows = protocol.objects(protocol.read_documents(spark, str(tmp_path)))
+    got = {r["id"]: r.asDict() for t in protocol.entities(spark, rows) for r in t.df.collect()}
+    assert got["P1"]["administrable_product_embedded_only_sourcing"] and not got["P2"]["administrable_product_embedded_only_sourcing"]
+    assert [got[i]["administration_dose_route_xor"] for i in ("A1", "A2", "A3")] == [True, False, True] and [got[i]["administration_dose_product_xor"] for i in ("A1", "A2", "A3")] == [False, False, False]
+    assert [got[i]["administration_duplicate_embedded_product"] for i in ("A1", "A2", "A3")] == [False, True, False] and got["A1"]["administration_dose_without_frequency"]
+    assert got["R1"]["primary_reason_not_applicable"] and [got[i]["secondary_reason_matches_primary"] for i in ("R1", "R2", "R3")] == [False, True, False] and not got["R2"]["primary_reason_not_applicable"]
+    assert got["O1"]["product_role_invalid_target"] and not got["O1"]["product_role_missing_valid_target"] and got["O2"]["product_role_missing_valid_target"]
