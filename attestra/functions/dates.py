@@ -8,32 +8,26 @@ from pyspark.sql import functions as F
 from attestra.functions.scalars import strip, two_valued
 
 # Fixed formats of dates and durations.
-DAY = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"
-TIME = r"T([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?"
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+COMPLETE = DAY + r"(?:\z|T(?:[01][0-9]|2[0-3]):[0-5][0-9](?!:[6-9][0-9]))"
+SECONDS = DAY + r"T[0-9]{2}:[0-9]{2}:[0-9]{2}"
 PARTIAL = r"^(?:[0-9]{4}|[0-9]{4}-(?:0[1-9]|1[0-2])|--(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|[0-9]{4}---(?:0[1-9]|[12][0-9]|3[01])|[0-9]{4}----(?:0[1-9]|[12][0-9]|3[01])|-----T(?:[01][0-9]|2[0-3]).*)$"
 PARTIAL_TIME = r"^(?:[01][0-9]|2[0-3])$"
 DURATION = r"^[+-]?P(?:[0-9]+(?:[.,][0-9]+)?W|(?=[0-9T])(?:[0-9]+(?:[.,][0-9]+)?Y)?(?:[0-9]+(?:[.,][0-9]+)?M)?(?:[0-9]+(?:[.,][0-9]+)?D)?(?:T(?:[0-9]+(?:[.,][0-9]+)?H)?(?:[0-9]+(?:[.,][0-9]+)?M)?(?:[0-9]+(?:[.,][0-9]+)?S)?)?)$"
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group).try_cast("int")
-
-
 def real_day(c: Column) -> Column:
     """Whether the text begins with a day that exists."""
     return two_valued(c.rlike(DAY) & F.substring(c, 1, 10).try_cast("date").isNotNull())
 
 
-def _real_time(c: Column) -> Column:
-    pattern = DAY + TIME
-    hour, minute, second = (_part(c, pattern, k) for k in (4, 5, 6))
-    return two_valued(c.rlike(pattern) & (hour <= 23) & (minute <= 59) & (F.coalesce(second, F.lit(0)) <= 59))
-
-
 def is_complete(c: Column) -> Column:
     """A day, or a day and at least hours and minutes; what follows the minutes or seconds isn't looked at."""
-    c = strip(c)
-    return two_valued(real_day(c) & ((F.length(c) == 10) | _real_time(c)))
+    return _complete(strip(c))
+
+
+def _complete(c: Column) -> Column:
+    return two_valued(c.rlike(COMPLETE) & F.substring(c, 1, 10).try_cast("date").isNotNull())
 
 
 def is_incomplete(c: Column) -> Column:
@@ -41,19 +35,19 @@ def is_incomplete(c: Column) -> Column:
     c = strip(c)
     rest = F.substring(c, 12, 1_000_000)
     gaps = real_day(c) & (F.substring(c, 11, 1) == "T") & (rest.rlike(PARTIAL_TIME) | (rest.contains("-") & rest.contains(":")))
-    return two_valued(~is_complete(c) & ((c == "") | gaps | c.rlike(PARTIAL)))
+    return two_valued(~_complete(c) & ((c == "") | gaps | c.rlike(PARTIAL)))
 
 
 def date_key(c: Column) -> Column:
     """yyyymmddHHMMSS of a complete date; a year or month stands for its first instant; else null."""
     c = strip(c)
-    pattern = DAY + TIME
-    at = [F.coalesce(_part(c, pattern, k), F.lit(0)).cast("bigint") for k in (4, 5, 6)]
-    day = F.regexp_replace(F.substring(c, 1, 10), "-", "").try_cast("bigint")
-    whole = day * 1_000_000 + at[0] * 10_000 + at[1] * 100 + at[2]
-    month = F.regexp_replace(c, "-", "").try_cast("bigint") * 100_000_000 + 1_000_000
-    year = c.try_cast("bigint") * 10_000_000_000 + 101_000_000
-    return F.when(is_complete(c), whole).when(c.rlike(r"^[0-9]{4}-(?:0[1-9]|1[0-2])$"), month).when(c.rlike(r"^[0-9]{4}$"), year)
+    part = lambda at, n: F.substring(c, at, n)
+    clock = F.when(F.length(c) == 10, F.lit("000000")).otherwise(F.concat(part(12, 2), part(15, 2), F.when(c.rlike(SECONDS), part(18, 2)).otherwise(F.lit("00"))))
+    month = F.concat(part(1, 4), part(6, 2), F.lit("01000000"))
+    whole = F.concat(part(1, 4), part(6, 2), part(9, 2), clock)
+    key = F.when(F.length(c) == 4, F.when(c.rlike(r"^[0-9]{4}\z"), F.concat(c, F.lit("0101000000"))))
+    key = key.when(F.length(c) == 7, F.when(c.rlike(r"^[0-9]{4}-(?:0[1-9]|1[0-2])\z"), month)).when(_complete(c), whole)
+    return key.try_cast("bigint")
 
 
 def is_duration(c: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A finite number as text: optional sign, digits with an optional point, optional exponent.
+# Fixed value: Unicode's white space.
+WHITE_SPACE = " \t\n\u000b\u000c\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -64,7 +66,7 @@ def ascii_upper(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def number_text(c: Column) -> Column:
