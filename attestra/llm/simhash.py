@@ -32,44 +32,64 @@ RADIUS = 2
 SMALL_BUCKET = 48
 BLOCK = 2048
 CHUNK = 200_000
+#: Near-copies of whole texts: fingerprints of two-word shingles, four for each text. Five-word shingles with a similarity
+#: of 0.8 mean about 24 differing bits of 256 there, and the nearest of the four is within 4 bits in most cases.
+TEXT_SHINGLE, TEXT_CHUNKS, TEXT_RADIUS, TEXT_LIMIT = 2, 4, 4, 26
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned fingerprint of one text: bit i is 1 if over half of the shingle hashes have it."""
+def fingerprints_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED, chunks: int = 1) -> np.ndarray:
+    """``chunks`` unsigned fingerprints of one text, which make one of 64 bits each: bit i is 1 if over half of the shingle hashes have it.
+
+    The first is of the hashes themselves, the others of the hashes mixed with a number of their own.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(chunks, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = max(len(words) - shingle + 1, 1)
     firsts, stops = starts[:last].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((chunks, 64), np.int64)
     for at in range(0, last, CHUNK):
         part = slice(at, at + CHUNK)
         hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(firsts[part], stops[part], strict=True)), np.uint64, min(CHUNK, last - at))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > last, bitorder="little").view(np.uint64)[0])
+        for c in range(chunks):
+            mixed = _mixed(hashes, c) if c else hashes
+            ones[c] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > last, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _mixed(hashes: np.ndarray, c: int) -> np.ndarray:
+    x = hashes + np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _fingerprints(shingle: int, seed: int):
+def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned fingerprint of one text."""
+    return int(fingerprints_of(text, shingle, seed)[0])
+
+
+def _fingerprints(shingle: int, seed: int, names: list[str]):
     def run(batches):
         for batch in batches:
-            marks = np.array([fingerprint_of(t.as_py(), shingle, seed) for t in batch["text"]], np.uint64)
+            marks = np.array([fingerprints_of(t.as_py(), shingle, seed, len(names)) for t in batch["text"]], np.uint64).reshape(-1, len(names))
             kept = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch[name] for name in kept], pa.array(marks.view(np.int64))], names=[*kept, "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch[name] for name in kept], *[pa.array(column.copy().view(np.int64)) for column in marks.T]], names=[*kept, *names])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, more: Sequence[Column] = ()) -> DataFrame:
-    """(doc_id, *more, fp): one row for each row of ``docs``; fp is the fingerprint's 64 bits as a long.
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, more: Sequence[Column] = (), names: Sequence[str] = ("fp",)) -> DataFrame:
+    """(doc_id, *more, *names): one row for each row of ``docs``; each name is a fingerprint's 64 bits as a long.
 
     A null text or one without words has fingerprint zero. Repeated rows give repeated rows.
     """
     small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long"), *more, "text")
-    return read.mapInArrow(_fingerprints(shingle, seed), T.StructType([*read.drop("text").schema, T.StructField("fp", T.LongType())]))
+    return read.mapInArrow(_fingerprints(shingle, seed, list(names)), T.StructType([*read.drop("text").schema, *[T.StructField(name, T.LongType()) for name in names]]))
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -86,38 +106,64 @@ def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(_signed(x)).cast("long") for x in values])
 
 
-def _block_links(radius: int):
+def _block_links(chunks: list[str], limit: int):
     """Star edges of the links between two blocks of a bucket; each node's to the smallest node it reaches there."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        fps = np.sort(frame["fp"].to_numpy())
-        block = frame.sort_values("fp")["block"].to_numpy()
-        left, right, marks = np.flatnonzero(block == i), np.flatnonzero(block == j), fps.view(np.uint64)
-        found = [np.array(np.nonzero(np.bitwise_count(marks[left[at : at + 256], None] ^ marks[None, right]) <= radius)) + [[at], [0]] for at in range(0, len(left), 256)]
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        a, b, root = left[a], right[b], np.arange(len(fps))
-        while True:
-            before = root.copy()
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            if (before == root).all():
-                break
-        moved = root != np.arange(len(fps))
-        return pd.DataFrame({"a": fps[moved], "b": fps[root[moved]]})
+        frame = frame.sort_values("node").reset_index(drop=True)
+        nodes, block, marks = frame["node"].to_numpy(), frame["block"].to_numpy(), frame[chunks].to_numpy().view(np.uint64)
+        left, right = np.flatnonzero(block == frame["i"].iloc[0]), np.flatnonzero(block == frame["j"].iloc[0])
+        root = np.arange(len(nodes))
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            apart = sum(np.bitwise_count(marks[some, None, c] ^ marks[None, right, c]).astype(np.int16) for c in range(len(chunks)))
+            a, b = np.nonzero(apart <= limit)
+            a, b = some[a], right[b]
+            while (split := root[a] != root[b]).any():
+                a, b = a[split], b[split]
+                np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+                while (root != root[root]).any():
+                    root = root[root]
+        moved = root != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[root[moved]]})
 
     return run
 
 
+def linked_nodes(distinct: DataFrame, chunks: Sequence[str], radius: int, limit: int, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between ``node`` ids whose ``chunks`` differ in ``limit`` bits or fewer in all, found within ``radius`` bits of one chunk.
+
+    Small buckets give every such pair. Large ones are compared in blocks of about ``block`` members,
+    whose tasks return star edges. The components are the same either way.
+    """
+    chunks = list(chunks)
+    masks = _longs(covering_masks(radius))
+
+    def kept(k: int) -> Column:
+        return F.transform(masks, lambda m, t: F.xxhash64(F.lit(k), t, F.col(chunks[k]).bitwiseAND(m)))
+
+    keys = distinct.select("node", F.explode(F.flatten(F.array(*map(kept, range(len(chunks)))))).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(keys.join(shared, "key").join(distinct.select("node", *chunks), "node"), "buckets")
+    few, many = members.where(F.col("n") <= small_bucket), members.where(F.col("n") > small_bucket)
+    side = lambda s: few.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in chunks])
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in chunks), F.lit(0))
+    near = side("a").join(side("b"), "key").where("a > b").where(apart <= limit).select("a", "b")
+    many = many.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", "node", *chunks, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return near.unionByName(many.groupBy("key", "i", "j").applyInPandas(_block_links(chunks, limit), "a long, b long"))
+
+
 def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the distinct ``fp`` values: their components are those of all pairs within ``radius``.
 
     Small buckets give every pair within the radius. Large ones give, for radius 2, links through
-    shared one-bit neighbours; for other radii they are compared in blocks of about ``block`` members,
-    whose tasks return star edges. The components are the same either way.
+    shared one-bit neighbours; see ``linked_nodes`` for other radii. The components are the same either way.
     """
+    if radius != 2:
+        return linked_nodes(distinct.select(F.col("fp").alias("node"), "fp"), ["fp"], radius, radius, small_bucket, block)
     masks = covering_masks(radius)
     keys = distinct.select("fp", F.posexplode(F.transform(_longs(masks), lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
     shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -125,12 +171,6 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, small_bucket:
     few, many = members.where(F.col("n") <= small_bucket), members.where(F.col("n") > small_bucket)
     left, right = few.select("t", "key", F.col("fp").alias("a")), few.select("t", "key", F.col("fp").alias("b"))
     near = left.join(right, ["t", "key"]).where("a > b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    if radius != 2:
-        many = many.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-        many = many.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        many = many.select("t", "key", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        return near.unionByName(many.groupBy("t", "key", "i", "j").applyInPandas(_block_links(radius), "a long, b long"))
     flips = F.array(*[_longs([0] + [1 << i for i in range(64) if not m >> i & 1]) for m in masks])
     names = many.select("t", "fp", F.explode(F.transform(F.get(flips, F.col("t")), lambda f: F.col("fp").bitwiseXOR(f))).alias("name"))
     met = names.groupBy("t", "name").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
@@ -157,17 +197,20 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = TEXT_RADIUS, limit: int = TEXT_LIMIT, shingle: int = TEXT_SHINGLE, chunks: int = TEXT_CHUNKS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the first by doc_id, then by text.
 
     Columns stay as they are. A row without an id comes after those with one. Of repeated rows that
-    agree in id and text one stays.
+    agree in id and text one stays. Texts link if their ``chunks`` fingerprints differ in ``limit``
+    bits or fewer in all; see ``linked_nodes``.
     """
     key = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")}
-    marks = materialize(fingerprints(docs, more=[key["__text"].alias("__text")]), "fingerprints")
-    distinct = materialize(marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first")), "distinct")
-    roots = connected_components(linked_fingerprints(distinct.select("fp"), radius))
-    of_fp = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
+    names = [f"f{c}" for c in range(chunks)]
+    marks = materialize(fingerprints(docs, shingle, SEED, [key["__text"].alias("__text")], names), "fingerprints")
+    distinct = marks.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    roots = connected_components(linked_nodes(distinct, names, radius, limit))
+    of_fp = distinct.join(roots.withColumnRenamed("id", "node"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
     keep = of_fp.select(F.col("first.doc_id").alias("__id"), F.col("first.__text").alias("__text"))
     copies = marks.groupBy(F.col("doc_id").alias("__id"), "__text").agg(F.count("*").alias("n"))
     same = [copies["__id"].eqNullSafe(keep["__id"]), copies["__text"] == keep["__text"]]

@@ -78,6 +78,40 @@ def test_links_of_any_radius(spark, radius, small_bucket, block):
     assert {m: got.get(m, m) for m in marks} == want
 
 
+@pytest.mark.parametrize(("small_bucket", "block"), [(48, 2048), (1, 4)])
+def test_links_of_several_fingerprints(spark, small_bucket, block):
+    rng = random.Random(3)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(63), n))
+    centres = [[rng.getrandbits(63) for _ in range(3)] for _ in range(5)]
+    rows = [tuple(flip(x, rng.randint(0, 5)) for x in c) for c in centres for _ in range(40)]
+    frame = spark.createDataFrame([(7 * k, *r) for k, r in enumerate(rows)], "node long, f0 long, f1 long, f2 long")
+    edges = simhash.linked_nodes(frame, ["f0", "f1", "f2"], 2, 9, small_bucket, block)
+    got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+
+    def linked(a, b):
+        apart = [(x ^ y).bit_count() for x, y in zip(rows[a], rows[b], strict=True)]
+        return min(apart) <= 2 and sum(apart) <= 9
+
+    want = components(range(len(rows)), linked)
+    assert {k: got.get(7 * k, 7 * k) for k in range(len(rows))} == {k: 7 * c for k, c in want.items()}
+
+
+def test_stage_drops_near_copies_and_keeps_other_texts(spark):
+    """Near copies: five-word shingles of similarity 0.9 or more. Others: under 0.5."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(500)]
+        near, far = list(base), list(base)
+        for at in rng.sample(range(500), 4):
+            near[at] = "changed"
+        far[:250] = [rng.choice(words) for _ in range(250)]
+        docs += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    got = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got >= {i for i, _ in docs if i % 3 != 1} and len(got) <= 120 + 2
+
+
 def test_stage_keeps_one_of_each_group(spark):
     docs = [(5, "a b c d e f g"), (3, "A B c d e f g"), (3, "a b c d e f g"), (7, "other words are here now"), (7, "other words are here now"), (None, "a b c d e f g"), (8, None), (9, ""), (None, "alone in the dark")]
     frame = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in docs], "doc_id long, text string, lang string, n_chars long, fp string")
