@@ -30,6 +30,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 SMALL_BUCKET = 48
+#: Where buckets give star edges, only those of up to this many members give pairs, so that links stay in proportion to members.
+PAIR_BUCKET = 4
 BLOCK = 2048
 CHUNK = 200_000
 #: Near-copies of whole texts: fingerprints of two-word shingles, four for each text. Five-word shingles with a similarity
@@ -130,11 +132,11 @@ def _block_links(chunks: list[str], limit: int):
     return run
 
 
-def linked_nodes(distinct: DataFrame, chunks: Sequence[str], radius: int, limit: int, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
+def linked_nodes(distinct: DataFrame, chunks: Sequence[str], radius: int, limit: int, small_bucket: int = PAIR_BUCKET, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between ``node`` ids whose ``chunks`` differ in ``limit`` bits or fewer in all, found within ``radius`` bits of one chunk.
 
-    Small buckets give every such pair. Large ones are compared in blocks of about ``block`` members,
-    whose tasks return star edges. The components are the same either way.
+    Buckets of up to ``small_bucket`` members give every such pair. Others are compared in blocks of about
+    ``block`` members, whose tasks return star edges: one for each member at most. The components are the same either way.
     """
     chunks = list(chunks)
     masks = _longs(covering_masks(radius))
