@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _use_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir``; a local session without one gets a folder of its own. They go when the application ends."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="attestra-"))
+    path = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Adds ``name``: the row's place in ``order`` (which should leave no ties), from 1.
 
     Rows are range-partitioned and sorted; a row's place in its partition, plus the rows of the
     partitions before it, is its position. Only one count for each partition meets in one place.
+    The placed rows are checkpointed, as two plans of the same exchange need not give the same partitions.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    _use_checkpoints(df.sparkSession)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("__id", 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

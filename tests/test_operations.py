@@ -116,3 +116,15 @@ def test_positions_over_many_partitions(spark):
     got = with_position(df, ["k"], "p").collect()
     assert all(r["p"] == r["k"] + 1 for r in got) and len(got) == 1000
     assert with_position(df.limit(0), ["k"], "p").count() == 0
+
+
+def test_positions_where_rows_are_far_wider_than_their_keys(spark):
+    """Partitions of the rows and of their keys alone are coalesced differently."""
+    df = spark.range(20_000).selectExpr("(id * 7919) % 20000 AS k", "concat_ws('', transform(sequence(1, 8), i -> sha2(concat(id, i), 512))) AS wide").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = with_position(df, ["k"], "p").selectExpr("count(*) AS n", "count_if(p = k + 1 AND length(wide) = 1024) AS right").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (got["n"], got["right"]) == (20_000, 20_000)
