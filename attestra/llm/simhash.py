@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from attestra.llm.common import materialize, small_batches
 from attestra.llm.components import connected_components
+from attestra.llm.shingles import linked_sets, marks_of
 
 SHINGLE = 3
 SEED = 42
@@ -199,19 +200,18 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = TEXT_RADIUS, limit: int = TEXT_LIMIT, shingle: int = TEXT_SHINGLE, chunks: int = TEXT_CHUNKS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the first by doc_id, then by text.
 
     Columns stay as they are. A row without an id comes after those with one. Of repeated rows that
-    agree in id and text one stays. Texts link if their ``chunks`` fingerprints differ in ``limit``
-    bits or fewer in all; see ``linked_nodes``.
+    agree in id and text one stays. Texts link if their sets of five-word shingles have a similarity
+    of 0.8 or more; see ``shingles``.
     """
     key = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")}
-    names = [f"f{c}" for c in range(chunks)]
-    marks = materialize(fingerprints(docs, shingle, SEED, [key["__text"].alias("__text")], names), "fingerprints")
-    distinct = marks.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first"))
-    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = connected_components(linked_nodes(distinct, names, radius, limit))
+    marks = materialize(marks_of(docs), "marks")
+    firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    distinct = materialize(firsts, "distinct")
+    roots = linked_sets(docs, distinct)
     of_fp = distinct.join(roots.withColumnRenamed("id", "node"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
     keep = of_fp.select(F.col("first.doc_id").alias("__id"), F.col("first.__text").alias("__text"))
     copies = marks.groupBy(F.col("doc_id").alias("__id"), "__text").agg(F.count("*").alias("n"))
