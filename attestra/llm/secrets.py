@@ -17,11 +17,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-KEY = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key|credential)"
-ASSIGN = r"(?i)^" + KEY + r"\s{0,3}[=:]\s{0,3}[\"']?"
-#: A value after a key word, or 16 characters or more with a digit among them.
-CANDIDATE = r"\b(?i:" + KEY + r")\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
-KNOWN_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|sk-|xox[abprs]-|AIza|eyJ)"
+KEY = r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)"
+SCHEME = r"(?i:bearer|basic)\s{1,3}"
+#: What stands between a name that holds a key word (DB_PASSWORD, clientSecret, "api-key") and its value.
+NAMED = r"[A-Za-z0-9+/_.-]{0,64}?(?i:" + KEY + r"s?(?:[_-]?key|[_-][a-z0-9_-]{1,24}+)?)[\"']?\s{0,3}(?:=>|:=|==?|:)\s{0,3}[\"']?(?:" + SCHEME + ")?"
+HEADER = r"(?i:(?:proxy-)?authorization)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?:" + SCHEME + ")?"
+LOGIN = r"[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s/:@\"']{0,64}+:"
+ASSIGN = f"^(?:{HEADER}|{LOGIN}|{NAMED}|{SCHEME})"
+PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abeoprs]-|AIza|eyJ)"
+KNOWN_PREFIX = f"^(?:{PREFIX}|-----BEGIN )"
+BEGIN = r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+START = r"(?<![A-Za-z0-9+/_-])"
+#: In turn: blocks of private keys, passwords in addresses, authorization headers, values after a key word, tokens
+#: after a scheme or with a known prefix, and 16 characters or more with a digit among them.
+CANDIDATE = "|".join(
+    [
+        BEGIN + r"(?:[\s\S]{0,20000}?-----END [A-Z0-9 ]{1,60}+-----|(?:(?:\s|\\[nr]){1,4}+[A-Za-z0-9+/=]{16,}+){0,400}+)",
+        r"(?<![A-Za-z0-9+.-])" + LOGIN + r"[^\s/@\"']{3,}+(?=@)",
+        r"\b" + HEADER + r"[^\s\"']{6,}+",
+        START + r"(?=[A-Za-z0-9+/_.-]{3,120}+[\"']?\s{0,3}[=:])" + NAMED + r"[^\s\"']{6,}+",
+        START + SCHEME + r"(?=[A-Za-z+/_.~-]*+[0-9=])[A-Za-z0-9+/_.~=-]{8,}+",
+        START + PREFIX + r"[A-Za-z0-9+/_=-]{10,}+(?:\.[A-Za-z0-9+/_=-]{4,}+){0,4}+",
+        START + r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+",
+    ]
+)
 #: Words that names, paths and placeholders are made of.
 DICTIONARY = (
     "access account admin article asset audio backup basic build cache change change class client code common component config content "
@@ -31,7 +50,8 @@ DICTIONARY = (
     "option order output page param part path person photo picture placeholder plugin post price product profile project public query "
     "range record release report request response result sample script search section select server service session setting shop show "
     "simple size source start static status step store string style submit summary support system table target template test text theme "
-    "time title token tool track type unit update upload user value version video view wait week widget window word year your"
+    "time title token tool track type unit update upload user value version video view wait week widget window word year your "
+    "changed correct credential empty enter expired forgotten hidden incorrect invalid mandatory masked missing needed none null optional passphrase password please redacted required reset secret stored unknown wrong"
 ).split()
 NEAR_KEY = r"(?i)(?:password|passwd|pwd|secret|token|key|credential|auth|bearer)\W{0,4}$"
 NEAR_DIGEST = r"(?i)(?:sha\d*|md5|hash|commit|checksum|revision|digest|uuid|guid|build|etag|version|isbn|card|order|phone|serial|image|src)\W{0,4}$"
@@ -111,6 +131,24 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         (1, text("password: ", code("aB3$Ef7!IjK9mNoP", 12)), "login ", " ok"),
         (1, F.substring(mixed, 1, 40), "aws key ", " for"),
         (1, text("sk-", F.substring(mixed, 1, 32)), "with ", ","),
+        (1, text("DB_PASSWORD=", word(1), F.substring(number(15), 1, 2), "!"), "set ", " then"),
+        (1, text("client_secret: ", code("Tr0ub4d&3rKm!9xZ", 11)), "our ", " and"),
+        (1, text('password": "', word(1), F.substring(number(15), 1, 3)), '{"', '"}'),
+        (1, text("api-key: ", F.substring(hexes, 1, 11)), "with ", " here"),
+        (1, text("passphrase: ", word(1), F.substring(number(15), 1, 1), word(2)), "the ", " is"),
+        (1, text('secret_key = "', code("abcXYZ12!mnoRST9", 9)), "with ", '" and'),
+        (1, text("postgres://", word(1), ":", code("s3cretpw7kd!9xqa", 8)), "at ", "@db/main"),
+        (1, text("mysql://root:", word(1), F.substring(number(15), 1, 2)), "at ", "@host"),
+        (1, text("Authorization: Basic ", F.base64(text(word(1), ":", F.substring(hexes, 1, 9)).cast("binary"))), "header ", " sent"),
+        (1, text("Bearer ", mixed), "with ", " sent"),
+        (1, text("xoxb-", code("abcdefghijKLMNOP", 24)), "bot ", " and"),
+        (1, text("-----BEGIN RSA PRIVATE KEY-----", F.when(F.col("r") % 2 == 0, text("\n", mixed, mixed, "\n-----END RSA PRIVATE KEY-----")).otherwise("")), "key ", " end"),
+        (0, text("password: ", word(1), word(2), ","), "the ", " and"),
+        (0, text("secret_name: ", word(1), "-", word(2)), "a ", " is"),
+        (0, text('token": "', word(1), "_", word(2)), '{"', '"}'),
+        (0, text("https://user:", word(1)), "like ", "@example.com"),
+        (0, text("Basic ", word(1), "-2-", word(2)), "the ", " is"),
+        (0, text("api-key: ", word(1), word(2)), "put ", " here"),
         (0, number(16), "card ", " and"),
         (0, number(16), "of the ", " then"),
         (0, text(F.substring(hexes, 1, 8), "-", F.substring(hexes, 9, 4), "-4", F.substring(hexes, 13, 3), "-a", F.substring(hexes, 17, 3), "-", F.substring(hexes, 21, 12)), "id ", " in"),
