@@ -42,17 +42,26 @@ def alike(a: Column, b: Column) -> Column:
 def map_rules(catalog: DataFrame, other: DataFrame, frequent: float = 0.2) -> DataFrame:
     """(rule_id, other_id, score): the best match of each rule in another catalog, if it is good enough.
 
-    A rule of the same id scores at least 0.90. Others are compared only where they share a domain,
-    target or word; words that more than ``frequent`` of the other rules have find no candidates by
-    themselves, so candidates stay few.
+    A rule of the same id scores at least 0.90. Others can only be good enough with the same target, or with
+    the same domain and type and a word of the message in common, so pairs that share none of these are not
+    compared; all others are. Keys that more than ``frequent`` of the other rules hold are joined in blocks.
     """
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in CATALOG])
     left, right = named(catalog, "a"), named(other, "b")
-    keys = lambda d, p: d.select(f"{p}_rule_id", F.explode(F.array_distinct(F.array_compact(F.concat(words_of(F.col(f"{p}_message")), words_of(F.col(f"{p}_description")), F.array(F.lower(f"{p}_target"), F.lower(f"{p}_rule_id")))))).alias("key"))
+
+    def keys(d: DataFrame, p: str) -> DataFrame:
+        col = lambda c: F.upper(f"{p}_{c}")
+        words = F.transform(words_of(F.col(f"{p}_message")), lambda w: F.struct(F.lit("message").alias("of"), F.to_json(F.array(col("domain"), col("rule_type"), w)).alias("is")))
+        shared = F.when(col("domain").isNotNull() & col("rule_type").isNotNull(), words).otherwise(F.filter(words, lambda w: F.lit(False)))
+        plain = [F.struct(F.lit(c).alias("of"), col(c).alias("is")) for c in ("rule_id", "target")]
+        return d.select(f"{p}_rule_id", F.explode(F.concat(F.array(*plain), shared)).alias("key")).where("key.is IS NOT NULL")
+
     theirs = keys(right, "b")
     limit = F.lit(max(1.0, frequent * other.count()))
-    rare = theirs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("key")
-    pairs = keys(left, "a").join(theirs.join(rare, "key"), "key").select("a_rule_id", "b_rule_id").distinct()
+    blocks = theirs.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+    theirs = theirs.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("b_rule_id"), F.col("blocks")).cast("int")).select("key", "block", "b_rule_id")
+    ours = keys(left, "a").join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "a_rule_id")
+    pairs = ours.join(theirs, ["key", "block"]).select("a_rule_id", "b_rule_id").distinct()
     both = pairs.join(left, "a_rule_id").join(right, "b_rule_id")
     same = lambda c: F.coalesce((F.upper(f"a_{c}") == F.upper(f"b_{c}")).cast("double"), F.lit(0.0))
     fuzzy = sum((WEIGHTS[c] * (alike(F.col(f"a_{c}"), F.col(f"b_{c}")) if c in ("message", "description") else same(c)) for c in WEIGHTS), F.lit(0.0))
