@@ -1,17 +1,20 @@
-"""Katz backoff language model over words, counted, stored and evaluated in hash partitions.
+"""Katz backoff language model over words: counted, stored and evaluated in hash partitions.
 
-Words are known by 62-bit hashes. Words with a share of ``RARE_SHARE`` of the training tokens or more
-(at most 1 / RARE_SHARE of them, whatever the corpus) have a rank; all others form one class, whose
-words have probabilities of their own within it. Bigrams of ranks and that class are counted over the
-whole training corpus. Good-Turing discounts leave mass in each history, which backoff weights give to
-the words that did not follow it, in proportion to their unigram probabilities: for every history the
+Every word counts as itself. Counts of words and of bigrams, and denominator and backoff weight of every
+history, are tables of (bucket, keys, values) rows. Good-Turing discounts leave mass in each history,
+which its backoff weight gives to the words that did not follow it, in proportion to their unigram
+probabilities c / (N + 1), of which a word never seen has 1 / (N + 1). So for every history the
 probabilities of all words and of one unknown word sum to one.
 
-Counts are summed within each task before the shuffle, so a frequent word or pair is no burden. They
-are stored as tables of (bucket, keys, counts) rows. To score, each token looks up its bigram: frequent
-bigrams (again at most 1 / RARE_SHARE) are known to every worker, the rest meet their counts in their
-bucket, which holds no key with more than that share. The seen bigram gives its discounted
-probability; otherwise the recursion goes on to the unigram, and from the class to the word.
+Counts are summed within each task before the shuffle, so a frequent word or pair is no burden. To
+score, each token's bigram meets its count in its bucket. A seen bigram gives its discounted
+probability; otherwise the recursion asks for the history's weight and goes on to the unigram. What
+has a share of ``RANKED_SHARE`` of the training tokens or more (at most 1 / RANKED_SHARE words or
+bigrams, whatever the corpus) is known to every worker as well, which saves its tokens the way; no
+result depends on that share, and no key that travels has a larger one.
+
+Words are known by 62 bits of a hash and bigrams by 64, so that two of a thousand million words are taken for
+one with a probability of about one in ten, and far fewer than one in a million bigrams of any corpus.
 """
 
 from __future__ import annotations
@@ -25,22 +28,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import materialize, small_batches
 
-RARE_SHARE = 1e-6
+RANKED_SHARE = 1e-6
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Characters of text for each bucket, and the least number of buckets.
-BUCKET_CHARS, LEAST_BUCKETS = 16_000_000, 64
-CHUNK_CHARS, CHUNK_KEYS, CACHE_WORDS = 4_000_000, 3_000_000, 400_000
-BITS = 20
-RARE = 0
+BUCKET_CHARS, LEAST_BUCKETS = 16_000_000, 12
+CHUNK_CHARS, CHUNK_KEYS, CACHE_WORDS = 4_000_000, 2_000_000, 400_000
+#: Rows of an owner: consecutive texts whose sums meet in one bucket.
+OWNED_BITS = 10
+#: Words without a rank have this bit.
 HASHED = 1 << 62
 END_WORD = b" "  # no word holds a space
+#: What a row of the second pass is: sums of texts, or requests for what the recursion needs next.
+SUM, OF_SEEN, OF_NEW, OF_WORD, OF_TOKEN = range(5)
 
 
 def word_key(word: bytes) -> int:
@@ -51,29 +58,59 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END_WORD]
 
 
-def _mixed(keys: np.ndarray, buckets: int) -> np.ndarray:
-    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(at, values, size).astype(np.float64)  # bincount of nothing would be integers
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One key for each bigram."""
+    return _stirred(_stirred(v) ^ (w.view(np.uint64) * np.uint64(0x94D049BB133111EB)))
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+def _bucket(stirred: np.ndarray, buckets: int) -> np.ndarray:
+    return ((stirred >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Eight-byte values, compressed with their first bytes together, then their second and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked(column: pd.Series, kind=np.int64) -> np.ndarray:
+    """The values of all rows of a packed column."""
+    raw = [zstandard.ZstdDecompressor().decompress(b) for b in column]
+    parts = [np.frombuffer(r, np.uint8).reshape(8, -1).T.copy().view(kind).reshape(-1) for r in raw if r]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _dealt(bucket: np.ndarray, **columns: np.ndarray) -> dict[str, list]:
+    """One row for each bucket that has values: the bucket and its part of each column, packed."""
+    sizes = np.bincount(bucket)
+    order = np.argsort(bucket.astype(np.uint16) if len(sizes) <= 1 << 16 else bucket, kind="stable")
+    full, ends = np.flatnonzero(sizes), np.cumsum(sizes)
+    sorted_columns = {name: x[order] for name, x in columns.items()}
+    return {"bucket": full.astype(np.int32), **{name: [_packed(x[ends[b] - sizes[b] : ends[b]]) for b in full] for name, x in sorted_columns.items()}}
 
 
-def _dealt(keys: np.ndarray, buckets: int, **more: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket that has keys: bucket, keys and the other arrays beside them."""
-    bucket = _mixed(keys, buckets)
-    order, sizes = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
-    full = np.flatnonzero(sizes)
-    offsets = np.concatenate([[0], np.cumsum(sizes[full])])
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[_lists(x[order], offsets) for x in (keys, *more.values())]], names=["bucket", "keys", *more])
+def _batch(rows: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if name == "bucket" else pa.binary()) for name, x in rows.items()], names=list(rows))
 
 
-COUNTS = "bucket int, keys array<long>, counts array<long>"
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, values, size).astype(np.float64)  # bincount of nothing would be integers
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``wanted`` is in ``keys``, which are in order, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+WORDS = "bucket int, keys binary, counts binary"
 
 
 def _word_counts(buckets: int):
@@ -82,7 +119,7 @@ def _word_counts(buckets: int):
 
         def dealt() -> pa.RecordBatch:
             keys = np.fromiter(map(word_key, held), np.int64, len(held))
-            return _dealt(keys, buckets, counts=np.fromiter(held.values(), np.int64, len(held)))
+            return _batch(_dealt(_bucket(_stirred(keys), buckets), keys=keys, counts=np.fromiter(held.values(), np.int64, len(held))))
 
         for batch in batches:
             for text in batch["text"]:
@@ -96,21 +133,26 @@ def _word_counts(buckets: int):
     return run
 
 
-def _summed(frame: pd.DataFrame) -> pd.DataFrame:
-    keys, at = np.unique(np.concatenate(frame["keys"].to_list()), return_inverse=True)
-    counts = np.bincount(at, np.concatenate(frame["counts"].to_list())).astype(np.int64)
-    return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "keys": [keys], "counts": [counts]})
+def _summed_words(frame: pd.DataFrame) -> pd.DataFrame:
+    keys, at = np.unique(_unpacked(frame["keys"]), return_inverse=True)
+    counts = np.bincount(at, _unpacked(frame["counts"])).astype(np.int64)
+    return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "keys": [_packed(keys)], "counts": [_packed(counts)], "n": counts.sum(), "v": len(keys)})
 
 
-def _frequent(counts: DataFrame, least: float) -> pd.DataFrame:
-    """(key, n) of keys with ``least`` or more; there are at most total / least of them."""
-    pairs = counts.select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
-    return pairs.where(F.col("n") >= least).toPandas().sort_values(["n", "key"], ascending=[False, True])
+def _at_least(least: float, names: list[str]):
+    """Rows (names, counts) of a table's keys with ``least`` or more."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            counts = _unpacked(frame["counts"])
+            yield pd.DataFrame({**{n: _unpacked(frame[n])[counts >= least] for n in names}, "counts": counts[counts >= least]})
+
+    return run
 
 
 @dataclass
 class Vocabulary:
-    """Ranked words: keys[r - 1] and counts[r - 1] for rank r; the rest is the rare class, rank 0."""
+    """Ranked words: keys[r - 1] and counts[r - 1] for rank r."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -122,29 +164,19 @@ class Vocabulary:
         """The history before a text's first word."""
         return len(self.keys) + 1
 
-    @property
-    def rare_tokens(self) -> int:
-        return self.total - int(self.counts.sum())
-
-    @property
-    def rare_words(self) -> int:
-        return self.distinct - len(self.keys)
-
-    def unigrams(self) -> np.ndarray:
-        return np.concatenate([[self.rare_tokens + 1], self.counts]) / (self.total + 1)
-
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.total + self.distinct + 1))
 
-    def within_rare(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.rare_tokens + self.rare_words + 1))
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        """Probability of a word seen ``counts`` times, or of the unknown word."""
+        return np.maximum(counts, 1) / (self.total + 1)
 
 
 ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, ids array<int>, rare array<long>"
 
 
 class _Ranks(dict):
-    """Rank, or key of a rare word, by word; emptied when full."""
+    """Rank, or key of a word without one, by word; emptied when full."""
 
     def __init__(self, keys: np.ndarray):
         self.of_key = dict(zip(keys.tolist(), range(1, len(keys) + 1), strict=True))
@@ -155,6 +187,10 @@ class _Ranks(dict):
         return rank
 
 
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
 def _encoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Vocabulary = shared.value
@@ -171,7 +207,7 @@ def _encoded(shared):
                     ends.append(len(words))
                 rows, offsets = np.concatenate(flat), np.concatenate([[0], np.cumsum(ends)])
                 rare = rows >= HASHED
-                ids = np.where(rare, RARE, rows).astype(np.int32)
+                ids = np.where(rare, 0, rows).astype(np.int32)
                 rare_at = np.concatenate([[0], np.cumsum(rare)])[offsets]
                 n = np.array(ends, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -198,13 +234,23 @@ def _sized(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def _bigrams(batch: pa.RecordBatch, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bigrams of all rows, and the number of tokens of each row."""
+def _bigrams(batch: pa.RecordBatch, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """History and word of every token of all rows, and the number of tokens of each row."""
     column = batch["ids"]
-    ids, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.array(column.offsets)
-    history = np.concatenate([[start], ids[:-1]])
-    history[offsets[:-1] - offsets[0]] = start
-    return history << BITS | ids, np.diff(offsets)
+    w, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.array(column.offsets)
+    w[w == 0] = batch["rare"].flatten().to_numpy(zero_copy_only=False)
+    v = np.concatenate([[start], w[:-1]])
+    v[offsets[:-1] - offsets[0]] = start
+    return v, w, np.diff(offsets)
+
+
+BIGRAMS = "bucket int, v binary, w binary, counts binary"
+
+
+def _merged(v: np.ndarray, w: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Each bigram once, in the order of its key: key, history, word, count."""
+    key, first, at, n = np.unique(_pair(v, w), return_index=True, return_inverse=True, return_counts=True)
+    return key, v[first], w[first], n if counts is None else np.bincount(at, counts, len(key)).astype(np.int64)
 
 
 def _bigram_counts(start: int, buckets: int):
@@ -212,13 +258,13 @@ def _bigram_counts(start: int, buckets: int):
         held, size = [], 0
 
         def dealt() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _dealt(keys, buckets, counts=counts.astype(np.int64))
+            key, v, w, n = _merged(*map(np.concatenate, zip(*held, strict=True)))
+            return _batch(_dealt(_bucket(key, buckets), v=v, w=w, counts=n.astype(np.int64)))
 
         for batch in batches:
             if len(batch):
-                held.append(_bigrams(batch, start)[0])
-                size += len(held[-1])
+                held.append(_bigrams(batch, start)[:2])
+                size += len(held[-1][0])
             if size >= CHUNK_KEYS:
                 yield dealt()
                 held, size = [], 0
@@ -228,6 +274,13 @@ def _bigram_counts(start: int, buckets: int):
     return run
 
 
+def _summed_bigrams(frame: pd.DataFrame) -> pd.DataFrame:
+    """The bucket's bigrams in the order of their keys, and how many were seen once, twice and so on."""
+    _, v, w, n = _merged(_unpacked(frame["v"]), _unpacked(frame["w"]), _unpacked(frame["counts"]))
+    seen = np.bincount(n[n <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
+    return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "v": [_packed(v)], "w": [_packed(w)], "counts": [_packed(n)], "seen": [seen]})
+
+
 def discounts(seen: dict[int, int], most: int = DISCOUNTED) -> np.ndarray:
     """Katz' factors for counts 0..most from the numbers of bigrams seen once, twice and so on.
 
@@ -242,118 +295,216 @@ def discounts(seen: dict[int, int], most: int = DISCOUNTED) -> np.ndarray:
     return factor
 
 
+def _discounted(factor: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return factor[np.where(counts < len(factor), counts, 0)] * counts
+
+
+HISTORIES = "bucket int, v binary, n binary, left binary, low binary, kind int, w binary"
+
+
+def _histories(shared, factor: np.ndarray, buckets: int):
+    """Of a bucket's bigrams: by history the count, the discounted count and the unigram mass of the ranked words that
+    followed, dealt by history; and the bigrams whose word has no rank, dealt by word."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: Vocabulary = shared.value
+        mass = np.concatenate([[0.0], known.unigram(known.counts)])
+        for frame in frames:
+            for i in range(len(frame)):
+                v, w, counts = (_unpacked(frame[c].iloc[i : i + 1]) for c in ("v", "w", "counts"))
+                rare = w >= HASHED
+                each, at = np.unique(v, return_inverse=True)
+                values = {"n": counts, "left": _discounted(factor, counts), "low": mass[np.where(rare, 0, w)]}
+                rows = _dealt(_bucket(_stirred(each), buckets), v=each, **{k: _sums(at, x, len(each)) for k, x in values.items()})
+                yield pd.DataFrame(rows).assign(kind=SUM, w=None)
+                rows = _dealt(_bucket(_stirred(w[rare]), buckets), v=v[rare], w=w[rare])
+                yield pd.DataFrame(rows).assign(n=None, left=None, low=None, kind=OF_WORD)
+
+    return run
+
+
+def _rare_mass(shared, buckets: int):
+    """Unigram mass by history of the words without a rank that followed it."""
+
+    def run(requests: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        v, w = _unpacked(requests["v"]), _unpacked(requests["w"])
+        at, there = _found(_unpacked(table["keys"]), w)
+        low = shared.value.unigram(np.where(there, _unpacked(table["counts"])[at], 0) if len(table) else np.zeros(len(w), np.int64))
+        each, place = np.unique(v, return_inverse=True)
+        return pd.DataFrame(_dealt(_bucket(_stirred(each), buckets), v=each, low=_sums(place, low, len(each))))
+
+    return run
+
+
+WEIGHTS = "bucket int, keys binary, total binary, weight binary"
+
+
+def backoff(n: np.ndarray, left: np.ndarray, low: np.ndarray, train_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Denominator and backoff weight of histories, so that the probabilities of each sum to one."""
+    total = np.where(n - left <= 1e-9 * n, n + 1.0, n)  # nothing was discounted: one more count is left for what is new
+    return total, (1 - left / total) / np.maximum(1 - low, 1 / (train_tokens + 1))
+
+
+def _weights(train_tokens: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sums, only_low = frame[frame["n"].notna()], frame[frame["n"].isna()]
+        keys, at = np.unique(np.concatenate([_unpacked(sums["v"]), _unpacked(only_low["v"])]), return_inverse=True)
+        here = at[: len(at) - len(_unpacked(only_low["v"]))]
+        n, left = (_sums(here, _unpacked(sums[c], np.float64), len(keys)) for c in ("n", "left"))
+        low = _sums(at, np.concatenate([_unpacked(sums["low"], np.float64), _unpacked(only_low["low"], np.float64)]), len(keys))
+        total, weight = backoff(n, left, low, train_tokens)
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "keys": [_packed(keys)], "total": [_packed(total)], "weight": [_packed(weight)]})
+
+    return run
+
+
+def _ranked_weights(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        keys = _unpacked(frame["keys"])
+        ranked = keys < HASHED
+        yield pd.DataFrame({"rank": keys[ranked], "total": _unpacked(frame["total"], np.float64)[ranked], "weight": _unpacked(frame["weight"], np.float64)[ranked]})
+
+
 @dataclass
 class KatzModel:
-    """What every worker needs; counts of words and bigrams stay in their tables."""
+    """What every worker has: the discounts, the ranked words and the frequent bigrams. The rest stays in its tables."""
 
-    unigram: np.ndarray
     factor: np.ndarray
-    total: np.ndarray  # by history
-    weight: np.ndarray  # by history
+    unigram: np.ndarray  # by rank
+    total: np.ndarray  # by rank of the history
+    weight: np.ndarray  # by rank of the history
     keys: np.ndarray  # frequent bigrams, in order
     counts: np.ndarray
 
-    def log_probability(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the class probability of each bigram, seen ``counts`` times."""
-        history, word = keys >> BITS, keys & ((1 << BITS) - 1)
+    def part(self, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of each bigram's probability, without the factors of histories and words that have no rank."""
         seen = counts > 0
-        discounted = self.factor[np.where(counts < len(self.factor), counts, 0)] * counts / self.total[history]
-        with np.errstate(divide="ignore"):
-            return np.log10(np.where(seen, discounted, self.weight[history] * self.unigram[word]))
+        history, word = np.where(v < HASHED, v, 0), np.where(w < HASHED, w, 0)
+        of_seen = np.log10(np.where(seen, _discounted(self.factor, counts), 1.0) / self.total[history])
+        return np.where(seen, of_seen, np.log10(self.weight[history] * self.unigram[word]))
 
 
-def _history_sums(factor: np.ndarray, unigram: np.ndarray):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for keys, counts in zip(frame["keys"], frame["counts"], strict=True):
-                history, at = np.unique(keys >> BITS, return_inverse=True)
-                left = factor[np.where(counts < len(factor), counts, 0)] * counts
-                yield pd.DataFrame({"h": history, "total": np.bincount(at, counts), "left": np.bincount(at, left), "low": np.bincount(at, unigram[keys & ((1 << BITS) - 1)])})
+EVENTS = "bucket int, v binary, w binary, uids binary, part binary"
+
+
+def _events(shared, start: int, buckets: int):
+    """Tokens dealt by bigram, with their texts; those of frequent bigrams are summed at once, as rows of bucket -1 and below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: KatzModel = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            v, w, sizes = _bigrams(batch, start)
+            uid, key = batch["uid"].to_numpy(), _pair(v, w)
+            owner = np.repeat(np.arange(len(uid)), sizes)
+            at, known = _found(model.keys, key)
+            part = _sums(owner[known], model.part(v[known], w[known], model.counts[at[known]] if known.any() else np.zeros(0, np.int64)), len(uid))
+            yield _batch({"bucket": [-1 - int(uid[0] % buckets)], "v": [None], "w": [None], "uids": [_packed(uid)], "part": [_packed(part)]})
+            rows = _dealt(_bucket(key[~known], buckets), v=v[~known], w=w[~known], uids=uid[owner[~known]])
+            yield _batch({**rows, "part": [None] * len(rows["bucket"])})
 
     return run
 
 
-def backoff(vocabulary: Vocabulary, factor: np.ndarray, sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Denominator and backoff weight of each history, so that its probabilities sum to one."""
-    total, weight = np.ones(vocabulary.start + 1), np.ones(vocabulary.start + 1)
-    h, n, left, low = (sums[c].to_numpy() for c in ("h", "total", "left", "low"))
-    n = np.where(n - left <= 1e-9 * n, n + 1.0, n)  # nothing was discounted: one more count is left for what is new
-    unseen = 1 - low
-    every = unseen <= 1e-12  # all classes follow it: nothing is left to back off to
-    total[h] = np.where(every, left, n)
-    weight[h] = np.where(every, 0.0, (1 - left / n) / np.where(every, 1.0, unseen))
-    return total, weight
+PARTS = "kind int, bucket int, keys binary, uids binary, known binary, base binary, part binary"
 
 
-def _lookups(shared, start: int, buckets: int):
-    """Rows of a bucket's keys and their texts; frequent bigrams are summed at once, as rows of bucket -1 and below."""
+def _sum_rows(uids: np.ndarray, buckets: int, known=None, base=None, part=None) -> pd.DataFrame:
+    """Sums by text, dealt by owner."""
+    each, at = np.unique(uids, return_inverse=True)
+    columns = {n: _sums(at, x, len(each)) for n, x in (("known", known), ("base", base), ("part", part)) if x is not None}
+    rows = pd.DataFrame(_dealt(_bucket(_stirred(each >> OWNED_BITS), buckets), uids=each, **columns))
+    return rows.assign(kind=SUM, keys=None, **{n: None for n in ("known", "base", "part") if n not in columns})
+
+
+def _requests(kind: int, keys: np.ndarray, uids: np.ndarray, buckets: int) -> pd.DataFrame:
+    rows = pd.DataFrame(_dealt(_bucket(_stirred(keys), buckets), keys=keys, uids=uids))
+    return rows.assign(kind=kind, known=None, base=None, part=None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: KatzModel = shared.value
-        for whole in batches:
-            for batch in (whole.slice(i, 2000) for i in range(0, len(whole), 2000)):
-                keys, sizes = _bigrams(batch, start)
-                uid = batch["uid"].to_numpy()
-                owner = np.repeat(np.arange(len(uid)), sizes)
-                at = np.minimum(np.searchsorted(model.keys, keys), max(len(model.keys) - 1, 0))
-                known = model.keys[at] == keys if len(model.keys) else np.zeros(len(keys), bool)
-                parts = _sums(owner[known], model.log_probability(keys[known], model.counts[at[known]]), len(uid))
-                near = -1 - int(uid[0] % buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([near], pa.int32()), _lists(np.zeros(0, np.int64), np.array([0, 0])), _lists(uid, np.array([0, len(uid)])), _lists(parts, np.array([0, len(uid)]))],
-                    names=["bucket", "keys", "uids", "parts"],
-                )
-                rest = _dealt(keys[~known], buckets, uids=uid[owner[~known]])
-                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(rest) + 1), pa.int32()), pa.array([], pa.float64()))
-                yield pa.RecordBatch.from_arrays([*rest.columns, none], names=["bucket", "keys", "uids", "parts"])
+
+def _met(shared, buckets: int):
+    """Bigrams meet their counts: sums by text, and requests for histories and words that have no rank."""
+
+    def run(events: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        uids = _unpacked(events["uids"])
+        if not len(events) or events["bucket"].iloc[0] < 0:
+            return _sum_rows(uids, buckets, part=_unpacked(events["part"], np.float64))
+        v, w = _unpacked(events["v"]), _unpacked(events["w"])
+        counts = np.zeros(len(v), np.int64)
+        if len(table):
+            at, there = _found(_pair(_unpacked(table["v"]), _unpacked(table["w"])), _pair(v, w))
+            counts = np.where(there, _unpacked(table["counts"])[at], 0)
+        new, history, word = counts == 0, v >= HASHED, w >= HASHED
+        asked = [(OF_SEEN, v, ~new & history), (OF_NEW, v, new & history), (OF_WORD, w, new & word)]
+        return pd.concat([_sum_rows(uids, buckets, part=shared.value.part(v, w, counts)), *[_requests(kind, keys[x], uids[x], buckets) for kind, keys, x in asked if x.any()]])
 
     return run
 
 
-def _rare_lookups(buckets: int):
+def _rare_tokens(buckets: int):
+    """The tokens whose word has no rank, dealt by word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 2000) for i in range(0, len(whole), 2000)):
-                keys, sizes = batch["rare"].flatten().to_numpy(zero_copy_only=False), np.diff(np.array(batch["rare"].offsets))
-                rest = _dealt(keys, buckets, uids=np.repeat(batch["uid"].to_numpy(), sizes))
-                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(rest) + 1), pa.int32()), pa.array([], pa.float64()))
-                yield pa.RecordBatch.from_arrays([*rest.columns, none], names=["bucket", "keys", "uids", "parts"])
+        for batch in batches:
+            keys, sizes = batch["rare"].flatten().to_numpy(zero_copy_only=False), np.diff(np.array(batch["rare"].offsets))
+            rows = _dealt(_bucket(_stirred(keys), buckets), keys=keys, uids=np.repeat(batch["uid"].to_numpy(), sizes))
+            names = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *[(n, pa.binary()) for n in ("keys", "uids", "known", "base", "part")]])
+            yield pa.RecordBatch.from_pylist([{"kind": OF_TOKEN, "bucket": int(b), "keys": k, "uids": u} for b, k, u in zip(*rows.values(), strict=True)], names)
 
     return run
 
 
-QUERIES = "bucket int, keys array<long>, uids array<long>, parts array<double>"
-PARTS = "uid long, known long, base double, part double"
+def _of_histories(buckets: int):
+    def run(requests: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        keys, total, weight = _unpacked(table["keys"]), _unpacked(table["total"], np.float64), _unpacked(table["weight"], np.float64)
+        uids, parts = [], []
+        for kind, values in ((OF_SEEN, -np.log10(total)), (OF_NEW, np.log10(weight))):
+            some = requests[requests["kind"] == kind]
+            at, there = _found(keys, _unpacked(some["keys"]))
+            uids.append(_unpacked(some["uids"]))
+            parts.append(np.where(there, values[at] if len(values) else 0.0, 0.0))  # a history never seen backs off with weight one
+        return _sum_rows(np.concatenate(uids), buckets, part=np.concatenate(parts))
 
+    return run
 
-def _met(value):
-    """Sums by text of what ``value(keys, counts)`` gives: known, base and part of each key."""
 
-    def run(queries: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries):
-            return pd.DataFrame({"uid": np.zeros(0, np.int64), "known": np.zeros(0, np.int64), "base": np.zeros(0), "part": np.zeros(0)})
-        if queries["bucket"].iloc[0] < 0:
-            uid, parts = np.concatenate(queries["uids"].to_list()), np.concatenate(queries["parts"].to_list())
-            return pd.DataFrame({"uid": uid, "known": 0, "base": 0.0, "part": parts})
-        uids, at = np.unique(np.concatenate(queries["uids"].to_list()), return_inverse=True)
-        keys, counts = np.concatenate(queries["keys"].to_list()), np.zeros(len(at), np.int64)
-        if len(table):
-            have, n = table["keys"].iloc[0], table["counts"].iloc[0]
-            place = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            counts = np.where(have[place] == keys, n[place], 0)
-        known, base, part = value(keys, counts)
-        return pd.DataFrame({"uid": uids, "known": _sums(at, known, len(uids)).astype(np.int64), "base": _sums(at, base, len(uids)), "part": _sums(at, part, len(uids))})
+def _of_words(shared, buckets: int):
+    def run(requests: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        vocabulary: Vocabulary = shared.value
+        keys, counts, frames = _unpacked(table["keys"]), _unpacked(table["counts"]), []
+        for kind in (OF_WORD, OF_TOKEN):
+            some = requests[requests["kind"] == kind]
+            at, there = _found(keys, _unpacked(some["keys"]))
+            n = np.where(there, counts[at] if len(counts) else 0, 0)
+            values = {"part": np.log10(vocabulary.unigram(n))} if kind == OF_WORD else {"known": n > 0, "base": vocabulary.base(n)}
+            frames.append(_sum_rows(_unpacked(some["uids"]), buckets, **values))
+        return pd.concat(frames)
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, rare_share: float = RARE_SHARE) -> DataFrame:
+def _totals(frame: pd.DataFrame) -> pd.DataFrame:
+    uids = [_unpacked(frame["uids"].iloc[i : i + 1]) for i in range(len(frame))]
+    each, at = np.unique(np.concatenate(uids), return_inverse=True)
+    ends = np.cumsum([len(u) for u in uids])
+    out = {"uid": each}
+    for name in ("known", "more", "score"):
+        total = np.zeros(len(each))
+        for i, packed in enumerate(frame[name]):
+            if packed is not None:
+                np.add.at(total, at[ends[i] - len(uids[i]) : ends[i]], _unpacked(pd.Series([packed]), np.float64))
+        out[name] = total
+    return pd.DataFrame(out).astype({"known": "int64"})
+
+
+def score(docs: DataFrame, held_out: Column, ranked_share: float = RANKED_SHARE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``.
 
     The model learns from the rows that are not held out; score is its log10 probability of the text,
     base_score that of single words with one added to each count. A null text counts as empty, which
     has the end alone. Repeated rows are texts of their own. With nothing to learn from, every word is
-    unknown and scores are 0. An empty table gives no rows.
+    unknown and scores are 0. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -361,42 +512,42 @@ def score(docs: DataFrame, held_out: Column, rare_share: float = RARE_SHARE) ->
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(chars / BUCKET_CHARS))
 
-    words = docs.where("NOT held_out").select("text").mapInArrow(_word_counts(buckets), COUNTS)
-    words = materialize(words.groupBy("bucket").applyInPandas(_summed, COUNTS), "words")
-    sums = words.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"), F.sum(F.size("keys")).alias("v")).first()
-    total, distinct = sums["n"] or 0, sums["v"] or 0
-    ranked = _frequent(words, max(2, rare_share * total))
-    vocabulary = Vocabulary(ranked["key"].to_numpy(np.int64), ranked["n"].to_numpy(np.int64), total, distinct)
-    start = vocabulary.start
-
-    shared = spark.sparkContext.broadcast(vocabulary)  # at most 1 / rare_share words
+    words = docs.where("NOT held_out").select("text").mapInArrow(_word_counts(buckets), WORDS)
+    words = materialize(words.groupBy("bucket").applyInPandas(_summed_words, f"{WORDS}, n long, v long"), "words")
+    sums = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    total = sums["n"] or 0
+    least = max(2, ranked_share * total)  # at most 1 / ranked_share words or bigrams are as frequent
+    ranked = words.mapInPandas(_at_least(least, ["keys"]), "keys long, counts long").toPandas().sort_values(["counts", "keys"], ascending=[False, True])
+    vocabulary = Vocabulary(ranked["keys"].to_numpy(np.int64), ranked["counts"].to_numpy(np.int64), total, sums["v"] or 0)
+    start, shared = vocabulary.start, spark.sparkContext.broadcast(vocabulary)
     encoded = materialize(docs.mapInArrow(_encoded(shared), ENCODED), "encoded")
-    bigrams = encoded.where("NOT held_out").select("ids").mapInArrow(_bigram_counts(start, buckets), COUNTS)
-    bigrams = materialize(bigrams.groupBy("bucket").applyInPandas(_summed, COUNTS), "bigrams")
-
-    each = bigrams.select(F.explode("counts").alias("r")).where(F.col("r") <= DISCOUNTED + 1).groupBy("r").count()
-    factor = discounts({r["r"]: r["count"] for r in each.collect()})  # six rows at most
-    by_history = bigrams.mapInPandas(_history_sums(factor, vocabulary.unigrams()), "h long, total double, left double, low double")
-    by_history = by_history.groupBy("h").agg(F.sum("total").alias("total"), F.sum("left").alias("left"), F.sum("low").alias("low"))
-    denominator, weight = backoff(vocabulary, factor, by_history.toPandas())  # at most 1 / rare_share + 2 histories
-    often = _frequent(bigrams, max(2, rare_share * total)).sort_values("key")
-    model = spark.sparkContext.broadcast(KatzModel(vocabulary.unigrams(), factor, denominator, weight, often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
-
-    def bigram_value(keys: np.ndarray, counts: np.ndarray):
-        return np.zeros(len(keys)), np.zeros(len(keys)), model.value.log_probability(keys, counts)
-
-    def rare_value(keys: np.ndarray, counts: np.ndarray):
-        known = shared.value
-        return counts > 0, known.base(counts), known.within_rare(counts)
-
-    def meet(queries: DataFrame, table: DataFrame, value) -> DataFrame:
-        return queries.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_met(value), PARTS)
-
-    parts = meet(encoded.select("uid", "ids").mapInArrow(_lookups(model, start, buckets), QUERIES), bigrams, bigram_value)
-    parts = materialize(parts.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("more"), F.sum("part").alias("part")), "bigram-parts")
-    rare = meet(encoded.select("uid", "rare").mapInArrow(_rare_lookups(buckets), QUERIES), words, rare_value)
-    every = parts.unionByName(rare.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("more"), F.sum("part").alias("part")))
-    every = every.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("part").alias("score"))
+
+    bigrams = encoded.where("NOT held_out").select("ids", "rare").mapInArrow(_bigram_counts(start, buckets), BIGRAMS)
+    bigrams = materialize(bigrams.groupBy("bucket").applyInPandas(_summed_bigrams, f"{BIGRAMS}, seen array<long>"), "bigrams")
+    seen = bigrams.select(F.posexplode("seen").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n"))
+    factor = discounts({x["r"]: x["n"] for x in seen.collect()})  # seven rows
+    often = bigrams.mapInPandas(_at_least(least, ["v", "w"]), "v long, w long, counts long").toPandas()
+
+    of_bigrams = materialize(bigrams.drop("seen").mapInPandas(_histories(shared, factor, buckets), HISTORIES), "histories")
+    rare_mass = of_bigrams.where(F.col("kind") == OF_WORD).select("bucket", "v", "w").groupBy("bucket").cogroup(words.groupBy("bucket"))
+    rare_mass = rare_mass.applyInPandas(_rare_mass(shared, buckets), "bucket int, v binary, low binary")
+    parts = of_bigrams.where(F.col("kind") == SUM).select("bucket", "v", "n", "left", "low").unionByName(rare_mass, allowMissingColumns=True)
+    weights = materialize(parts.groupBy("bucket").applyInPandas(_weights(total), WEIGHTS), "weights")
+    by_rank = weights.mapInPandas(_ranked_weights, "rank long, total double, weight double").toPandas()
+    totals, weight = np.ones(start + 1), np.ones(start + 1)
+    totals[by_rank["rank"]], weight[by_rank["rank"]] = by_rank["total"], by_rank["weight"]
+    keys = _pair(often["v"].to_numpy(np.int64), often["w"].to_numpy(np.int64))
+    order = np.argsort(keys)
+    unigram = np.concatenate([[1.0], vocabulary.unigram(vocabulary.counts), [1.0]])
+    model = spark.sparkContext.broadcast(KatzModel(factor, unigram, totals, weight, keys[order], often["counts"].to_numpy(np.int64)[order]))
+
+    events = encoded.select("uid", "ids", "rare").mapInArrow(_events(model, start, buckets), EVENTS)
+    met = materialize(events.groupBy("bucket").cogroup(bigrams.drop("seen").groupBy("bucket")).applyInPandas(_met(model, buckets), PARTS), "met")
+    asked = met.where(F.col("kind").isin(OF_SEEN, OF_NEW)).groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInPandas(_of_histories(buckets), PARTS)
+    of_words = met.where(F.col("kind") == OF_WORD).unionByName(encoded.select("uid", "rare").mapInArrow(_rare_tokens(buckets), PARTS))
+    of_words = of_words.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_of_words(shared, buckets), PARTS)
+    every = met.where(F.col("kind") == SUM).unionByName(asked).unionByName(of_words).select("bucket", "uids", "known", F.col("base").alias("more"), F.col("part").alias("score"))
+    every = every.groupBy("bucket").applyInPandas(_totals, "uid long, known long, more double, score double")
     return encoded.drop("ids", "rare").join(every, "uid").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score"
     )

@@ -11,48 +11,39 @@ from pyspark.sql import functions as F
 from attestra.llm import katz
 
 
-def brute_force(docs, held_out, rare_share):
+def brute_force(docs, held_out):
     split = lambda t: [*(t or "").encode().lower().split(), b" "]
     train = [split(t) for (_, t), out in zip(docs, held_out) if not out]
     words = Counter(w for t in train for w in t)
     total, distinct = sum(words.values()), len(words)
-    frequent = {w for w, n in words.items() if n >= max(2, rare_share * total)}
-    cls = lambda w: w if w in frequent else None
-    rare_n, rare_v = total - sum(words[w] for w in frequent), distinct - len(frequent)
-    p1 = {w: words[w] / (total + 1) for w in frequent} | {None: (rare_n + 1) / (total + 1)}
-    pairs = Counter(p for t in train for p in zip(["<s>", *map(cls, t[:-1])], map(cls, t)))
-    n = Counter(pairs.values())
-    factor = katz.discounts(n)
+    p1 = lambda w: max(words[w], 1) / (total + 1)
+    pairs = Counter(p for t in train for p in zip(["<s>", *t[:-1]], t))
+    factor = katz.discounts(Counter(pairs.values()))
     d = lambda c: factor[c] if c < len(factor) else 1.0
-    out, model = [], {}
+    model = {}
     for h in {p[0] for p in pairs}:
         seen = {w: c for (g, w), c in pairs.items() if g == h}
-        size, left, low = sum(seen.values()), sum(d(c) * c for c in seen.values()), sum(p1[w] for w in seen)
+        size, left = sum(seen.values()), sum(d(c) * c for c in seen.values())
         if size - left <= 1e-9 * size:
             size += 1
-        if 1 - low <= 1e-12:
-            model[h] = ({w: d(c) * c / left for w, c in seen.items()}, 0.0)
-        else:
-            model[h] = ({w: d(c) * c / size for w, c in seen.items()}, (1 - left / size) / (1 - low))
+        model[h] = ({w: d(c) * c / size for w, c in seen.items()}, (1 - left / size) / (1 - sum(map(p1, seen))))
+        seen, weight = model[h]
+        assert sum(seen.values()) + weight * (sum(p1(w) for w in words if w not in seen) + 1 / (total + 1)) == pytest.approx(1)
+    out = []
     for i, text in docs:
         t = split(text)
         base = sum(math.log10((words[w] + 1) / (total + distinct + 1)) for w in t)
-        score, h = 0.0, "<s>"
-        for w in t:
+        score = 0.0
+        for h, w in zip(["<s>", *t[:-1]], t):
             seen, weight = model.get(h, ({}, 1.0))
-            p = seen.get(cls(w), weight * p1[cls(w)])
-            score += math.log10(p)
-            if cls(w) is None:
-                score += math.log10((words[w] + 1) / (rare_n + rare_v + 1))
-            h = cls(w)
+            score += math.log10(seen[w] if w in seen else weight * p1(w))
         out.append((i, len(t), sum(words[w] > 0 for w in t), total, base, score))
-    for h, (seen, weight) in model.items():
-        assert sum(seen.values()) + weight * sum(p for w, p in p1.items() if w not in seen) == pytest.approx(1)
     return out
 
 
-@pytest.mark.parametrize("share", [1e-6, 0.004])
+@pytest.mark.parametrize("share", [1e-6, 0.004, 1.0])
 def test_scores_are_those_of_brute_force(spark, share):
+    """Whatever share of words and bigrams every worker knows: few, some, or none."""
     rng = np.random.default_rng(3)
     docs = [(i, " ".join(f"W{int(k)}" for k in rng.zipf(1.4, int(rng.integers(1, 80))) if k < 500)) for i in range(120)]
     docs += [(200, None), (201, ""), (202, " \n\t"), (203, "w1 w2 " * 3000), (204, "ünknown Ünknown"), (204, "ünknown Ünknown")]
@@ -61,7 +52,7 @@ def test_scores_are_those_of_brute_force(spark, share):
     got = katz.score(frame, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, share).collect()
     key = lambda r: (r[0], r[1])
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
-    want = sorted(brute_force(docs, held, share), key=key)
+    want = sorted(brute_force(docs, held), key=key)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     np.testing.assert_allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9, atol=1e-9)
 
