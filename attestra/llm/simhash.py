@@ -1,9 +1,7 @@
 """SimHash near-duplicates found by covering locality-sensitive hashing.
 
-Each text gets one 64-bit fingerprint. Bit positions carry the nonzero vectors of r+1 bits in turn;
-table v (one for each nonzero vector) keeps the positions whose vector has an odd product with v. Any
-r positions leave a nonzero v that is orthogonal to their vectors, so fingerprints that differ in r
-bits or fewer agree on everything that at least one table keeps: no pair within the radius is missed.
+Each text gets one 64-bit fingerprint. Fingerprints that differ in r bits or fewer agree on everything
+that at least one table of a covering mask keeps: no pair within the radius is missed.
 
 Equal fingerprints are merged before the search. Small buckets compare their pairs. In a large bucket
 every member names itself and its one-bit neighbours among the positions that the table drops: two
@@ -25,7 +23,8 @@ from pyspark.sql import types as T
 
 from attestra.llm.common import materialize, small_batches
 from attestra.llm.components import connected_components
-from attestra.llm.shingles import linked_sets, marks_of
+from attestra.llm.covering import apart, covering_masks, longs, mixed, table_keys
+from attestra.llm.shingles import NAMES, linked_sets, marks_of
 
 SHINGLE = 3
 SEED = 42
@@ -35,9 +34,6 @@ SMALL_BUCKET = 48
 PAIR_BUCKET = 4
 BLOCK = 2048
 CHUNK = 200_000
-#: Near-copies of whole texts: fingerprints of two-word shingles, four for each text. Five-word shingles with a similarity
-#: of 0.8 mean about 24 differing bits of 256 there, and the nearest of the four is within 4 bits in most cases.
-TEXT_SHINGLE, TEXT_CHUNKS, TEXT_RADIUS, TEXT_LIMIT = 2, 4, 4, 26
 
 
 def fingerprints_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED, chunks: int = 1) -> np.ndarray:
@@ -58,18 +54,11 @@ def fingerprints_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED,
         part = slice(at, at + CHUNK)
         hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(firsts[part], stops[part], strict=True)), np.uint64, min(CHUNK, last - at))
         for c in range(chunks):
-            mixed = _mixed(hashes, c) if c else hashes
-            ones[c] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            stirred = mixed(hashes, c) if c else hashes
+            ones[c] += np.unpackbits(stirred.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > last, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def _mixed(hashes: np.ndarray, c: int) -> np.ndarray:
-    x = hashes + np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned fingerprint of one text."""
     return int(fingerprints_of(text, shingle, seed)[0])
@@ -95,20 +84,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, more
     return read.mapInArrow(_fingerprints(shingle, seed, list(names)), T.StructType([*read.drop("text").schema, *[T.StructField(name, T.LongType()) for name in names]]))
 
 
-def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """The bits that each of the 2^(radius+1) - 1 tables keeps."""
-    vectors = 2 ** (radius + 1) - 1
-    return [sum(1 << i for i in range(bits) if ((1 + i % vectors) & v).bit_count() % 2) for v in range(1, vectors + 1)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(_signed(x)).cast("long") for x in values])
-
-
 def _block_links(chunks: list[str], limit: int):
     """Star edges of the links between two blocks of a bucket; each node's to the smallest node it reaches there."""
 
@@ -119,8 +94,8 @@ def _block_links(chunks: list[str], limit: int):
         root = np.arange(len(nodes))
         for at in range(0, len(left), 256):
             some = left[at : at + 256]
-            apart = sum(np.bitwise_count(marks[some, None, c] ^ marks[None, right, c]).astype(np.int16) for c in range(len(chunks)))
-            a, b = np.nonzero(apart <= limit)
+            bits = sum(np.bitwise_count(marks[some, None, c] ^ marks[None, right, c]).astype(np.int16) for c in range(len(chunks)))
+            a, b = np.nonzero(bits <= limit)
             a, b = some[a], right[b]
             while (split := root[a] != root[b]).any():
                 a, b = a[split], b[split]
@@ -140,18 +115,12 @@ def linked_nodes(distinct: DataFrame, chunks: Sequence[str], radius: int, limit:
     ``block`` members, whose tasks return star edges: one for each member at most. The components are the same either way.
     """
     chunks = list(chunks)
-    masks = _longs(covering_masks(radius))
-
-    def kept(k: int) -> Column:
-        return F.transform(masks, lambda m, t: F.xxhash64(F.lit(k), t, F.col(chunks[k]).bitwiseAND(m)))
-
-    keys = distinct.select("node", F.explode(F.flatten(F.array(*map(kept, range(len(chunks)))))).alias("key"))
+    keys = distinct.select("node", F.explode(table_keys(chunks, radius)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(shared, "key").join(distinct.select("node", *chunks), "node"), "buckets")
     few, many = members.where(F.col("n") <= small_bucket), members.where(F.col("n") > small_bucket)
     side = lambda s: few.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in chunks])
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in chunks), F.lit(0))
-    near = side("a").join(side("b"), "key").where("a > b").where(apart <= limit).select("a", "b")
+    near = side("a").join(side("b"), "key").where("a > b").where(apart([f"a_{c}" for c in chunks], [f"b_{c}" for c in chunks]) <= limit).select("a", "b")
     many = many.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -168,13 +137,13 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, small_bucket:
     if radius != 2:
         return linked_nodes(distinct.select(F.col("fp").alias("node"), "fp"), ["fp"], radius, radius, small_bucket, block)
     masks = covering_masks(radius)
-    keys = distinct.select("fp", F.posexplode(F.transform(_longs(masks), lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
+    keys = distinct.select("fp", F.posexplode(F.transform(longs(masks), lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
     shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(shared, ["t", "key"]), "buckets")
     few, many = members.where(F.col("n") <= small_bucket), members.where(F.col("n") > small_bucket)
     left, right = few.select("t", "key", F.col("fp").alias("a")), few.select("t", "key", F.col("fp").alias("b"))
     near = left.join(right, ["t", "key"]).where("a > b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    flips = F.array(*[_longs([0] + [1 << i for i in range(64) if not m >> i & 1]) for m in masks])
+    flips = F.array(*[longs([0] + [1 << i for i in range(64) if not m >> i & 1]) for m in masks])
     names = many.select("t", "fp", F.explode(F.transform(F.get(flips, F.col("t")), lambda f: F.col("fp").bitwiseXOR(f))).alias("name"))
     met = names.groupBy("t", "name").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     return near.unionByName(met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b"))
@@ -209,7 +178,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     key = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")}
     marks = materialize(marks_of(docs), "marks")
-    firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first"), *[F.any_value(n).alias(n) for n in NAMES])
     distinct = materialize(firsts, "distinct")
     roots = linked_sets(docs, distinct)
     of_fp = distinct.join(roots.withColumnRenamed("id", "node"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))

@@ -16,10 +16,11 @@ def similarity(a, b):
     return len(of(a) & of(b)) / len(of(a) | of(b))
 
 
-@pytest.mark.parametrize("block", [512, 4])
+@pytest.mark.parametrize("block", [256, 4])
 def test_links_are_all_pairs_of_similarity_0_8_and_no_others(spark, monkeypatch, block):
     """Edited copies around the limit, chains of them, and texts that share a long passage."""
     monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(shingles, "SMALL_BUCKET", 16 if block > 4 else 2)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(2000)]
     passage = [rng.choice(words) for _ in range(60)]
