@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: Removes a finished write's shuffle files at once instead of at the driver's next garbage collection.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: The folders of tables that ``materialize`` wrote.
+SCRATCH: WeakKeyDictionary = WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -34,7 +38,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs a reread, never a recomputation of the steps before. The table goes
-    when the application ends.
+    with ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/attestra-{uuid.uuid4().hex}-{label}"
@@ -49,7 +53,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
             spark.conf.set(SHUFFLE_CLEANUP, before)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    SCRATCH[out] = hadoop
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once all that was made of them is written too."""
+    for table in tables:
+        path = SCRATCH.pop(table)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

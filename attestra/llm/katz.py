@@ -6,22 +6,23 @@ which its backoff weight gives to the words that did not follow it, in proportio
 probabilities c / (N + 1), of which a word never seen has 1 / (N + 1). So for every history the
 probabilities of all words and of one unknown word sum to one.
 
-Counts are summed within each task before the shuffle, so a frequent word or pair is no burden. To
-score, each token's bigram meets its count in its bucket. A seen bigram gives its discounted
-probability; otherwise the recursion asks for the history's weight and goes on to the unigram. What
-has a share of ``RANKED_SHARE`` of the training tokens or more (at most 1 / RANKED_SHARE words or
-bigrams, whatever the corpus) is known to every worker as well, which saves its tokens the way; no
-result depends on that share, and no key that travels has a larger one.
+Texts are encoded in chunks. A chunk tells each bucket of bigrams how often it has them in training texts,
+once for each distinct bigram, so a frequent word or pair is no burden; the bucket sums them for its table
+and answers the chunk where the sum is another than the chunk's own. Words without a rank are asked for in the
+same way. A chunk then has the counts, denominators and weights of all that its texts hold, and each token is
+evaluated there: a seen bigram by its discounted probability, otherwise by the history's weight and, in turn, the
+unigram. Words with a share of ``RANKED_SHARE`` of the training tokens or more (at most 1 / RANKED_SHARE
+words, whatever the corpus) are known to every worker; this saves asking, and no result depends on it.
 
 Words are known by 62 bits of a hash and bigrams by 64, so that two of a thousand million words are taken for
-one with a probability of about one in ten, and far fewer than one in a million bigrams of any corpus.
+one with a probability of about one in ten, and far fewer than one in a million bigrams.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,21 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import materialize, small_batches
+from attestra.llm.common import discard, materialize, small_batches
 
 RANKED_SHARE = 1e-6
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Characters of text for each bucket, and the least number of buckets.
 BUCKET_CHARS, LEAST_BUCKETS = 16_000_000, 12
-CHUNK_CHARS, CHUNK_KEYS, CACHE_WORDS = 4_000_000, 2_000_000, 400_000
-#: Rows of an owner: consecutive texts whose sums meet in one bucket.
-OWNED_BITS = 10
+CHUNK_TOKENS, CACHE_WORDS = 2_000_000, 400_000
 #: Words without a rank have this bit.
 HASHED = 1 << 62
 END_WORD = b" "  # no word holds a space
-#: What a row of the second pass is: sums of texts, or requests for what the recursion needs next.
-SUM, OF_SEEN, OF_NEW, OF_WORD, OF_TOKEN = range(5)
+#: What a row is: part of a table, an answer to a chunk, or bigrams whose word has no rank.
+TABLE, ANSWER, RARE = range(3)
 
 
 def word_key(word: bytes) -> int:
@@ -78,7 +77,7 @@ def _packed(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _unpacked(column: pd.Series, kind=np.int64) -> np.ndarray:
+def _unpacked(column: Iterable[bytes], kind=np.int64) -> np.ndarray:
     """The values of all rows of a packed column."""
     raw = [zstandard.ZstdDecompressor().decompress(b) for b in column]
     parts = [np.frombuffer(r, np.uint8).reshape(8, -1).T.copy().view(kind).reshape(-1) for r in raw if r]
@@ -95,7 +94,8 @@ def _dealt(bucket: np.ndarray, **columns: np.ndarray) -> dict[str, list]:
 
 
 def _batch(rows: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if name == "bucket" else pa.binary()) for name, x in rows.items()], names=list(rows))
+    kinds = {"bucket": pa.int32(), "chunk": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds.get(name, pa.binary())) for name, x in rows.items()], names=list(rows))
 
 
 def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -139,13 +139,13 @@ def _summed_words(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "keys": [_packed(keys)], "counts": [_packed(counts)], "n": counts.sum(), "v": len(keys)})
 
 
-def _at_least(least: float, names: list[str]):
-    """Rows (names, counts) of a table's keys with ``least`` or more."""
+def _at_least(least: float):
+    """(keys, counts) of the words with ``least`` tokens or more."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             counts = _unpacked(frame["counts"])
-            yield pd.DataFrame({**{n: _unpacked(frame[n])[counts >= least] for n in names}, "counts": counts[counts >= least]})
+            yield pd.DataFrame({"keys": _unpacked(frame["keys"])[counts >= least], "counts": counts[counts >= least]})
 
     return run
 
@@ -172,7 +172,7 @@ class Vocabulary:
         return np.maximum(counts, 1) / (self.total + 1)
 
 
-ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, ids array<int>, rare array<long>"
+ENCODED = "chunk long, doc_ids binary, no_id binary, held binary, sizes binary, ids binary, rare binary"
 
 
 class _Ranks(dict):
@@ -187,98 +187,86 @@ class _Ranks(dict):
         return rank
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-
-
 def _encoded(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Vocabulary = shared.value
-        ranks, base = _Ranks(known.keys), np.concatenate([[0.0], known.base(known.counts)])
-        uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in _sized(batch):
-                flat, ends = [], []
-                for text in part["text"]:
-                    words = tokens(text.as_py())
-                    if len(ranks) > CACHE_WORDS:
-                        ranks.clear()
-                    flat.append(np.fromiter(map(ranks.__getitem__, words), np.int64, len(words)))
-                    ends.append(len(words))
-                rows, offsets = np.concatenate(flat), np.concatenate([[0], np.cumsum(ends)])
-                rare = rows >= HASHED
-                ids = np.where(rare, 0, rows).astype(np.int32)
-                rare_at = np.concatenate([[0], np.cumsum(rare)])[offsets]
-                n = np.array(ends, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(uid, uid + len(n))), part["doc_id"], part["held_out"], pa.array(n), pa.array(n - np.diff(rare_at)),
-                        pa.array(np.add.reduceat(base[ids], offsets[:-1])), _lists(ids, offsets), _lists(rows[rare], rare_at),
-                    ],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "rare"],
-                )
-                uid += len(n)
-
-    return run
+    """One row for each chunk: its documents, the ranks of their words in turn, 0 for one without, and the keys of those."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, chunk, docs, held, size = _Ranks(shared.value.keys), TaskContext.get().partitionId() << 32, [], [], 0
 
-def _sized(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``CHUNK_CHARS`` characters, one row at least."""
-    begin, size = 0, 0
-    for i, text in enumerate(batch["text"]):
-        size += len(text.as_py() or "")
-        if size >= CHUNK_CHARS:
-            yield batch.slice(begin, i + 1 - begin)
-            begin, size = i + 1, 0
-    if begin < len(batch):
-        yield batch.slice(begin)
+        def row() -> pa.RecordBatch:
+            flat = np.concatenate([x for _, _, x in docs])
+            some = [i is None for i, _, _ in docs]
+            columns = {
+                "doc_ids": np.array([i or 0 for i, _, _ in docs], np.int64), "no_id": np.array(some, np.int64), "held": np.array([h for _, h, _ in docs], np.int64),
+                "sizes": np.array([len(x) for _, _, x in docs], np.int64), "ids": np.where(flat >= HASHED, 0, flat), "rare": flat[flat >= HASHED],
+            }
+            return _batch({"chunk": [chunk], **{n: [_packed(x)] for n, x in columns.items()}})
 
+        for batch in batches:
+            for doc_id, out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"], strict=True):
+                words = tokens(text.as_py())
+                if len(ranks) > CACHE_WORDS:
+                    ranks.clear()
+                docs.append((doc_id, bool(out), np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))))
+                size += len(words)
+                if size >= CHUNK_TOKENS:
+                    yield row()
+                    chunk, docs, size = chunk + 1, [], 0
+        if docs:
+            yield row()
 
-def _bigrams(batch: pa.RecordBatch, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """History and word of every token of all rows, and the number of tokens of each row."""
-    column = batch["ids"]
-    w, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.array(column.offsets)
-    w[w == 0] = batch["rare"].flatten().to_numpy(zero_copy_only=False)
-    v = np.concatenate([[start], w[:-1]])
-    v[offsets[:-1] - offsets[0]] = start
-    return v, w, np.diff(offsets)
+    return run
 
 
-BIGRAMS = "bucket int, v binary, w binary, counts binary"
+class _Chunk:
+    """The tokens of a chunk: history, word, and whether they are of a training text."""
 
+    def __init__(self, sizes: bytes, held: bytes, ids: bytes, rare: bytes, start: int):
+        get = lambda packed: _unpacked([packed])
+        self.sizes, self.held, self.word = get(sizes), get(held).astype(bool), get(ids)
+        self.word[self.word == 0] = get(rare)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.history = np.concatenate([[start], self.word[:-1]])
+        self.history[self.begins] = start
+        self.key, self.first, self.at = np.unique(_pair(self.history, self.word), return_index=True, return_inverse=True)
+        self.v, self.w = self.history[self.first], self.word[self.first]
+        self.trained = np.bincount(self.at, np.repeat(~self.held, self.sizes), len(self.key)).astype(np.int64)
 
-def _merged(v: np.ndarray, w: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Each bigram once, in the order of its key: key, history, word, count."""
-    key, first, at, n = np.unique(_pair(v, w), return_index=True, return_inverse=True, return_counts=True)
-    return key, v[first], w[first], n if counts is None else np.bincount(at, counts, len(key)).astype(np.int64)
 
+def _asked(start: int, buckets: int):
+    """The distinct bigrams of each chunk, with their number in its training texts, dealt by bigram."""
 
-def _bigram_counts(start: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def dealt() -> pa.RecordBatch:
-            key, v, w, n = _merged(*map(np.concatenate, zip(*held, strict=True)))
-            return _batch(_dealt(_bucket(key, buckets), v=v, w=w, counts=n.astype(np.int64)))
-
         for batch in batches:
-            if len(batch):
-                held.append(_bigrams(batch, start)[:2])
-                size += len(held[-1][0])
-            if size >= CHUNK_KEYS:
-                yield dealt()
-                held, size = [], 0
-        if held:
-            yield dealt()
+            for x in batch.to_pylist():
+                chunk = _Chunk(x["sizes"], x["held"], x["ids"], x["rare"], start)
+                order = np.lexsort((chunk.w, chunk.v))  # neighbours alike: they compress
+                rows = _dealt(_bucket(chunk.key[order], buckets), v=chunk.v[order], w=chunk.w[order], counts=chunk.trained[order])
+                yield _batch({"chunk": [x["chunk"]] * len(rows["bucket"]), **rows})
 
     return run
 
 
-def _summed_bigrams(frame: pd.DataFrame) -> pd.DataFrame:
-    """The bucket's bigrams in the order of their keys, and how many were seen once, twice and so on."""
-    _, v, w, n = _merged(_unpacked(frame["v"]), _unpacked(frame["w"]), _unpacked(frame["counts"]))
-    seen = np.bincount(n[n <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
-    return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "v": [_packed(v)], "w": [_packed(w)], "counts": [_packed(n)], "seen": [seen]})
+BIGRAMS = "kind int, chunk long, bucket int, v binary, w binary, counts binary, seen array<long>"
+
+
+def _counted(frame: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's table of bigrams, with how many were seen once, twice and so on, and what each chunk doesn't know by itself."""
+    v, w, own = ([_unpacked([b]) for b in frame[c]] for c in ("v", "w", "counts"))
+    ends = np.cumsum([len(x) for x in v])
+    v, w, own = map(np.concatenate, (v, w, own))
+    _, first, at = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+    total = np.bincount(at, own, len(first)).astype(np.int64)
+    first, seen = first[total > 0], total[total > 0]
+    order = np.lexsort((w[first], v[first]))
+    spread = np.bincount(seen[seen <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
+    rows = [(TABLE, None, _packed(v[first][order]), _packed(w[first][order]), _packed(seen[order]), spread)]
+    for chunk, end, begin in zip(frame["chunk"], ends, [0, *ends[:-1]], strict=True):
+        part = slice(begin, end)
+        other = total[at[part]] != own[part]
+        rows.append((ANSWER, chunk, _packed(v[part][other]), _packed(w[part][other]), _packed(total[at[part]][other]), None))
+    out = pd.DataFrame(rows, columns=["kind", "chunk", "v", "w", "counts", "seen"])
+    return out.assign(chunk=out["chunk"].astype("Int64"), bucket=frame["bucket"].iloc[0])
 
 
 def discounts(seen: dict[int, int], most: int = DISCOUNTED) -> np.ndarray:
@@ -316,9 +304,9 @@ def _histories(shared, factor: np.ndarray, buckets: int):
                 each, at = np.unique(v, return_inverse=True)
                 values = {"n": counts, "left": _discounted(factor, counts), "low": mass[np.where(rare, 0, w)]}
                 rows = _dealt(_bucket(_stirred(each), buckets), v=each, **{k: _sums(at, x, len(each)) for k, x in values.items()})
-                yield pd.DataFrame(rows).assign(kind=SUM, w=None)
+                yield pd.DataFrame(rows).assign(kind=TABLE, w=None)
                 rows = _dealt(_bucket(_stirred(w[rare]), buckets), v=v[rare], w=w[rare])
-                yield pd.DataFrame(rows).assign(n=None, left=None, low=None, kind=OF_WORD)
+                yield pd.DataFrame(rows).assign(n=None, left=None, low=None, kind=RARE)
 
     return run
 
@@ -367,137 +355,77 @@ def _ranked_weights(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class KatzModel:
-    """What every worker has: the discounts, the ranked words and the frequent bigrams. The rest stays in its tables."""
+    """What every worker has: the discounts, and unigrams, denominators and weights by rank. The rest stays in its tables."""
 
     factor: np.ndarray
-    unigram: np.ndarray  # by rank
-    total: np.ndarray  # by rank of the history
-    weight: np.ndarray  # by rank of the history
-    keys: np.ndarray  # frequent bigrams, in order
     counts: np.ndarray
+    total: np.ndarray
+    weight: np.ndarray
 
-    def part(self, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of each bigram's probability, without the factors of histories and words that have no rank."""
-        seen = counts > 0
-        history, word = np.where(v < HASHED, v, 0), np.where(w < HASHED, w, 0)
-        of_seen = np.log10(np.where(seen, _discounted(self.factor, counts), 1.0) / self.total[history])
-        return np.where(seen, of_seen, np.log10(self.weight[history] * self.unigram[word]))
-
-
-EVENTS = "bucket int, v binary, w binary, uids binary, part binary"
 
-
-def _events(shared, start: int, buckets: int):
-    """Tokens dealt by bigram, with their texts; those of frequent bigrams are summed at once, as rows of bucket -1 and below."""
+def _asked_words(buckets: int):
+    """The distinct words without a rank of each chunk, dealt by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: KatzModel = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            v, w, sizes = _bigrams(batch, start)
-            uid, key = batch["uid"].to_numpy(), _pair(v, w)
-            owner = np.repeat(np.arange(len(uid)), sizes)
-            at, known = _found(model.keys, key)
-            part = _sums(owner[known], model.part(v[known], w[known], model.counts[at[known]] if known.any() else np.zeros(0, np.int64)), len(uid))
-            yield _batch({"bucket": [-1 - int(uid[0] % buckets)], "v": [None], "w": [None], "uids": [_packed(uid)], "part": [_packed(part)]})
-            rows = _dealt(_bucket(key[~known], buckets), v=v[~known], w=w[~known], uids=uid[owner[~known]])
-            yield _batch({**rows, "part": [None] * len(rows["bucket"])})
+            for x in batch.to_pylist():
+                keys = np.unique(_unpacked([x["rare"]]))
+                rows = _dealt(_bucket(_stirred(keys), buckets), keys=keys)
+                yield _batch({"chunk": [x["chunk"]] * len(rows["bucket"]), **rows})
 
     return run
 
 
-PARTS = "kind int, bucket int, keys binary, uids binary, known binary, base binary, part binary"
-
-
-def _sum_rows(uids: np.ndarray, buckets: int, known=None, base=None, part=None) -> pd.DataFrame:
-    """Sums by text, dealt by owner."""
-    each, at = np.unique(uids, return_inverse=True)
-    columns = {n: _sums(at, x, len(each)) for n, x in (("known", known), ("base", base), ("part", part)) if x is not None}
-    rows = pd.DataFrame(_dealt(_bucket(_stirred(each >> OWNED_BITS), buckets), uids=each, **columns))
-    return rows.assign(kind=SUM, keys=None, **{n: None for n in ("known", "base", "part") if n not in columns})
-
-
-def _requests(kind: int, keys: np.ndarray, uids: np.ndarray, buckets: int) -> pd.DataFrame:
-    rows = pd.DataFrame(_dealt(_bucket(_stirred(keys), buckets), keys=keys, uids=uids))
-    return rows.assign(kind=kind, known=None, base=None, part=None)
-
-
-def _met(shared, buckets: int):
-    """Bigrams meet their counts: sums by text, and requests for histories and words that have no rank."""
-
-    def run(events: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        uids = _unpacked(events["uids"])
-        if not len(events) or events["bucket"].iloc[0] < 0:
-            return _sum_rows(uids, buckets, part=_unpacked(events["part"], np.float64))
-        v, w = _unpacked(events["v"]), _unpacked(events["w"])
-        counts = np.zeros(len(v), np.int64)
-        if len(table):
-            at, there = _found(_pair(_unpacked(table["v"]), _unpacked(table["w"])), _pair(v, w))
-            counts = np.where(there, _unpacked(table["counts"])[at], 0)
-        new, history, word = counts == 0, v >= HASHED, w >= HASHED
-        asked = [(OF_SEEN, v, ~new & history), (OF_NEW, v, new & history), (OF_WORD, w, new & word)]
-        return pd.concat([_sum_rows(uids, buckets, part=shared.value.part(v, w, counts)), *[_requests(kind, keys[x], uids[x], buckets) for kind, keys, x in asked if x.any()]])
-
-    return run
+ANSWERS = "chunk long, keys binary, counts binary, total binary, weight binary"
 
 
-def _rare_tokens(buckets: int):
-    """The tokens whose word has no rank, dealt by word."""
+def _answered_words(requests: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+    """Count of each word that a chunk asked for, and its denominator and weight as a history."""
+    words, histories = tables[tables["counts"].notna()], tables[tables["total"].notna()]
+    keys, counts = _unpacked(words["keys"]), np.append(_unpacked(words["counts"]), 0)
+    places, of = _unpacked(histories["keys"]), {n: np.append(_unpacked(histories[n], np.float64), 1.0) for n in ("total", "weight")}
+    rows = []
+    for chunk, packed in zip(requests["chunk"], requests["keys"], strict=True):
+        wanted = _unpacked([packed])
+        (at, there), (place, known) = _found(keys, wanted), _found(places, wanted)
+        at, place = np.where(there, at, -1), np.where(known, place, -1)  # the last entries stand for what was never seen
+        rows.append((chunk, packed, _packed(counts[at]), *[_packed(of[n][place]) for n in ("total", "weight")]))
+    return pd.DataFrame(rows, columns=["chunk", "keys", "counts", "total", "weight"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes = batch["rare"].flatten().to_numpy(zero_copy_only=False), np.diff(np.array(batch["rare"].offsets))
-            rows = _dealt(_bucket(_stirred(keys), buckets), keys=keys, uids=np.repeat(batch["uid"].to_numpy(), sizes))
-            names = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *[(n, pa.binary()) for n in ("keys", "uids", "known", "base", "part")]])
-            yield pa.RecordBatch.from_pylist([{"kind": OF_TOKEN, "bucket": int(b), "keys": k, "uids": u} for b, k, u in zip(*rows.values(), strict=True)], names)
 
-    return run
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _of_histories(buckets: int):
-    def run(requests: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        keys, total, weight = _unpacked(table["keys"]), _unpacked(table["total"], np.float64), _unpacked(table["weight"], np.float64)
-        uids, parts = [], []
-        for kind, values in ((OF_SEEN, -np.log10(total)), (OF_NEW, np.log10(weight))):
-            some = requests[requests["kind"] == kind]
-            at, there = _found(keys, _unpacked(some["keys"]))
-            uids.append(_unpacked(some["uids"]))
-            parts.append(np.where(there, values[at] if len(values) else 0.0, 0.0))  # a history never seen backs off with weight one
-        return _sum_rows(np.concatenate(uids), buckets, part=np.concatenate(parts))
+def _scored(shared, model, start: int):
+    """The scores of a chunk's texts from what it has been told."""
 
-    return run
+    def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        vocabulary, katz, x = shared.value, model.value, chunks.iloc[0]
+        chunk = _Chunk(x["sizes"], x["held"], x["ids"], x["rare"], start)
+        told = answers[answers["v"].notna()]
+        key, told_counts = _pair(_unpacked(told["v"]), _unpacked(told["w"])), _unpacked(told["counts"])
+        order = np.argsort(key)
+        at, there = _found(key[order], chunk.key)
+        counts = chunk.trained.copy()
+        counts[there] = told_counts[order][at[there]]
+        words = answers[answers["keys"].notna()]
+        keys = _unpacked(words["keys"])
+        order = np.argsort(keys)
 
+        def of(who: np.ndarray, by_rank: np.ndarray, name: str) -> np.ndarray:
+            rare, out = who >= HASHED, by_rank[np.where(who >= HASHED, 0, who)]
+            out[rare] = _unpacked(words[name], out.dtype)[order][_found(keys[order], who[rare])[0]]
+            return out
 
-def _of_words(shared, buckets: int):
-    def run(requests: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        vocabulary: Vocabulary = shared.value
-        keys, counts, frames = _unpacked(table["keys"]), _unpacked(table["counts"]), []
-        for kind in (OF_WORD, OF_TOKEN):
-            some = requests[requests["kind"] == kind]
-            at, there = _found(keys, _unpacked(some["keys"]))
-            n = np.where(there, counts[at] if len(counts) else 0, 0)
-            values = {"part": np.log10(vocabulary.unigram(n))} if kind == OF_WORD else {"known": n > 0, "base": vocabulary.base(n)}
-            frames.append(_sum_rows(_unpacked(some["uids"]), buckets, **values))
-        return pd.concat(frames)
+        total, weight, n = of(chunk.v, katz.total, "total"), of(chunk.v, katz.weight, "weight"), of(chunk.w, katz.counts, "counts")
+        p = np.where(counts > 0, _discounted(katz.factor, counts) / total, weight * vocabulary.unigram(n))
+        each = lambda values: np.add.reduceat(values[chunk.at], chunk.begins)
+        doc_id = pd.Series(_unpacked([x["doc_ids"]]), dtype="Int64").mask(_unpacked([x["no_id"]]).astype(bool))
+        return pd.DataFrame({"doc_id": doc_id, "held_out": chunk.held, "n_tokens": chunk.sizes, "n_known": each((n > 0).astype(np.int64)), "base_score": each(vocabulary.base(n)), "score": each(np.log10(p))})
 
     return run
 
 
-def _totals(frame: pd.DataFrame) -> pd.DataFrame:
-    uids = [_unpacked(frame["uids"].iloc[i : i + 1]) for i in range(len(frame))]
-    each, at = np.unique(np.concatenate(uids), return_inverse=True)
-    ends = np.cumsum([len(u) for u in uids])
-    out = {"uid": each}
-    for name in ("known", "more", "score"):
-        total = np.zeros(len(each))
-        for i, packed in enumerate(frame[name]):
-            if packed is not None:
-                np.add.at(total, at[ends[i] - len(uids[i]) : ends[i]], _unpacked(pd.Series([packed]), np.float64))
-        out[name] = total
-    return pd.DataFrame(out).astype({"known": "int64"})
-
-
 def score(docs: DataFrame, held_out: Column, ranked_share: float = RANKED_SHARE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``.
 
@@ -517,37 +445,31 @@ def score(docs: DataFrame, held_out: Column, ranked_share: float = RANKED_SHARE)
     sums = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total = sums["n"] or 0
     least = max(2, ranked_share * total)  # at most 1 / ranked_share words or bigrams are as frequent
-    ranked = words.mapInPandas(_at_least(least, ["keys"]), "keys long, counts long").toPandas().sort_values(["counts", "keys"], ascending=[False, True])
+    ranked = words.mapInPandas(_at_least(least), "keys long, counts long").toPandas().sort_values(["counts", "keys"], ascending=[False, True])
     vocabulary = Vocabulary(ranked["keys"].to_numpy(np.int64), ranked["counts"].to_numpy(np.int64), total, sums["v"] or 0)
     start, shared = vocabulary.start, spark.sparkContext.broadcast(vocabulary)
     encoded = materialize(docs.mapInArrow(_encoded(shared), ENCODED), "encoded")
 
-    bigrams = encoded.where("NOT held_out").select("ids", "rare").mapInArrow(_bigram_counts(start, buckets), BIGRAMS)
-    bigrams = materialize(bigrams.groupBy("bucket").applyInPandas(_summed_bigrams, f"{BIGRAMS}, seen array<long>"), "bigrams")
+    asked = encoded.select("chunk", "sizes", "held", "ids", "rare").mapInArrow(_asked(start, buckets), "chunk long, bucket int, v binary, w binary, counts binary")
+    counted = materialize(asked.groupBy("bucket").applyInPandas(_counted, BIGRAMS), "bigrams")
+    bigrams = counted.where(F.col("kind") == TABLE)
     seen = bigrams.select(F.posexplode("seen").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n"))
     factor = discounts({x["r"]: x["n"] for x in seen.collect()})  # seven rows
-    often = bigrams.mapInPandas(_at_least(least, ["v", "w"]), "v long, w long, counts long").toPandas()
 
-    of_bigrams = materialize(bigrams.drop("seen").mapInPandas(_histories(shared, factor, buckets), HISTORIES), "histories")
-    rare_mass = of_bigrams.where(F.col("kind") == OF_WORD).select("bucket", "v", "w").groupBy("bucket").cogroup(words.groupBy("bucket"))
+    of_bigrams = materialize(bigrams.select("bucket", "v", "w", "counts").mapInPandas(_histories(shared, factor, buckets), HISTORIES), "histories")
+    rare_mass = of_bigrams.where(F.col("kind") == RARE).select("bucket", "v", "w").groupBy("bucket").cogroup(words.groupBy("bucket"))
     rare_mass = rare_mass.applyInPandas(_rare_mass(shared, buckets), "bucket int, v binary, low binary")
-    parts = of_bigrams.where(F.col("kind") == SUM).select("bucket", "v", "n", "left", "low").unionByName(rare_mass, allowMissingColumns=True)
+    parts = of_bigrams.where(F.col("kind") == TABLE).select("bucket", "v", "n", "left", "low").unionByName(rare_mass, allowMissingColumns=True)
     weights = materialize(parts.groupBy("bucket").applyInPandas(_weights(total), WEIGHTS), "weights")
-    by_rank = weights.mapInPandas(_ranked_weights, "rank long, total double, weight double").toPandas()
+    discard(of_bigrams)
+    by_rank = weights.mapInPandas(_ranked_weights, "rank long, total double, weight double").toPandas()  # one row for each ranked history
     totals, weight = np.ones(start + 1), np.ones(start + 1)
     totals[by_rank["rank"]], weight[by_rank["rank"]] = by_rank["total"], by_rank["weight"]
-    keys = _pair(often["v"].to_numpy(np.int64), often["w"].to_numpy(np.int64))
-    order = np.argsort(keys)
-    unigram = np.concatenate([[1.0], vocabulary.unigram(vocabulary.counts), [1.0]])
-    model = spark.sparkContext.broadcast(KatzModel(factor, unigram, totals, weight, keys[order], often["counts"].to_numpy(np.int64)[order]))
-
-    events = encoded.select("uid", "ids", "rare").mapInArrow(_events(model, start, buckets), EVENTS)
-    met = materialize(events.groupBy("bucket").cogroup(bigrams.drop("seen").groupBy("bucket")).applyInPandas(_met(model, buckets), PARTS), "met")
-    asked = met.where(F.col("kind").isin(OF_SEEN, OF_NEW)).groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInPandas(_of_histories(buckets), PARTS)
-    of_words = met.where(F.col("kind") == OF_WORD).unionByName(encoded.select("uid", "rare").mapInArrow(_rare_tokens(buckets), PARTS))
-    of_words = of_words.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_of_words(shared, buckets), PARTS)
-    every = met.where(F.col("kind") == SUM).unionByName(asked).unionByName(of_words).select("bucket", "uids", "known", F.col("base").alias("more"), F.col("part").alias("score"))
-    every = every.groupBy("bucket").applyInPandas(_totals, "uid long, known long, more double, score double")
-    return encoded.drop("ids", "rare").join(every, "uid").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score"
-    )
+    model = spark.sparkContext.broadcast(KatzModel(factor, np.concatenate([[0], vocabulary.counts, [0]]), totals, weight))
+
+    tables = words.select("bucket", "keys", "counts").unionByName(weights, allowMissingColumns=True)
+    of_words = encoded.select("chunk", "rare").mapInArrow(_asked_words(buckets), "chunk long, bucket int, keys binary")
+    of_words = of_words.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(_answered_words, ANSWERS)
+    answers = counted.where(F.col("kind") == ANSWER).select("chunk", "v", "w", "counts").unionByName(of_words, allowMissingColumns=True)
+    scored = encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored(shared, model, start), SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
