@@ -1,11 +1,14 @@
 """Language, toxicity, hosts, chats and secrets: accuracy on held-out rows, round trips, odd rows."""
 
 import hashlib
+import itertools
 import random
+import re
+import string
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+
 
 from attestra.llm import chat, hosts, language, secrets, toxicity
 
@@ -134,10 +137,31 @@ def forest(spark):
     return secrets.train(secrets.labelled_findings(spark))
 
 
-def test_secrets_held_out(spark, forest):
-    found = secrets.labelled_findings(spark, 9000).withColumn("value", F.regexp_replace("match", secrets.ASSIGN, ""))
-    rows = secrets.VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="__features").transform(secrets.with_features(found))
-    assert forest.transform(rows).where("(__prediction = 1) = (label = 1)").count() > 0.98 * 9000
+def test_secrets_of_shapes_left_out(spark):
+    """Forests that have not seen a shape, nor the words it is made of."""
+    names = sorted(r["shape"] for r in secrets.labelled_findings(spark, 41).select("shape").distinct().collect())
+    rows = [r for k in range(4) for r in secrets.tested_by_shape(spark, names[k::4], 3000).collect()]
+    share = lambda label: sum(r["right"] for r in rows if r["label"] == label) / sum(r["n"] for r in rows if r["label"] == label)
+    assert share(1) > 0.9 and share(0) > 0.9
+
+
+def test_secrets_are_the_votes_of_the_trees(spark, forest):
+    """Features by plain Python, and the forest as the mean of its trees' leaves."""
+    found = secrets.with_value(secrets.labelled_findings(spark, 410, 1))
+    words = sorted(set(secrets.DICTIONARY), key=lambda w: (-len(w), w))
+    kind = lambda c: "a" if c in string.ascii_lowercase else "A" if c in string.ascii_uppercase else "0" if c in string.digits else c
+    for r in secrets.predicted(forest, found).collect():
+        v, n = r["value"], max(len(r["value"]), 1)
+        near = r["before"] + r["match"][: len(r["match"]) - len(v)]
+        want = {
+            "length": len(v), "runs": sum(1 for _ in itertools.groupby(map(kind, v))) / n, "digits": sum(c in string.digits for c in v) / n, "uppers": sum(c in string.ascii_uppercase for c in v) / n,
+            "others": sum(not (c.isascii() and c.isalnum()) for c in v) / n, "hexadecimal": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), "only_digits": bool(re.fullmatch("[0-9-]+", v)),
+            "dictionary": 1 - len(re.sub("|".join(words), "", v.lower())) / n, "slashes": v.count("/"), "dashes": (v.count("-") + v.count("_")) / n, "assigned": len(r["match"]) > len(v), "known_prefix": bool(re.match(secrets.KNOWN_PREFIX, v)),
+            "near_key": bool(re.search(secrets.NEAR_KEY, near)), "near_digest": bool(re.search(secrets.NEAR_DIGEST, near)),
+        }
+        assert {k: pytest.approx(float(x)) for k, x in want.items()} == {k: r[k] for k in want}
+        votes = [t.predictProbability(r["__features"])[1] for t in forest.trees]
+        assert r["score"] == pytest.approx(sum(votes) / len(votes))
 
 
 def test_secret_findings_and_redaction(spark, forest):
