@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-CATALOG = ["source", "rule_id", "domain", "message", "description", "condition", "target", "rule_type"]
-# Weights of the parts of a match, and the bounds of a match.
-WEIGHTS = {"domain": 0.20, "rule_type": 0.20, "target": 0.25, "message": 0.25, "description": 0.10}
+#: Columns of a catalog; domain, target and shared_ids (identifiers that other catalogs use too) may be lists, joined by a bar.
+CATALOG = ["source", "rule_id", "domain", "message", "description", "condition", "target", "rule_type", "standard", "shared_ids"]
+# Weights of the parts of a match, what they add to a match by identifier, and the bounds of a match.
+WEIGHTS = {"standard": 0.20, "domain": 0.20, "target": 0.25, "message": 0.25, "description": 0.10}
+BONUS = {"standard": 0.03, "domain": 0.03, "target": 0.04}
 SAME_ID, LEAST = 0.90, 0.60
 
 
@@ -22,6 +26,7 @@ def read_catalog(spark: SparkSession, path: str, domains: DataFrame | None = Non
     out = raw.select(
         F.lit(source).alias("source"), pick("rule_id", "id").alias("rule_id"), F.upper(pick("domain", "domains")).alias("domain"), pick("message").alias("message"), pick("description").alias("description"),
         pick("condition", "test", "expression").alias("condition"), F.upper(pick("target", "variable")).alias("target"), F.lower(pick("rule_type", "type")).alias("rule_type"),
+        pick("standard", "standard_name").alias("standard"), F.upper(pick("shared_ids", "cdisc_rule_ids", "publisher_id")).alias("shared_ids"),
     ).where("rule_id IS NOT NULL")
     if domains is not None:
         mapped = domains.groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_set("domain")), "|").alias("__domains"))
@@ -29,32 +34,44 @@ def read_catalog(spark: SparkSession, path: str, domains: DataFrame | None = Non
     return out.select(*CATALOG)
 
 
-def words_of(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: F.length(w) > 2))
+def likeness(left: str | None, right: str | None) -> float:
+    """How alike two texts are: the share of matching characters or of common words, whichever is larger."""
+    if not left or not right:
+        return 0.0
+    left, right = left.upper(), right.upper()
+    a, b = set(re.findall("[A-Z0-9]+", left)), set(re.findall("[A-Z0-9]+", right))
+    return max(SequenceMatcher(None, left, right).ratio(), len(a & b) / len(a | b) if a and b else 0.0)
 
 
-def alike(a: Column, b: Column) -> Column:
-    """Share of the words of two texts that both have."""
-    left, right = words_of(a), words_of(b)
-    return F.coalesce(F.size(F.array_intersect(left, right)) / F.nullif(F.size(F.array_union(left, right)), F.lit(0)), F.lit(0.0))
+@F.pandas_udf(T.DoubleType())
+def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([likeness(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def members(c: str) -> Column:
+    """The entries of a bar-joined list, upper-cased."""
+    return F.filter(F.transform(F.split(F.upper(F.coalesce(F.col(c), F.lit(""))), r"\|"), F.trim), lambda x: x != "")
+
+
+def standard_key(c: str) -> Column:
+    return F.regexp_replace(F.upper(F.coalesce(F.col(c), F.lit(""))), "[^A-Z0-9]", "")
 
 
 def map_rules(catalog: DataFrame, other: DataFrame, frequent: float = 0.2) -> DataFrame:
     """(rule_id, other_id, score): the best match of each rule in another catalog, if it is good enough.
 
-    A rule of the same id scores at least 0.90. Others can only be good enough with the same target, or with
-    the same domain and type and a word of the message in common, so pairs that share none of these are not
-    compared; all others are. Keys that more than ``frequent`` of the other rules hold are joined in blocks.
+    A rule with the same or a shared identifier scores 0.90 at least and comes first. Others can only be good
+    enough with a target in common, or with a domain and the standard, so only such pairs are compared, and all
+    of them are. Keys that more than ``frequent`` of the other rules hold are joined in blocks.
     """
-    named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in CATALOG])
+    named = lambda d, p: d.select(*[(F.col(c) if c in d.columns else F.lit(None).cast("string")).alias(f"{p}_{c}") for c in CATALOG])
     left, right = named(catalog, "a"), named(other, "b")
+    ids = lambda p: F.array_distinct(F.concat(members(f"{p}_rule_id"), members(f"{p}_shared_ids")))
 
     def keys(d: DataFrame, p: str) -> DataFrame:
-        col = lambda c: F.upper(f"{p}_{c}")
-        words = F.transform(words_of(F.col(f"{p}_message")), lambda w: F.struct(F.lit("message").alias("of"), F.to_json(F.array(col("domain"), col("rule_type"), w)).alias("is")))
-        shared = F.when(col("domain").isNotNull() & col("rule_type").isNotNull(), words).otherwise(F.filter(words, lambda w: F.lit(False)))
-        plain = [F.struct(F.lit(c).alias("of"), col(c).alias("is")) for c in ("rule_id", "target")]
-        return d.select(f"{p}_rule_id", F.explode(F.concat(F.array(*plain), shared)).alias("key")).where("key.is IS NOT NULL")
+        key = lambda of, x: F.struct(F.lit(of).alias("of"), x.alias("is"))
+        of_domains = F.transform(members(f"{p}_domain"), lambda x: key("domain", F.to_json(F.array(x, standard_key(f"{p}_standard")))))
+        return d.select(f"{p}_rule_id", F.explode(F.concat(F.transform(ids(p), lambda x: key("id", x)), F.transform(members(f"{p}_target"), lambda x: key("target", x)), of_domains)).alias("key"))
 
     theirs = keys(right, "b")
     limit = F.lit(max(1.0, frequent * other.count()))
@@ -63,12 +80,14 @@ def map_rules(catalog: DataFrame, other: DataFrame, frequent: float = 0.2) -> Da
     ours = keys(left, "a").join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "a_rule_id")
     pairs = ours.join(theirs, ["key", "block"]).select("a_rule_id", "b_rule_id").distinct()
     both = pairs.join(left, "a_rule_id").join(right, "b_rule_id")
-    same = lambda c: F.coalesce((F.upper(f"a_{c}") == F.upper(f"b_{c}")).cast("double"), F.lit(0.0))
-    fuzzy = sum((WEIGHTS[c] * (alike(F.col(f"a_{c}"), F.col(f"b_{c}")) if c in ("message", "description") else same(c)) for c in WEIGHTS), F.lit(0.0))
-    score = F.when(F.upper("a_rule_id") == F.upper("b_rule_id"), F.least(F.lit(1.0), SAME_ID + 0.1 * fuzzy)).otherwise(fuzzy)
-    best = Window.partitionBy("a_rule_id").orderBy(F.desc("score"), "b_rule_id")
-    ranked = both.withColumn("score", F.round(score, 4)).where(F.col("score") >= LEAST).withColumn("__k", F.row_number().over(best))
-    return ranked.where("__k = 1").select(F.col("a_rule_id").alias("rule_id"), F.col("b_rule_id").alias("other_id"), "score")
+    shares = {"standard": standard_key("a_standard") == standard_key("b_standard")} | {c: F.arrays_overlap(members(f"a_{c}"), members(f"b_{c}")) for c in ("domain", "target")}
+    points = lambda of: sum((of[c] * shares[c].cast("double") for c in shares), F.lit(0.0))
+    texts = sum((WEIGHTS[c] * alike(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("message", "description")), F.lit(0.0))
+    same = F.arrays_overlap(ids("a"), ids("b"))
+    scored = both.withColumns({"same": same, "score": F.round(F.least(F.lit(1.0), F.when(same, SAME_ID + points(BONUS)).otherwise(points(WEIGHTS) + texts)), 4)})
+    best = F.struct(~F.col("same"), -F.col("score"), F.col("b_rule_id"))
+    found = scored.where(F.col("score") >= LEAST).groupBy(F.col("a_rule_id").alias("rule_id")).agg(F.min_by(F.struct("b_rule_id", "score"), best).alias("x"))
+    return found.select("rule_id", F.col("x.b_rule_id").alias("other_id"), "x.score")
 
 
 def classify(catalog: DataFrame, mapped: DataFrame) -> DataFrame:

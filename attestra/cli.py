@@ -26,7 +26,8 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--define")
     run.add_argument("--terminology")
     run.add_argument("--dictionary")
-    run.add_argument("--format", nargs="+", choices=["json", "csv", "log"], default=["json"])
+    run.add_argument("--library", help="JSON: by domain, the standard's lists of variables")
+    run.add_argument("--format", nargs="+", choices=["json", "csv", "log", "csv-parts", "parquet"], default=["json"])
     run.add_argument("--output", default=".")
     run.add_argument("--fail-on-issues", action="store_true")
     run.add_argument("--fail-on-skipped", action="store_true")
@@ -51,13 +52,18 @@ def main(argv: list[str] | None = None) -> int:
             more, said = tables.scan_folder(spark, path)
             found, warnings = found + more, warnings + said
     knowledge = Knowledge(
-        metadata.read_define(spark, args.define) if args.define else None, metadata.read_terminology(spark, args.terminology) if args.terminology else None, metadata.read_dictionaries(spark, args.dictionary) if args.dictionary else None
+        metadata.read_define(spark, args.define) if args.define else None, metadata.read_terminology(spark, args.terminology) if args.terminology else None, metadata.read_dictionaries(spark, args.dictionary) if args.dictionary else None,
+        library=metadata.read_library(spark, args.library) if args.library else {},
     )
     report = validate(spark, load_rules(args.rules), found, knowledge, args.include, args.exclude, args.standard, args.version)
     out = Path(args.output)
     out.mkdir(parents=True, exist_ok=True)
     for kind in args.format:
-        (out / f"report.{kind}").write_text({"json": reports.to_json, "csv": reports.to_csv, "log": reports.to_log}[kind](report), "utf-8")
+        if kind in ("csv-parts", "parquet"):
+            {"csv-parts": reports.write_csv_parts, "parquet": lambda r, path: reports.write_issues(r.issues, path)}[kind](report, str(out / f"report-{kind}"))
+            continue
+        with (out / f"report.{kind}").open("w", encoding="utf-8") as file:
+            {"json": reports.write_json, "csv": reports.write_csv, "log": reports.write_log}[kind](report, file)
     for said in warnings:
         print(said, file=sys.stderr)
     counts = reports.summary(report.results)

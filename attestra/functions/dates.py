@@ -13,7 +13,7 @@ COMPLETE = DAY + r"(?:\z|T(?:[01][0-9]|2[0-3]):[0-5][0-9](?!:[6-9][0-9]))"
 SECONDS = DAY + r"T[0-9]{2}:[0-9]{2}:[0-9]{2}"
 PARTIAL = r"^(?:[0-9]{4}|[0-9]{4}-(?:0[1-9]|1[0-2])|--(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|[0-9]{4}---(?:0[1-9]|[12][0-9]|3[01])|[0-9]{4}----(?:0[1-9]|[12][0-9]|3[01])|-----T(?:[01][0-9]|2[0-3]).*)$"
 PARTIAL_TIME = r"^(?:[01][0-9]|2[0-3])$"
-DURATION = r"^[+-]?P(?:[0-9]+(?:[.,][0-9]+)?W|(?=[0-9T])(?:[0-9]+(?:[.,][0-9]+)?Y)?(?:[0-9]+(?:[.,][0-9]+)?M)?(?:[0-9]+(?:[.,][0-9]+)?D)?(?:T(?:[0-9]+(?:[.,][0-9]+)?H)?(?:[0-9]+(?:[.,][0-9]+)?M)?(?:[0-9]+(?:[.,][0-9]+)?S)?)?)$"
+DURATION = r"^P(?:[0-9]+(?:[.,][0-9]+)?W|(?=T?[0-9])(?:[0-9]+(?:[.,][0-9]+)?Y)?(?:[0-9]+(?:[.,][0-9]+)?M)?(?:[0-9]+(?:[.,][0-9]+)?D)?(?:T(?:[0-9]+(?:[.,][0-9]+)?H)?(?:[0-9]+(?:[.,][0-9]+)?M)?(?:[0-9]+(?:[.,][0-9]+)?S)?)?)\z"
 
 
 def real_day(c: Column) -> Column:
@@ -40,18 +40,22 @@ def is_incomplete(c: Column) -> Column:
 
 def date_key(c: Column) -> Column:
     """yyyymmddHHMMSS of a complete date; a year or month stands for its first instant; else null."""
-    c = strip(c)
-    part = lambda at, n: F.substring(c, at, n)
-    clock = F.when(F.length(c) == 10, F.lit("000000")).otherwise(F.concat(part(12, 2), part(15, 2), F.when(c.rlike(SECONDS), part(18, 2)).otherwise(F.lit("00"))))
-    month = F.concat(part(1, 4), part(6, 2), F.lit("01000000"))
-    whole = F.concat(part(1, 4), part(6, 2), part(9, 2), clock)
-    key = F.when(F.length(c) == 4, F.when(c.rlike(r"^[0-9]{4}\z"), F.concat(c, F.lit("0101000000"))))
-    key = key.when(F.length(c) == 7, F.when(c.rlike(r"^[0-9]{4}-(?:0[1-9]|1[0-2])\z"), month)).when(_complete(c), whole)
-    return key.try_cast("bigint")
+
+
+    def key(c: Column) -> Column:
+        part = lambda at, n: F.substring(c, at, n)
+        clock = F.concat(part(12, 2), part(15, 2), F.when(c.rlike(SECONDS), part(18, 2)).otherwise(F.lit("00")))
+        day = F.concat(part(1, 4), part(6, 2), part(9, 2))
+        found = F.when(F.length(c) == 10, F.when(c.rlike(DAY) & c.try_cast("date").isNotNull(), F.concat(day, F.lit("000000"))))
+        found = found.when(F.length(c) == 4, F.when(c.rlike(r"^[0-9]{4}\z"), F.concat(c, F.lit("0101000000"))))
+        found = found.when(F.length(c) == 7, F.when(c.rlike(r"^[0-9]{4}-(?:0[1-9]|1[0-2])\z"), F.concat(part(1, 4), part(6, 2), F.lit("01000000"))))
+        return found.when(_complete(c), F.concat(day, clock)).try_cast("bigint")
+
+    return F.transform(F.array(strip(c)), key)[0]  # the trimmed text is made once
 
 
 def is_duration(c: Column) -> Column:
-    """ISO 8601 duration; a T with nothing after it passes."""
+    """ISO 8601 duration without a sign, of one component at least; a T with nothing after a date component passes."""
     return two_valued(c.rlike(DURATION))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,18 @@ def _use_checkpoints(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder among the checkpoints, which go when the application ends."""
+    _use_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once, its rows written to the checkpoint folder."""
+    _use_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Adds ``name``: the row's place in ``order`` (which should leave no ties), from 1.
 
@@ -29,8 +42,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str) -> Da
     partitions before it, is its position. Only one count for each partition meets in one place.
     The placed rows are checkpointed, as two plans of the same exchange need not give the same partitions.
     """
-    _use_checkpoints(df.sparkSession)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

@@ -90,11 +90,18 @@ class NoValue:
     pass
 
 
+@dataclass(frozen=True)
+class Terms:
+    """A list of any length, as a table with the column ``term``."""
+
+    df: DataFrame
+
+
 @dataclass(frozen=True)
 class Leaf:
     target: str
     operator: str
-    comparator: Literal | ColumnRef | Values | NoValue = NoValue()
+    comparator: Literal | ColumnRef | Values | NoValue | Terms = NoValue()
     options: dict[str, Any] = field(default_factory=dict)
 
 
@@ -136,7 +143,7 @@ class Rule:
     domains: dict[str, Any] = field(default_factory=dict)
     classes: dict[str, Any] = field(default_factory=dict)
     entities: dict[str, Any] = field(default_factory=dict)
-    standards: tuple[tuple[str, str], ...] = ()
+    standards: tuple[tuple[str, str, str], ...] = ()  # name, version, part
     output_variables: tuple[str, ...] = ()
     status: str = ""
     description: str = ""

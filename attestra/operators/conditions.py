@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from attestra.functions import dates, patterns, scalars
 from attestra.functions.scalars import Scalar, quoted, two_valued
-from attestra.model import ORD, All, AnyOf, ColumnRef, Condition, Dataset, Leaf, Literal, MissingColumn, Not, NoValue, RuleError, Values, expand, leaves
+from attestra.model import ORD, All, AnyOf, ColumnRef, Condition, Dataset, Leaf, Literal, MissingColumn, Not, NoValue, RuleError, Terms, Values, expand, leaves
 
 #: Lists up to this length become IN lists; longer ones become semi-joins.
 INLINE_VALUES = 1000
@@ -119,6 +120,12 @@ class Compiler:
             return F.lit(MISSING[name])
         return two_valued(operator(self, leaf))
 
+    def listed(self, shown: Column, terms: DataFrame) -> Column:
+        """Whether ``terms`` (distinct) has the text, by an equi-join."""
+        listed, key = self.hidden(), self.hidden()
+        self.df = self.df.join(terms.select(F.col("term").alias(key), F.lit(True).alias(listed)), shown == F.col(key), "left").drop(key)
+        return F.col(listed)
+
     # groups
 
     def grouped(self, keys: list[Column], **aggregates: Column) -> dict[str, Column]:
@@ -173,6 +180,9 @@ def _contained(fold: bool = False) -> Callable[[Compiler, Leaf], Column]:
         target, loose = c.need(leaf.target), _option(leaf, "type_insensitive")
         if isinstance(leaf.comparator, NoValue):
             raise RuleError(f"{leaf.operator} has nothing to look in")
+        if isinstance(leaf.comparator, Terms):
+            shown, term = scalars.text(target, None), F.col("term").cast("string")
+            return c.listed(scalars.ascii_lower(shown) if fold else shown, leaf.comparator.df.select((scalars.ascii_lower(term) if fold else term).alias("term")).distinct())
         if not isinstance(leaf.comparator, Values):
             return scalars.within(target, c.scalar(leaf), fold, loose)
         values = list(leaf.comparator.values)
@@ -186,10 +196,7 @@ def _contained(fold: bool = False) -> Callable[[Compiler, Leaf], Column]:
         words = sorted({v.translate(LOWER) if fold else v for v in values})
         if len(words) <= INLINE_VALUES:
             return shown.isin(words)
-        listed, key = c.hidden(), c.hidden()
-        table = c.df.sparkSession.createDataFrame([(w,) for w in words], f"{key} string").withColumn(listed, F.lit(True))
-        c.df = c.df.join(table, shown == F.col(key), "left").drop(key)
-        return F.col(listed)
+        return c.listed(shown, c.df.sparkSession.createDataFrame([(w,) for w in words], "term string"))
 
     return run
 
@@ -412,11 +419,14 @@ def _next_differs(c: Compiler, leaf: Leaf) -> Column:
 
 
 def _not_sorted(c: Compiler, leaf: Leaf) -> Column:
-    """Rows of a pair whose sort keys differ and whose targets are the other way round."""
+    """Rows of a pair whose sort keys differ and whose targets are the other way round.
+
+    Where a group has such a pair and a sort key that is a date with parts missing, all its rows with a target count.
+    """
     if not isinstance(leaf.comparator, Values) or not leaf.comparator.values:
         raise RuleError("target_is_not_sorted_by needs sort keys")
     target, within = c.need(leaf.target), c.option_column(leaf, "within")
-    keys = []
+    keys, unsure = [], []
     for spec in leaf.comparator.values:
         if not isinstance(spec, dict) or not isinstance(spec.get("name"), str):
             raise RuleError("a sort key needs a name")
@@ -424,6 +434,8 @@ def _not_sorted(c: Compiler, leaf: Leaf) -> Column:
         down = str(spec.get("sort_order", "")).lower() == "desc"
         first = (str(spec.get("null_position", "")).lower() == "first") != down  # descending turns nulls too
         plain = F.struct(scalars.number(key).isNull(), scalars.number(key), scalars.text(key, None))
+        if key.kind == "str":
+            unsure.append((scalars.strip(key.col) != "") & dates.is_incomplete(key.col))
         keys += [key.col.isNull().desc() if first else key.col.isNull().asc(), plain.desc() if down else plain.asc()]
     rank, group = c.hidden(), c.hidden()
     c.df = c.df.withColumn(group, _key(c, within) if within else F.lit(""))
@@ -437,7 +449,11 @@ def _not_sorted(c: Compiler, leaf: Leaf) -> Column:
         seen = F.when(value.isNull(), F.max(words).over(before)).otherwise(F.max(odd).over(before))
         comes = F.when(value.isNull(), F.min(words).over(after)).otherwise(F.min(odd).over(after))
         out = out | two_valued(seen > words) | two_valued(comes < words)
-    return out
+    if not unsure:
+        return out
+    inverted, partial, whole = c.hidden(), c.hidden(), Window.partitionBy(group)
+    c.df = c.df.withColumns({inverted: out, partial: two_valued(reduce(Column.__or__, unsure))})
+    return F.col(inverted) | (target.col.isNotNull() & F.max(partial).over(whole) & F.max(inverted).over(whole))
 
 
 def _gap_in_columns(c: Compiler, leaf: Leaf) -> Column:

@@ -11,6 +11,7 @@ import xml.etree.ElementTree as ElementTree
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -457,7 +458,8 @@ def filtered_variables(ds: Dataset, spec: dict, context: Context) -> Dataset:
 
 
 def column_order(ds: Dataset, spec: dict, context: Context) -> Dataset:
-    return new_column(ds, word(spec, *OUT), F.lit("|".join(ds.columns)))
+    source = (context.find(ds.name) if "variable_name" in ds.columns else None) or ds  # a table of variables stands for the table they are of
+    return new_column(ds, word(spec, *OUT), F.lit("|".join(source.columns)))
 
 
 def from_library(kind: str) -> Callable[[Dataset, dict, Context], Dataset]:
@@ -503,27 +505,45 @@ def variable_exists(ds: Dataset, spec: dict, context: Context) -> Dataset:
     return new_column(ds, word(spec, *OUT), F.lit(ds.column(word(spec, "name") or "") is not None))
 
 
-# The elements that an XHTML fragment may hold.
-XHTML = "a abbr acronym address b bdo big blockquote br caption cite code col colgroup dd del dfn div dl dt em h1 h2 h3 h4 h5 h6 hr i img ins kbd li ol p pre q samp small span strong sub sup table tbody td tfoot th thead tr tt ul var".split()
+# Elements that a fragment may hold, attributes that all and that some may have; elements of the reference namespace with theirs and the one each needs.
+XHTML = "root a b br div em i img li ol p small span strong sub sup table tbody td th thead tr u ul".split()
+XHTML_ATTRIBUTES = {"": ("class", "id", "style"), "a": ("href", "title"), "img": ("alt", "src"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan")}
+USDM_ATTRIBUTES, USDM_NEEDS = {"tag": ("name",), "ref": ("attribute", "id", "klass")}, {"tag": "name", "ref": "id"}
 
 
-def _fragment_errors(fragment: str | None) -> str:
-    if not fragment or not fragment.strip():
-        return ""
+def _split(tag: str) -> tuple[str, str]:
+    """Namespace and local name."""
+    space, _, name = tag.rpartition("}")
+    return space.lstrip("{"), name
+
+
+def _good_element(e: ElementTree.Element, namespace: str) -> bool:
+    space, name = _split(e.tag)
+    have = {_split(a)[1] for a in e.attrib}
+    if space == namespace:  # a reference: of a known kind, with what it needs, and empty
+        return name in USDM_ATTRIBUTES and USDM_NEEDS[name] in have <= set(USDM_ATTRIBUTES[name]) and not len(e) and not (e.text or "").strip()
+    items = name not in ("ul", "ol") or all(_split(child.tag)[1] == "li" for child in e)
+    return name in XHTML and items and have <= {*XHTML_ATTRIBUTES[""], *XHTML_ATTRIBUTES.get(name, ())}
+
+
+def _is_fragment(text: str, namespace: str) -> bool:
     try:
-        root = ElementTree.fromstring(f'<root xmlns:usdm="urn:usdm">{fragment}</root>')
-    except ElementTree.ParseError as error:
-        return f"not well formed: {error}"
-    odd = sorted({e.tag for e in root.iter() if e is not root and e.tag.rpartition("}")[2] not in XHTML and "}" not in e.tag})
-    return "|".join(f"element {tag} is not allowed" for tag in odd)
+        root = ElementTree.fromstring(f"<root xmlns:usdm={quoteattr(namespace)}>{text}</root>")
+    except ElementTree.ParseError:
+        return False
+    return all(_good_element(e, namespace) for e in root.iter() if e is not root)
 
 
 def xhtml_errors(ds: Dataset, spec: dict, context: Context) -> Dataset:
-    """What is wrong with a column's XHTML fragments, joined by a bar; empty where nothing is."""
+    """``invalid xhtml`` where a column's text is no fragment of the elements and attributes allowed, else null.
+
+    ``namespace`` is that of the reference elements, whose prefix is usdm.
+    """
+    namespace = word(spec, "namespace") or "urn:usdm"
 
     @F.pandas_udf("string")
     def check(values: pd.Series) -> pd.Series:
-        return values.map(_fragment_errors)
+        return values.map(lambda v: "invalid xhtml" if v and v.strip() and not _is_fragment(v, namespace) else None)
 
     source = columns_of(ds, [word(spec, "name", "source_column")])[0]
     return new_column(ds, word(spec, *OUT), check(quoted(source).cast("string")))

@@ -38,21 +38,38 @@ def sequence_of(ds: Dataset) -> Column:
     return F.coalesce(*[scalars.text(scalars.of_column(ds.df, c), None) for c in names]) if names else F.lit(None).cast("string")
 
 
+def _signature(ds: Dataset, names: Sequence[str]) -> Column:
+    """The values of the reported variables, which tell the groups of a group rule apart."""
+    shown = [scalars.text(scalars.of_column(ds.df, ds.column(n)), None) if ds.column(n) else F.lit(None).cast("string") for n in names]
+    return F.array(*[F.concat(F.lit(f"{n.upper()}="), F.coalesce(c, F.lit(""))) for n, c in zip(names, shown, strict=True)]).cast("array<string>")
+
+
 def batch_issues(ds: Dataset, rules: Sequence[Rule]) -> DataFrame:
     """One row for each row of the table and rule that it violates; the table is read once.
 
-    All conditions are columns of one projection, of which the rules that hold are exploded.
+    All conditions are columns of one projection. Only rows' order keys and issues are numbered, and the
+    rules that hold are exploded afterwards. Of a group rule the first issue of each group stays.
     """
-    position = SOURCE_ROW if SOURCE_ROW in ds.df.columns else "__row"
-    placed = ds if position == SOURCE_ROW else ds.with_df(with_position(ds.df, [ORD], "__row"))
-    compiler, found = Compiler(placed), []
+    compiler, found, grouped = Compiler(ds), [], [r.id for r in rules if r.sensitivity == "group"]
     for rule in rules:
         compiler.presence = wants_presence(rule.conditions, rule.rule_type, rule.sensitivity)
         mask = compiler.tree(rule.conditions)
-        names = F.array(*[F.lit(n) for n in reported_variables(ds, rule)]).cast("array<string>")
-        found.append(F.when(mask, F.struct(F.lit(rule.id).alias("rule_id"), names.alias("variables"), F.lit(rule.message).alias("message"))))
-    rows = compiler.df.select(
-        F.lit(ds.name).alias("dataset"), F.lit(ds.domain).alias("domain"), F.col(position).cast("int").alias("row"), subject_of(ds).alias("usubjid"), sequence_of(ds).alias("seq"),
-        F.explode(F.array_compact(F.array(*found))).alias("issue"),
-    )
-    return rows.select("issue.rule_id", "dataset", "domain", "row", "issue.variables", "issue.message", "usubjid", "seq")
+        names = reported_variables(ds, rule)
+        said = {"rule_id": F.lit(rule.id), "variables": F.array(*map(F.lit, names)).cast("array<string>"), "message": F.lit(rule.message)}
+        said["signature"] = _signature(ds, names) if rule.id in grouped else F.lit(None).cast("array<string>")
+        found.append(F.when(mask, F.struct(*[c.alias(n) for n, c in said.items()])))
+    issues = F.array_compact(F.array(*found)).alias("issues")
+    rows = compiler.df.select(ORD, *[c for c in (SOURCE_ROW,) if c in ds.df.columns], subject_of(ds).alias("usubjid"), sequence_of(ds).alias("seq"), issues)
+    if SOURCE_ROW in rows.columns:
+        placed = rows.where(F.size("issues") > 0).withColumn("row", F.col(SOURCE_ROW).cast("long"))
+    else:
+        some = F.size("issues") > 0
+        rows = rows.withColumns({c: F.when(some, F.col(c)) for c in ("usubjid", "seq", "issues")})
+        placed = with_position(rows, [ORD], "row").where("issues IS NOT NULL")
+    out = placed.select(F.lit(ds.name).alias("dataset"), F.lit(ds.domain).alias("domain"), "row", "usubjid", "seq", F.explode("issues").alias("issue"))
+    out = out.select("issue.rule_id", "dataset", "domain", "row", "issue.variables", "issue.message", "usubjid", "seq", "issue.signature")
+    if grouped:
+        kept = F.struct(*ISSUE_COLUMNS)
+        firsts = out.where(F.col("rule_id").isin(grouped)).groupBy("rule_id", "signature").agg(F.min_by(kept, "row").alias("x")).select("x.*")
+        out = out.where(~F.col("rule_id").isin(grouped)).drop("signature").unionByName(firsts) if len(grouped) < len(rules) else firsts
+    return out.select(*ISSUE_COLUMNS)

@@ -9,12 +9,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from attestra.model import All, AnyOf, Condition, Dataset, Leaf, Not, NoValue, Result, Rule, RuleError, Values, leaves
+from attestra.functions.positions import checkpointed
+from attestra.model import All, AnyOf, Condition, Dataset, Leaf, Not, NoValue, Result, Rule, RuleError, Terms, Values, leaves
 from attestra.operators import joins, operations
 from attestra.plans.batch import ISSUE_COLUMNS, batch_issues
-from attestra.plans.rules import parse_condition, snake
+from attestra.plans.matching import matched
+from attestra.plans.post import once_for_dataset
+from attestra.plans.rules import parse_condition
 from attestra.plans.selection import for_standard, in_scope, select_rules, unsupported
 from attestra.plans.tables import domain_tables
 from attestra.sources.metadata import Define, Terminology
@@ -32,6 +34,8 @@ class Knowledge:
     dictionaries: DataFrame | None = None
     codelists: DataFrame | None = None
     codelist_dates: dict[str, list[str]] = field(default_factory=dict)
+    #: By domain, the standard's lists of variables: columns, required, expected, permissible, model and lists by role, and labels by variable.
+    library: dict[str, dict[str, Any]] = field(default_factory=dict)
 
 
 @dataclass
@@ -54,33 +58,13 @@ def with_codelists(condition: Condition, knowledge: Knowledge) -> Condition:
     elif "define_codelist" in options and knowledge.define:
         terms = knowledge.define.codelist(str(options["define_codelist"]))
     elif "dictionary" in options and knowledge.dictionaries is not None:
-        rows = knowledge.dictionaries.where(F.col("dictionary") == str(options["dictionary"])).select("term").distinct()
-        terms = [r[0] for r in rows.toLocalIterator()]
+        of_one = knowledge.dictionaries.where(F.col("dictionary") == str(options["dictionary"])).select("term")
+        return Leaf(condition.target, condition.operator, Terms(of_one), options)  # of any size: joined, never collected
     return condition if terms is None else Leaf(condition.target, condition.operator, Values(tuple(terms)), options)
 
 
-def matched(rule: Rule, ds: Dataset, datasets: Sequence[Dataset]) -> Dataset:
-    """The table with the rule's match datasets joined to it, by their keys or by the columns both have."""
-    context = operations.Context(datasets)
-    for spec in rule.match_datasets:
-        spec = {snake(k): v for k, v in spec.items()}
-        other = context.find(str(spec.get("name", "")))
-        if other is None:
-            raise RuleError(f"no table {spec.get('name')}", "missing_dataset")
-        left, right = [], []
-        for key in spec.get("keys") or [c for c in ds.columns if other.column(c)]:
-            left.append(key.get("left") if isinstance(key, dict) else key)
-            right.append(key.get("right") if isinstance(key, dict) else key)
-        how = {"inner": "inner", "left": "left"}.get(str(spec.get("join_type", "left")).lower(), "left")
-        if str(spec.get("name", "")).upper().startswith("SUPP") and ds.column("IDVAR"):
-            ds = joins.supplemental(other, ds)
-        else:
-            ds = joins.join(ds, other, how, left, right, spec.get("prefix"))
-    return ds
-
-
 def operated(rule: Rule, ds: Dataset, datasets: Sequence[Dataset], knowledge: Knowledge) -> Dataset:
-    context = operations.Context(datasets, parse_condition, knowledge.codelists, knowledge.codelist_dates)
+    context = operations.Context(datasets, parse_condition, knowledge.codelists, knowledge.codelist_dates, knowledge.library)
     for spec in rule.operations:
         called = operations.word(spec, "operator", "operation") or operations.word(spec, "name") or ""
         if called.lower().replace(" ", "_") in joins.KINDS:
@@ -95,36 +79,33 @@ def operated(rule: Rule, ds: Dataset, datasets: Sequence[Dataset], knowledge: Kn
 
 
 def _tables(rule: Rule, spark: SparkSession, datasets: Sequence[Dataset], knowledge: Knowledge) -> list[Dataset]:
-    if rule.rule_type == "domain_presence":
+    if rule.rule_type in ("domain_presence", "json_schema"):
         return domain_tables(rule.rule_type, spark, datasets)
     scoped = [d for d in datasets if in_scope(rule, d)]
     wanted = [operations.word(s, "dataset") for s in rule.operations if operations.word(s, "operator", "name") and not s.get("group")]
     named = [d for d in scoped if any(w and w.upper() in (d.name.upper(), (d.domain or "").upper()) for w in wanted[:1])]
-    return domain_tables(rule.rule_type, spark, named or scoped, knowledge.define)
+    return domain_tables(rule.rule_type, spark, named or scoped, knowledge.define, knowledge.library)
 
 
-def _group_once(issues: DataFrame, ds: Dataset) -> DataFrame:
-    """The first issue of each group of rows that agree in the reported variables' names and subject."""
-    order = Window.partitionBy("rule_id", "dataset", "variables", "usubjid").orderBy("row")
-    return issues.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
+def _counts_only(rule: Rule) -> bool:
+    """A rule of whole tables that counts variables, or records without groups, has one issue for a table."""
+    counted = lambda s: (operations.word(s, "operator", "operation") or operations.word(s, "name") or "").lower()
+    return rule.sensitivity == "dataset" and any(counted(s) == "variable_count" or (counted(s) == "record_count" and not operations.first_of(s, *operations.BY)) for s in rule.operations)
 
 
 def rule_issues(rule: Rule, spark: SparkSession, datasets: Sequence[Dataset], knowledge: Knowledge) -> list[tuple[Dataset, DataFrame]]:
     """The rule's issues on each of its tables, lazily; a table that lacks a column is left out if there are others."""
     rule = replace(rule, conditions=with_codelists(rule.conditions, knowledge))
-    tables, out, error = _tables(rule, spark, datasets, knowledge), [], None
-    for ds in tables:
+    out, error = [], None
+    for ds, joined in matched(rule, _tables(rule, spark, datasets, knowledge), datasets):
         try:
-            ready = operated(rule, matched(rule, ds, datasets), datasets, knowledge)
-            issues = batch_issues(ready, [rule])
+            issues = batch_issues(operated(rule, joined, datasets, knowledge), [rule])
         except RuleError as e:
             error = e
             if e.reason != "missing_column":
                 raise
             continue
-        if rule.sensitivity == "group":
-            issues = _group_once(issues, ready)
-        out.append((ds, issues))
+        out.append((ds, once_for_dataset(issues) if _counts_only(rule) else issues))
     if not out and error is not None:
         raise error
     return out
@@ -140,7 +121,7 @@ def validate(
     """
     knowledge, hooks = knowledge or Knowledge(), hooks or {}
     chosen, results = select_rules(rules, include, exclude)
-    chosen, outside = for_standard(chosen, standard, version)
+    chosen, outside = for_standard(chosen, standard, version, asked_for=bool(include))
     results += outside
     frames: list[DataFrame] = []
     ran: list[tuple[Rule, str]] = []
@@ -181,9 +162,9 @@ def validate(
                     except RuleError as error:
                         ran.remove((rule, name))
                         results.append(Result(rule.id, name, "skipped", str(error), skip_reason=error.reason))
-    shape = [F.col(c).cast("array<string>" if c == "variables" else "int" if c == "row" else "string").alias(c) for c in ISSUE_COLUMNS]
-    empty = spark.createDataFrame([], "rule_id string, dataset string, domain string, row int, variables array<string>, message string, usubjid string, seq string")
-    issues = reduce(DataFrame.unionByName, [f.select(*shape) for f in frames], empty)
+    shape = [F.col(c).cast("array<string>" if c == "variables" else "long" if c == "row" else "string").alias(c) for c in ISSUE_COLUMNS]
+    empty = spark.createDataFrame([], "rule_id string, dataset string, domain string, row long, variables array<string>, message string, usubjid string, seq string")
+    issues = checkpointed(reduce(DataFrame.unionByName, [f.select(*shape) for f in frames], empty))  # counted, reported and shown: found once
     counts = {(r["rule_id"], r["dataset"]): r["count"] for r in issues.groupBy("rule_id", "dataset").count().collect()}  # one row for each rule and table
     for rule, name in ran:
         n = counts.get((rule.id, name), 0)

@@ -27,13 +27,13 @@ def one_per_variable(issues: DataFrame) -> DataFrame:
 
 
 def without_locators(issues: DataFrame) -> DataFrame:
-    return issues.withColumns({"row": _null("int"), "usubjid": _null("string"), "seq": _null("string")})
+    return issues.withColumns({"row": _null("long"), "usubjid": _null("string"), "seq": _null("string")})
 
 
 def once_for_dataset(issues: DataFrame) -> DataFrame:
     """One issue without a place for each rule and table that has any."""
     first = issues.groupBy("rule_id", "dataset", "domain").agg(F.min_by("variables", "row").alias("variables"), F.min("message").alias("message"))
-    return first.select("rule_id", "dataset", "domain", _null("int").alias("row"), "variables", "message", _null("string").alias("usubjid"), _null("string").alias("seq"))
+    return first.select("rule_id", "dataset", "domain", _null("long").alias("row"), "variables", "message", _null("string").alias("usubjid"), _null("string").alias("seq"))
 
 
 def first_row_only(issues: DataFrame) -> DataFrame:
@@ -85,3 +85,12 @@ def overlapping(ds: Dataset, keys: Sequence[str], start: str, end: str) -> Datas
     df = ds.df.where(first.isNotNull()).withColumns({"__latest": F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__next": F.lead(first).over(w)})
     meets = F.coalesce(F.col("__latest") >= first, F.lit(False)) | F.coalesce(F.col("__next") <= last, F.lit(False))
     return ds.with_df(df.where(meets).drop("__latest", "__next"))
+
+
+def conflicting(ds: Dataset, keys: Sequence[str], column: str) -> Dataset:
+    """Rows whose group has another value of ``column`` too; empty values count as none. Groups are summed before the shuffle."""
+    names = [f"__p{i}" for i in range(len(keys))]
+    keyed = ds.df.withColumns({n: F.coalesce(scalars.text(scalars.of_column(ds.df, ds.column(k)), None), F.lit("")) for n, k in zip(names, keys, strict=True)})
+    shown = F.nullif(scalars.text(scalars.of_column(ds.df, ds.column(column)), None), F.lit(""))
+    groups = keyed.groupBy(*names).agg(F.min(shown).alias("__low"), F.max(shown).alias("__high")).where("__low < __high").select(*names)
+    return ds.with_df(keyed.join(groups, names, "left_semi").drop(*names))

@@ -242,11 +242,11 @@ def _texts(value: Any) -> tuple[str, ...]:
     return tuple(str(v) for v in value) if isinstance(value, list) else ()
 
 
-def _standards(authorities: Any) -> tuple[tuple[str, str], ...]:
+def _standards(authorities: Any) -> tuple[tuple[str, str, str], ...]:
     out = []
     for authority in authorities if isinstance(authorities, list) else []:
         for standard in authority.get("Standards") or []:
-            out.append((str(standard.get("Name", "")), str(standard.get("Version", ""))))
+            out.append((str(standard.get("Name") or ""), str(standard.get("Version") or ""), str(standard.get("Substandard") or "")))
     return tuple(out)
 
 
@@ -259,7 +259,7 @@ def parse_rule(raw: dict[str, Any]) -> Rule:
         return Rule(
             str(raw["core_id"]), parse_condition(raw["conditions"]), str((action.get("params") or action).get("message", "")), RULE_TYPES.get(str(raw.get("rule_type", "Record Data")).replace("_", " ").lower(), "unsupported"),
             str(raw.get("sensitivity") or "record").lower(), tuple(raw.get("operations") or ()), tuple(raw.get("datasets") or ()), raw.get("domains") or {}, raw.get("classes") or {}, raw.get("entities") or {},
-            tuple((s.get("name", ""), str(s.get("version", ""))) for s in raw.get("standards") or ()), _texts(raw.get("output_variables")), str(raw.get("status") or ""),
+            tuple((str(s.get("name") or ""), str(s.get("version") or ""), str(s.get("substandard") or s.get("Substandard") or "")) for s in raw.get("standards") or ()), _texts(raw.get("output_variables")), str(raw.get("status") or ""),
         )
     missing = [k for k in ("Core", "Check", "Outcome") if k not in raw]
     if missing or not (raw["Core"] or {}).get("Id"):

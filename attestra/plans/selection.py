@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from attestra.model import Dataset, Result, Rule, leaves
 from attestra.operators.conditions import ALIASES, OPERATORS
 
-# Classes of domains, and standards that take another's rules.
+# Classes of domains.
 CLASSES = {
-    "EVENTS": "AE BE CE DS DV HO MH",
-    "INTERVENTIONS": "AG CM EC EX ML PR SU",
-    "FINDINGS": "BM CP CV DA DD EG FA FT GF IE IS LB MB MI MK ML MS NV OE PC PE PP QS RE RP RS SC SS SR TR TU UR VS",
-    "SPECIAL PURPOSE": "CO DM SE SM SV",
-    "TRIAL DESIGN": "TA TD TE TI TM TS TV TX",
-    "RELATIONSHIP": "RELREC RELSPEC RELSUB",
+    "INTERVENTIONS": "CM EC EX ML PR SU",
+    "EVENTS": "AE CE DS DV MH",
+    "FINDINGS": "CV DD EG FT IE IS LB MB MI MS PC PP QS RE RP SC SS TR TU UR VS",
+    "FINDINGS ABOUT": "FA SR",
+    "SPECIAL PURPOSE": "CO DM SE SV",
+    "TRIAL DESIGN": "TA TD TE TI TM TS TV",
+    "RELATIONSHIP": "RELREC SUPP SUPPQUAL",
 }
 CLASS_OF = {d: c for c, names in CLASSES.items() for d in names.split()}
+# Standards that take the rules of others, of a part of another, and of other versions.
+ALSO_NAMED = {"SENDIG": ("SENDIG-DART", "SENDIG-GENETOX")}
+ALSO_PARTS = {"SDTMIG": (("TIG", "SDTM"),)}
+ALSO_VERSIONS = {
+    ("USDM", "4.0"): ("3.0",),
+    ("SDTMIG", "3.3"): ("3.4",),
+    ("SDTMIG", "3.4"): ("1.0",),
+    ("SENDIG", "3.0"): ("1.0", "1.1", "1.2", "3.0", "3.1", "3.1.1"),
+    ("SENDIG", "3.1"): ("1.0", "1.1", "1.2", "3.0", "3.1", "3.1.1"),
+}
 RUNNABLE = {"record_data", "dataset_metadata", "variable_metadata", "domain_presence", "value_metadata", "json_schema", "jsonata"}
 
 
@@ -32,18 +44,24 @@ def select_rules(rules: Sequence[Rule], include: Iterable[str] = (), exclude: It
     return [r for r in rules if r.id in set(include)], missing
 
 
-def for_standard(rules: Sequence[Rule], standard: str | None, version: str | None = None, compatible: dict[str, Sequence[str]] | None = None) -> tuple[list[Rule], list[Result]]:
-    """Rules of a standard and version; a rule that names none is for all."""
+def _takes(name: str, part: str, wanted: str) -> bool:
+    return name == wanted or name in ALSO_NAMED.get(wanted, ()) or (name, part) in ALSO_PARTS.get(wanted, ())
+
+
+def for_standard(rules: Sequence[Rule], standard: str | None, version: str | None = None, asked_for: bool = True) -> tuple[list[Rule], list[Result]]:
+    """Rules that name the standard, or one it takes rules of, in the version or one that goes with it.
+
+    The others are skipped; they give a result only if they were ``asked_for`` by id.
+    """
     if not standard:
         return list(rules), []
-    names = {standard.upper(), *(n.upper() for n in (compatible or {}).get(standard.upper(), ()))}
-    plain = lambda v: v.strip().lower().lstrip("v").replace("-", ".")
+    wanted, plain = standard.upper(), lambda v: v.strip().lower().lstrip("v").replace("-", ".")
+    versions = {plain(version), *ALSO_VERSIONS.get((wanted, plain(version)), ())} if version else None
     kept, skipped = [], []
     for rule in rules:
-        fits = not rule.standards or any(n.upper() in names and (not version or not v or plain(v) == plain(version)) for n, v in rule.standards)
-        if fits:
+        if any(_takes(name.upper(), part.upper(), wanted) and (versions is None or plain(v) in versions) for name, v, part in rule.standards):
             kept.append(rule)
-        else:
+        elif asked_for:
             skipped.append(Result(rule.id, "", "skipped", f"not a rule of {standard} {version or ''}".strip(), skip_reason="outside_standard"))
     return kept, skipped
 
@@ -77,10 +95,16 @@ def _within(scope: dict | Sequence[str], names: Sequence[str]) -> bool:
 
 
 def class_of(ds: Dataset) -> str | None:
-    domain = (ds.domain or ds.name).upper()
-    if domain.startswith("SUPP"):
-        return "RELATIONSHIP"
-    return CLASS_OF.get(domain)
+    return CLASS_OF.get((ds.domain or ds.name).upper())
+
+
+def _in_classes(scope: dict | Sequence[str], known: str) -> bool:
+    """Class names are compared without spaces, underscores and hyphens; findings take findings about too."""
+    plain = lambda name: re.sub(r"[ _-]", "", str(name)).upper()
+    names = [plain(known), *(["FINDINGS"] if known == "FINDINGS ABOUT" else [])]
+    listed = lambda key: [plain(x) for x in (scope.get(key) or scope.get(key.lower()) or [])] if isinstance(scope, dict) else [plain(x) for x in scope] if key == "Include" else []
+    included, excluded = listed("Include"), listed("Exclude")
+    return not any(x in names for x in excluded) and (not included or "ALL" in included or any(x in names for x in included))
 
 
 def in_scope(rule: Rule, ds: Dataset) -> bool:
@@ -89,6 +113,6 @@ def in_scope(rule: Rule, ds: Dataset) -> bool:
     if rule.domains and not _within(rule.domains, names):
         return False
     known = class_of(ds)
-    if rule.classes and known is not None and not _within(rule.classes, [known]):
+    if rule.classes and known is not None and not _in_classes(rule.classes, known):
         return False
     return not rule.entities or _within(rule.entities, names)

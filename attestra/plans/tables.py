@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import scalars
-from attestra.model import ORD, Dataset
+from attestra.model import ORD, Dataset, RuleError
 from attestra.sources.metadata import Define
 from attestra.sources.tables import from_columns
 
 
+#: The table of what is wrong with a document's structure, which rules of the JSON schema type read.
+SCHEMA_ISSUES = "JSONSchemaIssue"
+
+
 def dataset_metadata(spark: SparkSession, datasets: Sequence[Dataset], counts: bool = True) -> Dataset:
     """One row for each table."""
     records = {
@@ -24,8 +29,9 @@ def dataset_metadata(spark: SparkSession, datasets: Sequence[Dataset], counts: b
     return Dataset("DATASETS", from_columns(spark, records))
 
 
-def variable_metadata(spark: SparkSession, ds: Dataset, define: Define | None = None) -> Dataset:
-    """One row for each variable of a table, in its order; what Define-XML says of it beside what the table says."""
+def variable_metadata(spark: SparkSession, ds: Dataset, define: Define | None = None, library: dict[str, dict[str, Any]] | None = None) -> Dataset:
+    """One row for each variable of a table, in its order; what Define-XML and the standard's library say of it beside what the table says."""
+    labels = {n.upper(): (n, label) for n, label in ((library or {}).get((ds.domain or ds.name).upper(), {}).get("labels") or {}).items()}
     known = {v.name: v for v in ds.variables}
     said = {v.get("name"): v for v in (define.variables if define else []) if v.get("dataset") == ds.name}
     kinds = {f.name: "Num" if f.dataType.typeName() in ("long", "integer", "double", "float") else "Char" for f in ds.df.schema}
@@ -33,7 +39,10 @@ def variable_metadata(spark: SparkSession, ds: Dataset, define: Define | None =
     records = {
         "variable_name": names, "variable_label": [known[n].label if n in known else "" for n in names], "variable_data_type": [(known[n].type if n in known else "") or kinds[n] for n in names],
         "variable_size": [known[n].length if n in known else None for n in names], "variable_order_number": list(range(1, len(names) + 1)), "dataset_name": [ds.name] * len(names),
-        "define_variable_label": [said.get(n, {}).get("label") for n in names], "define_variable_role": [said.get(n, {}).get("role") for n in names], "define_variable_type": [said.get(n, {}).get("type") for n in names],
+        "dataset_label": [ds.label] * len(names), "variable_type": [(known[n].type if n in known else "") or kinds[n] for n in names],
+        "variable_length": [known[n].length if n in known else None for n in names], "variable_order": list(range(1, len(names) + 1)),
+        "library_variable_name": [labels.get(n.upper(), (None, None))[0] for n in names], "library_variable_label": [labels.get(n.upper(), (None, None))[1] for n in names],
+        "define_variable_name": [n if n in said else None for n in names], "define_variable_label": [said.get(n, {}).get("label") for n in names], "define_variable_role": [said.get(n, {}).get("role") for n in names], "define_variable_type": [said.get(n, {}).get("type") for n in names],
         "define_variable_ccode": [said.get(n, {}).get("codelist") for n in names], "define_variable_mandatory": [said.get(n, {}).get("mandatory") for n in names],
     }
     return Dataset(ds.name, from_columns(spark, records), ds.domain, ds.label, ds.filename, ds.source_format)
@@ -53,12 +62,17 @@ def presence_anchor(spark: SparkSession, datasets: Sequence[Dataset]) -> Dataset
     return Dataset("STUDY", from_columns(spark, {n: [n] for n in names} or {"__none": [None]}))
 
 
-def domain_tables(rule_type: str, spark: SparkSession, datasets: Sequence[Dataset], define: Define | None = None) -> list[Dataset]:
+def domain_tables(rule_type: str, spark: SparkSession, datasets: Sequence[Dataset], define: Define | None = None, library: dict[str, dict[str, Any]] | None = None) -> list[Dataset]:
     """The tables that a rule of the type runs on."""
+    if rule_type == "json_schema":
+        found = [d for d in datasets if d.name.upper() == SCHEMA_ISSUES.upper()]
+        if not found:
+            raise RuleError(f"no table {SCHEMA_ISSUES}", "missing_dataset")
+        return found
     if rule_type == "dataset_metadata":
         return [dataset_metadata(spark, datasets)]
     if rule_type == "variable_metadata":
-        return [variable_metadata(spark, d, define) for d in datasets]
+        return [variable_metadata(spark, d, define, library) for d in datasets]
     if rule_type == "value_metadata":
         return [value_metadata(d) for d in datasets]
     if rule_type == "domain_presence":

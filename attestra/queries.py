@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.functions.positions import scratch, with_position
 from attestra.harness import score
 from attestra.model import ORD, All, AnyOf, ColumnRef, Condition, Dataset, Leaf, Literal, Not, Values
 from attestra.operators import joins, operations
 from attestra.operators.conditions import violations
 from attestra.plans import post
 from attestra.plans.batch import batch_issues
-from attestra.plans.engine import validate
+from attestra.plans.engine import Knowledge, validate
 from attestra.plans.rules import parse_condition, parse_rule
-from attestra.plans.tables import dataset_metadata, value_metadata
+from attestra.plans.tables import dataset_metadata, value_metadata, variable_metadata
+from attestra.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,13 +40,13 @@ def dated(spark: SparkSession, sf_dir: str) -> Dataset:
     k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     d = F.when(k % 9 == 1, F.substring(day, 1, 4)).when(k % 9 == 2, F.substring(day, 1, 7)).when(k % 9 == 3, F.concat(F.substring(day, 1, 8), F.lit("31"))).when(k % 9 == 4, F.concat(day, F.lit("T10:30")))
     d = d.when(k % 9 == 5, F.lit("")).when(k % 9 == 6, F.lit(None)).when(k % 9 == 7, F.concat(day, F.lit("T25:00"))).when(k % 9 == 8, F.concat(day, F.lit("T07"))).otherwise(day)
-    p = F.element_at(F.array(*map(F.lit, ["P1D", "PT5M", "P", "1D", "P1Y2M3DT4H", "P3W", "P1W2D", "P1DT"])), (k % 8 + 1).cast("int"))
+    p = F.element_at(F.array(*map(F.lit, ["P1D", "PT5M", "P", "1D", "P1Y2M3DT4H", "P3W", "P1W2D", "P1DT", "PT", "-P1D", "+P1D"])), (k % 11 + 1).cast("int"))
     return ds.with_df(ds.df.select("o_orderkey", "o_custkey", "o_orderdate", d.alias("d"), F.concat(F.substring(day, 1, 5), F.lit("07-01")).alias("e"), p.alias("p"), ORD))
 
 
 DATED = """(SELECT o_orderkey, o_custkey, substr(day, 1, 5) || '07-01' AS e, CASE o_orderkey % 9 WHEN 1 THEN substr(day, 1, 4) WHEN 2 THEN substr(day, 1, 7) WHEN 3 THEN substr(day, 1, 8) || '31'
  WHEN 4 THEN day || 'T10:30' WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN day || 'T25:00' WHEN 8 THEN day || 'T07' ELSE day END AS d,
- ['P1D', 'PT5M', 'P', '1D', 'P1Y2M3DT4H', 'P3W', 'P1W2D', 'P1DT'][CAST(o_orderkey % 8 + 1 AS INT)] AS p
+ ['P1D', 'PT5M', 'P', '1D', 'P1Y2M3DT4H', 'P3W', 'P1W2D', 'P1DT', 'PT', '-P1D', '+P1D'][CAST(o_orderkey % 11 + 1 AS INT)] AS p
  FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders))"""
 DATE_KEY = "CASE WHEN try_cast(substr({0}, 1, 10) AS DATE) IS NOT NULL AND length({0}) = 10 THEN {0} || 'T00:00' WHEN try_cast(substr({0}, 1, 10) AS DATE) IS NOT NULL AND regexp_matches({0}, 'T([01][0-9]|2[0-3]):[0-5][0-9]') THEN {0} WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}') THEN {0} || '-01T00:00' WHEN regexp_full_match({0}, '[0-9]{{4}}') THEN {0} || '-01-01T00:00' END"
 
@@ -132,7 +134,7 @@ CONDITIONS: dict[str, tuple] = {
     "is_complete_date": (dated, ["o_orderkey"], leaf("d", "is_complete_date"), f"SELECT o_orderkey FROM {DATED} WHERE try_cast(substr(d, 1, 10) AS DATE) IS NOT NULL AND (length(d) = 10 OR regexp_matches(d, 'T([01][0-9]|2[0-3]):[0-5][0-9]'))"),
     "is_incomplete_date": (dated, ["o_orderkey"], leaf("d", "is_incomplete_date"), f"SELECT o_orderkey FROM {DATED} WHERE d = '' OR length(d) IN (4, 7) OR (length(d) = 13 AND try_cast(substr(d, 1, 10) AS DATE) IS NOT NULL)"),
     "invalid_date": (dated, ["o_orderkey"], leaf("d", "invalid_date"), f"SELECT o_orderkey FROM {DATED} WHERE length(d) > 7 AND (try_cast(substr(d, 1, 10) AS DATE) IS NULL OR regexp_matches(d, 'T25'))"),
-    "invalid_duration": (dated, ["o_orderkey"], leaf("p", "invalid_duration"), f"SELECT o_orderkey FROM {DATED} WHERE p IN ('P', '1D', 'P1W2D')"),
+    "invalid_duration": (dated, ["o_orderkey"], leaf("p", "invalid_duration"), f"SELECT o_orderkey FROM {DATED} WHERE p IN ('P', '1D', 'P1W2D', 'PT', '-P1D', '+P1D')"),
     "target_is_not_sorted_by": (
         "events", ["event_id"], leaf("value", "target_is_not_sorted_by", [{"name": "event_type"}], within="user_id"),
         "SELECT event_id FROM (SELECT event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi, min(value) OVER (PARTITION BY user_id ORDER BY b RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS b FROM events)) WHERE hi > value OR lo < value",
@@ -293,16 +295,75 @@ STUDY_RULES = [
     {"Core": {"Id": "S-3"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["CUSTOMER"]}}, "Outcome": {"Message": "customer without an urgent order"}, "Operations": [{"operator": "anti_join", "right": "orders", "left_by": ["c_custkey"], "right_by": ["o_custkey"]}], "Check": "$exists(c_custkey)"},
     {"Core": {"Id": "S-4"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["CUSTOMER"]}}, "Outcome": {"Message": "segment by name"}, "Check": '$uppercase(c_mktsegment) = "building" and c_nationkey in [1, 2, 3]'},
     {"Core": {"Id": "S-5"}, "Rule Type": "Domain Presence Check", "Sensitivity": "Dataset", "Outcome": {"Message": "no such table"}, "Check": {"all": [{"name": "LINEITEM", "operator": "not_exists"}]}},
+    {"Core": {"Id": "S-6"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["CUSTOMER"]}}, "Outcome": {"Message": "customer of a large order"}, "Match Datasets": [{"Name": "orders", "Keys": [{"left": "c_custkey", "right": "o_custkey"}]}], "Check": {"all": [{"name": "o_totalprice", "operator": "greater_than", "value": 300000}]}},
+    {"Core": {"Id": "S-7"}, "Rule Type": "Record Data", "Scope": {"Domains": {"Include": ["CUSTOMER"]}}, "Outcome": {"Message": "segment outside the dictionary"}, "Check": {"all": [{"name": "c_mktsegment", "operator": "is_not_contained_by", "dictionary": "SEGMENTS"}]}},
+    {"Core": {"Id": "S-8"}, "Rule Type": "Record Data", "Sensitivity": "Group", "Scope": {"Domains": {"Include": ["ORDERS"]}}, "Outcome": {"Message": "first dear order of its kind", "Output Variables": ["o_orderpriority", "o_orderstatus"]}, "Check": {"all": [{"name": "o_totalprice", "operator": "greater_than", "value": 200000}]}},
 ]
 
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run over two tables: the issues of all rules."""
-    report = validate(spark, [parse_rule(r) for r in STUDY_RULES], [dataset(spark, sf_dir, "orders"), dataset(spark, sf_dir, "customer")])
+    segments = spark.createDataFrame([("SEGMENTS", w) for w in ("BUILDING", "MACHINERY", "HOUSEHOLD")], "dictionary string, term string")
+    report = validate(spark, [parse_rule(r) for r in STUDY_RULES], [dataset(spark, sf_dir, "orders"), dataset(spark, sf_dir, "customer")], Knowledge(dictionaries=segments))
     return report.issues.select("rule_id", "dataset", F.col("row").cast("long").alias("row"), "message")
 
 
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders whose lines differ in status."""
+    return post.conflicting(dataset(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linestatus").df.select(*LINES)
+
+
+def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' variables with their labels in a library."""
+    found = variable_metadata(spark, dataset(spark, sf_dir, "orders"), library={"ORDERS": {"labels": {"O_ORDERKEY": "Key", "o_totalprice": "Price"}}})
+    return found.df.select("variable_name", F.col("variable_order").cast("int").alias("variable_order"), "variable_type", "library_variable_name", "library_variable_label")
+
+
+def library_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a library says of a table, beside its rows, in the context of a run."""
+    ds = dataset(spark, sf_dir, "region")
+    context = operations.Context([ds], parse_condition, library={"REGION": {"required": ["r_regionkey", "r_name"], "columns": ["r_regionkey", "r_name", "r_comment"]}})
+    for spec in ({"operator": "required_variables", "id": "required"}, {"operator": "get_column_order_from_library", "id": "columns"}, {"operator": "domain_is_custom", "id": "custom"}, {"operator": "expected_variables", "id": "expected"}):
+        ds = operations.apply(ds, spec, context)
+    return ds.df.select("r_regionkey", "required", "columns", "custom", "expected")
+
+
+def codelists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' nations by code, from a codelist of nations, and whether it is extensible."""
+    nations = dataset(spark, sf_dir, "nation").df.select(F.lit("NAT").alias("code"), F.lit(True).alias("extensible"), F.col("n_nationkey").cast("string").alias("term_code"), F.col("n_name").alias("value"), F.lower("n_name").alias("pref_term"), F.lit(None).cast("string").alias("version"))
+    ds = dataset(spark, sf_dir, "customer")
+    ds = ds.with_df(ds.df.select("c_custkey", F.col("c_nationkey").cast("string").alias("nation_code"), ORD))
+    context = operations.Context([ds], parse_condition, nations)
+    for spec in ({"operator": "codelist_terms", "codelists": ["NAT"], "term_code": "nation_code", "returntype": "value", "id": "name"}, {"operator": "codelist_terms", "codelists": ["NAT"], "returntype": "pref_term", "id": "every"}, {"operator": "codelist_extensible", "codelist_code": "NAT", "id": "open"}):
+        ds = operations.apply(ds, spec, context)
+    return ds.df.select("c_custkey", "name", "every", "open")
+
+
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV in the checkpoint folder and read back with inferred types, numbered in file order."""
+    source = dataset(spark, sf_dir, "customer").df
+    path = f"{scratch(spark)}/customer.csv"
+    source.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.csv(path, header=True)
+    read = tables.read_csv(spark, path)
+    return with_position(read.df, [ORD], "place").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "place")
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose issues agree with what is expected, and how they differ otherwise."""
+    lines = dataset(spark, sf_dir, "lineitem").df
+    issue = lambda rule: lines.where("l_quantity < 3").select(F.lit(rule).alias("rule_id"), F.lit("LINEITEM").alias("dataset"), F.col("l_suppkey").cast("int").alias("row"), F.array(F.lit("L_QUANTITY")).alias("variables"), F.lit(None).cast("string").alias("usubjid"), F.lit(None).cast("string").alias("seq"))
+    found = issue("SAME").unionByName(issue("FEWER").where("row % 2 = 0")).unionByName(issue("NEW"))
+    wanted = issue("SAME").unionByName(issue("FEWER")).unionByName(issue("LOST"))
+    return score.score(found, wanted).select("rule_id", "bucket")
+
+
 MADE: dict[str, tuple[Query, str]] = {
+    "conflicting": (conflicts, "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, min(l_linestatus) OVER (PARTITION BY l_orderkey) AS a, max(l_linestatus) OVER (PARTITION BY l_orderkey) AS b FROM lineitem) WHERE a < b"),
+    "variable_metadata": (variables, "SELECT column_name AS variable_name, CAST(row_number() OVER () AS INT) AS variable_order, CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'Num' ELSE 'Char' END AS variable_type, CASE column_name WHEN 'o_orderkey' THEN 'O_ORDERKEY' WHEN 'o_totalprice' THEN 'o_totalprice' END AS library_variable_name, CASE column_name WHEN 'o_orderkey' THEN 'Key' WHEN 'o_totalprice' THEN 'Price' END AS library_variable_label FROM (DESCRIBE orders)"),
+    "library_lists": (library_lists, "SELECT r_regionkey, 'r_regionkey|r_name' AS required, 'r_regionkey|r_name|r_comment' AS columns, false AS custom, '' AS expected FROM region"),
+    "codelist_terms": (codelists, "SELECT c_custkey, n_name AS name, (SELECT string_agg(lower(n_name), '|' ORDER BY lower(n_name)) FROM nation) AS every, true AS open FROM customer JOIN nation ON n_nationkey = c_nationkey"),
+    "csv_source": (csv_source, "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS place FROM customer"),
+    "score": (scores, "SELECT * FROM (VALUES ('SAME', 'match'), ('FEWER', 'missing'), ('NEW', 'no_expectation'), ('LOST', 'missing')) AS t(rule_id, bucket)"),
     "value_metadata": (value_rows, "SELECT c_custkey, 'c_name' AS variable_name, c_name AS variable_value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer"),
     "dataset_metadata": (table_rows, "SELECT 'region' AS dataset_name, 'REGION' AS DOMAIN, count(*) AS record_count, 'region|nation|supplier' AS dataset_names FROM region UNION ALL SELECT 'nation', 'NATION', count(*), 'region|nation|supplier' FROM nation UNION ALL SELECT 'supplier', 'SUPPLIER', count(*), 'region|nation|supplier' FROM supplier"),
     "overlapping": (overlaps, "SELECT o_orderkey, o_custkey FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey <> a.o_orderkey AND CAST(b.o_orderdate AS DATE) <= CAST(a.o_orderdate AS DATE) + 60 AND CAST(a.o_orderdate AS DATE) <= CAST(b.o_orderdate AS DATE) + 60)"),
@@ -316,7 +377,10 @@ MADE: dict[str, tuple[Query, str]] = {
         UNION ALL SELECT 'S-2', 'orders', row, 'largest order of a busy customer' FROM o WHERE n > 15 AND o_totalprice = most
         UNION ALL SELECT 'S-3', 'customer', row_number() OVER (ORDER BY c_custkey), 'customer without an urgent order' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
         UNION ALL SELECT 'S-4', 'customer', row, 'segment by name' FROM c WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3)
-        UNION ALL SELECT 'S-5', 'STUDY', 1, 'no such table'""",
+        UNION ALL SELECT 'S-5', 'STUDY', 1, 'no such table'
+        UNION ALL SELECT 'S-6', 'customer', c.row, 'customer of a large order' FROM c JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000
+        UNION ALL SELECT 'S-7', 'customer', row, 'segment outside the dictionary' FROM c WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')
+        UNION ALL SELECT 'S-8', 'orders', min(row), 'first dear order of its kind' FROM o WHERE o_totalprice > 200000 GROUP BY o_orderpriority, o_orderstatus""",
     ),
 }
 

@@ -75,6 +75,11 @@ def read_dictionaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "dictionary string, term string")
 
 
+def read_library(spark: SparkSession, path: str) -> dict[str, dict[str, Any]]:
+    """What a standard's library says of each domain, from JSON: lists of variables (columns, required, expected, permissible, model, by role) and labels by variable."""
+    return {domain.upper(): {kind.lower(): names for kind, names in lists.items()} for domain, lists in json.loads(read_text(spark, path)).items()}
+
+
 @dataclass
 class Define:
     """What a Define-XML document says, as rows of texts."""

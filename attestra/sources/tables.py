@@ -68,12 +68,16 @@ def _mixed(seen: Any, i: int) -> bool:
     return not seen[f"f{i}"]
 
 
-def read_csv(spark: SparkSession, path: str, name: str | None = None, typed: bool = True) -> Dataset:
-    """A CSV file with a header; an empty cell is null. The table is named by the file, in capitals."""
+def read_csv(spark: SparkSession, path: str, name: str | None = None, typed: bool = True, multi_line: bool = True) -> Dataset:
+    """A CSV file with a header, or a folder of them; an empty cell is null. The table is named by the file, in capitals.
+
+    Rows follow files by name, then their place. Cells with line breaks make a file one task; without such
+    cells ``multi_line=False`` lets Spark split large files.
+    """
     stem = name or PurePosixPath(path).stem.upper()
-    df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True, nullValue="", emptyValue="")
+    df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line, nullValue="", emptyValue="")
     columns = df.columns
-    df = df.withColumn(ORD, F.monotonically_increasing_id())
+    df = df.withColumn(ORD, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("k")))
     return Dataset(stem, infer(df, columns) if typed else df, stem[:2] if not stem.startswith("AD") else stem, filename=PurePosixPath(path).name, source_format="csv", variables=tuple(Variable(c) for c in columns))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from attestra.model import ORD, All, AnyOf, ColumnRef, Dataset, Leaf, Literal, MissingColumn, Not, NoValue, RuleError, Values
+from attestra.model import ORD, All, AnyOf, ColumnRef, Dataset, Leaf, Literal, MissingColumn, Not, NoValue, RuleError, Terms, Values
 from attestra.operators.conditions import OPERATORS, violations
 
 ROWS = [
@@ -175,3 +175,18 @@ def test_sortedness_is_the_pairwise_definition(spark, seed, down):
     before = lambda a, b: place(b) < place(a) if down else place(a) < place(b)
     want = [any(o[1] == r[1] and ((before(o[2], r[2]) and greater(o[3], r[3])) or (before(r[2], o[2]) and greater(r[3], o[3]))) for o in rows) for r in rows]
     assert got == want
+
+
+def test_partial_dates_mark_their_group(spark):
+    """A group with an inversion and a partial date among its keys counts as a whole; others as usual."""
+    rows = [(1, "a", "2020", 1), (2, "a", "2020-05-01", 3), (3, "a", "2020-06-01", 2), (4, "a", "2020-07-01", None), (5, "b", "2020", 1), (6, "b", "2020-05-01", 2), (7, "c", "2020-05-01", 2), (8, "c", "2020-06-01", 1), (9, "c", "2020-07-01", 3)]
+    ds = Dataset("T", spark.createDataFrame(rows, f"{ORD} long, G string, D string, V long"))
+    got = mask(ds, Leaf("V", "target_is_not_sorted_by", Values(({"name": "D"},)), {"within": "G"}))
+    assert got == [True, True, True, False, False, False, True, True, False]
+
+
+def test_a_table_of_terms(spark, table):
+    ds = Dataset("T", spark.createDataFrame([(1, "A"), (2, "b"), (3, None), (4, "c")], f"{ORD} long, V string"))
+    terms = Terms(spark.createDataFrame([("a",), ("b",), ("b",)], "term string"))
+    assert mask(ds, Leaf("V", "is_contained_by", terms)) == [False, True, False, False]
+    assert mask(ds, Leaf("V", "is_not_contained_by_case_insensitive", terms)) == [False, False, True, True]

@@ -59,7 +59,7 @@ def test_results(report):
     assert found[("R3", "AE")] == ("failed", 1, "") and found[("R4", "AE")] == ("failed", 1, "") and found[("R5", "AE")] == ("failed", 1, "")
     assert found[("R6", "STUDY")] == ("failed", 1, "") and found[("R7", "AE")] == ("failed", 1, "") and found[("R8", "DATASETS")] == ("failed", 1, "")
     assert found[("R9", "")][2] == "unsupported_operator" and found[("R10", "")][2] == "missing_column"
-    assert found[("R11", "AE")] == ("failed", 3, "") and found[("R12", "AE")] == ("failed", 2, "") and found[("R13", "AE")] == ("failed", 1, "")
+    assert found[("R11", "AE")] == ("failed", 3, "") and found[("R12", "AE")] == ("failed", 3, "") and found[("R13", "AE")] == ("failed", 1, "")
 
 
 def test_issues(report):
@@ -70,11 +70,19 @@ def test_issues(report):
 
 
 def test_reports(report, tmp_path):
-    out = json.loads(reports.to_json(report, {"study": "x"}))
+    said = {k: io.StringIO() for k in ("json", "csv", "log")}
+    reports.write_json(report, said["json"], {"study": "x"})
+    reports.write_csv(report, said["csv"])
+    reports.write_log(report, said["log"])
+    out = json.loads(said["json"].getvalue())
     assert out["summary"]["total"] == len(report.results) and out["metadata"] == {"study": "x"}
-    rows = list(csv.DictReader(io.StringIO(reports.to_csv(report))))
+    rows = list(csv.DictReader(io.StringIO(said["csv"].getvalue())))
     assert sum(r["rule_id"] == "R1" for r in rows) == 2 and next(r for r in rows if r["rule_id"] == "R9")["skip_reason"] == "unsupported_operator"
-    assert reports.safe_cell("=1+1") == "'=1+1" and "event=summary" in reports.to_log(report) and '"' in reports._line(a="b c")
+    assert reports.safe_cell("=1+1") == "'=1+1" and "event=summary" in said["log"].getvalue() and '"' in reports._line(a="b c")
+    assert next(r for r in out["results"] if r["rule_id"] == "R1")["errors"][0]["row"] == 2
+    reports.write_csv_parts(report, str(tmp_path / "parts"))
+    parts = [r for f in sorted((tmp_path / "parts").glob("*.csv")) for r in csv.DictReader(f.open(newline=""))]
+    assert parts == rows
     reports.write_issues(report.issues, str(tmp_path / "issues"))
     assert {r["variable"] for r in reports.counts_by_variable(report.issues).where("rule_id = 'R4'").collect()} == {"M", "K"}
 
@@ -109,7 +117,7 @@ def test_catalogs(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Rule ID,Domain,Message,Condition,Target,Type\nX1,AE,severity must be known term,AESEV == 'MILD' @or AESEV == 'SEVERE',AESEV,value\nX2,DM,sex must be filled in,SEX != '',SEX,value\nX3,LB,%Domain% odd macro,%Variable% == 1,LBX,value\nX4,ZZ,nothing alike,,Q,\nX5,QQ,unmatched thing,QQV == 'A',QQV,value\n")
     (tmp_path / "b.csv").write_text("id,domain,message,target,type\nX1,AE,other words entirely,AESEV,value\nY2,DM,sex must be filled in,SEX,value\n")
     a, b = catalog.read_catalog(spark, str(tmp_path / "a.csv")), catalog.read_catalog(spark, str(tmp_path / "b.csv"))
-    mapped = catalog.map_rules(a, b, frequent=1.0)
+    mapped = catalog.map_rules(a, b)
     got = {r["rule_id"]: (r["other_id"], r["score"]) for r in mapped.collect()}
     assert got["X1"][0] == "X1" and got["X1"][1] >= 0.9 and got["X2"][0] == "Y2" and "X4" not in got
     found = {r["rule_id"]: r["kind"] for r in catalog.classify(a, mapped).collect()}

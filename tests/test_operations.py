@@ -85,9 +85,11 @@ def test_metadata(spark, ds, dm):
     assert one(operator="get_dataset_filtered_variables", key_name="role", key_value="Timing", id="v") == "['D']"
     assert one(operator="dataset_names", id="v") == "AE|DM" and one(operator="variable_exists", name="N", id="v") is True
     assert one(operator="get_column_order_from_dataset", id="v").startswith("USUBJID|DOMAIN")
-    text = Dataset("X", spark.createDataFrame([(1, "<p>ok</p>"), (2, "<p>"), (3, "<blink/>"), (4, None)], f"{ORD} long, H string"))
-    got = column(run(text, operator="get_xhtml_errors", name="H", id="e"), "e")
-    assert got[0] == "" and "well formed" in got[1] and "blink" in got[2] and got[3] == ""
+    good = ['<p class="x">ok <b>b</b></p>', None, " ", '<ul><li>a</li></ul>', '<usdm:ref id="1" klass="A" attribute="b"/>', '<td colspan="2">x</td>']
+    bad = ["<p>", "<blink/>", "<h1>x</h1>", '<p href="x">a</p>', "<ol><p>a</p></ol>", "<usdm:ref/>", '<usdm:tag name="n">text</usdm:tag>', '<usdm:other id="1"/>', '<usdm:tag name="n" id="1"/>']
+    text = Dataset("X", spark.createDataFrame(list(enumerate([*good, *bad])), f"{ORD} long, H string"))
+    got = column(run(text, operator="get_xhtml_errors", name="H", id="e", namespace="http://example.org/ns"), "e")
+    assert got == [None] * len(good) + ["invalid xhtml"] * len(bad)
     assert len(OPERATIONS) > 35
     with pytest.raises(RuleError):
         run(ds, operator="pivot")

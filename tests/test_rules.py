@@ -2,6 +2,8 @@
 
 import json
 
+from dataclasses import replace
+
 import pytest
 
 from attestra.model import All, AnyOf, ColumnRef, Dataset, Leaf, Literal, Not, RuleError, Values
@@ -18,7 +20,7 @@ RULE = {
 def test_metadata_and_executable_shapes(tmp_path):
     rule = parse_rule(RULE)
     assert rule.id == "R-1" and rule.conditions == All((Leaf("A", "equal_to", ColumnRef("B")), Not(Leaf("A", "is_contained_by", Values(("x",))))))
-    assert rule.standards == (("SDTMIG", "3.4"),) and rule.output_variables == ("A",) and rule.sensitivity == "record"
+    assert rule.standards == (("SDTMIG", "3.4", ""),) and rule.output_variables == ("A",) and rule.sensitivity == "record"
     other = parse_rule({"core_id": "R-2", "conditions": {"name": "A", "operator": "exists"}, "actions": [{"name": "x", "params": {"message": "m"}}]})
     assert other.message == "m" and other.conditions == Leaf("A", "exists")
     (tmp_path / "b.json").write_text(json.dumps([RULE]))
@@ -81,9 +83,16 @@ def test_selection(spark):
     with pytest.raises(ValueError):
         select_rules(rules, ["R-1"], ["R-2"])
     kept, outside = for_standard(rules, "ADaMIG")
-    assert [r.id for r in kept] == ["R-2"] and outside[0].skip_reason == "outside_standard"
-    assert len(for_standard(rules, "sdtmig", "3-4")[0]) == 2
+    assert kept == [] and [r.skip_reason for r in outside] == ["outside_standard"] * 2 and for_standard(rules, "ADaMIG", asked_for=False) == ([], [])
+    assert [r.id for r in for_standard(rules, "sdtmig", "3-4")[0]] == ["R-1"]
+    of = lambda name, version, part="": replace(rules[0], standards=((name, version, part),))
+    some = [of("SENDIG-DART", "1.1"), of("SENDIG", "2.0"), of("TIG", "1.0", "SDTM"), of("TIG", "1.0", "SEND"), of("SDTMIG", ""), of("USDM", "3.0")]
+    assert for_standard(some, "SENDIG", "3.1")[0] == some[:1] and for_standard(some, "SENDIG")[0] == some[:2]
+    assert for_standard(some, "SDTMIG", "3.4")[0] == [some[2]] and for_standard(some, "SDTMIG")[0] == [some[2], some[4]] and for_standard(some, "USDM", "4.0")[0] == some[5:]
     assert unsupported(rules[1]) == "unsupported_rule_type" and unsupported(rules[0]) == ""
     df = spark.range(1)
     named = lambda n, d: Dataset(n, df, d)
-    assert in_scope(rules[0], named("AE", "AE")) and not in_scope(rules[0], named("LB", "LB")) and not in_scope(rules[0], named("SUPPAE", "SUPPAE"))
+    classes = lambda domain, **scope: in_scope(replace(rules[0], domains={}, classes=scope), named(domain, domain))
+    assert classes("ML", Include=["Interventions"]) and classes("FA", Include=["FINDINGS"]) and classes("FA", Include=["Findings-About"]) and not classes("LB", Include=["FINDINGS ABOUT"])
+    assert classes("BE", Include=["EVENTS"]) and classes("DM", Include=["SPECIAL_PURPOSE"]) and not classes("FA", Exclude=["Findings"]) and classes("SUPPAE", Include=["EVENTS"])
+    assert in_scope(rules[0], named("AE", "AE")) and not in_scope(rules[0], named("LB", "LB")) and in_scope(rules[0], named("SUPPAE", "SUPPAE"))  # of no known class
