@@ -10,12 +10,15 @@ most j - 1 pieces, a number that depends on the classes alone) goes to one best-
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ END_ID = 2
 FILL = 63 / 64
 #: Pieces of so many tokens or fewer are not cut.
 LEAST_PIECE = 32
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 def classes(capacity: int = CAPACITY) -> list[int]:
@@ -57,56 +60,69 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
     return pieces
 
 
-#: A letter of plain Latin text, as UTF-8; the tokenizer takes a run of them as one word.
-LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
-WORD = re.compile(rb"(?<![^ ])" + LETTER + rb"+(?![^ ])")
-#: Punctuation after such a letter; without the apostrophe, which the tokenizer joins with some letters.
+#: A word of small letters of plain Latin text, as UTF-8, which the tokenizer takes as it is.
+WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Punctuation after a Latin letter, small or large; without the apostrophe, which the tokenizer joins with some letters.
 MARK = re.compile(rb"[.,;:!?*#$%&()-](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+#: Byte-level tokenizers show a byte as the character of its number if that is printable, and the others from 256 on.
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: What a tokenizer file has to say for its texts to be encoded in parts.
+BY_PARTS = {
+    "normalizer": ["NFC", {"Regex": r"\s+"}, " ", "Lowercase"],
+    "pre_tokenizer": [{"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, "ByteLevel", False, False],
+}
+
+
+def encodes_by_parts(said: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space, keeps letters apart from what follows them and works on bytes."""
+    try:
+        (nfc, spaces, lower), (split, level), model = said["normalizer"]["normalizers"], said["pre_tokenizer"]["pretokenizers"], said["model"]
+        normal = [nfc["type"], spaces["pattern"], spaces["content"], lower["type"]]
+        before = [split["pattern"], split["behavior"], split["invert"], level["type"], level["add_prefix_space"], level["use_regex"]]
+        plain = model["type"] == "BPE" and not (model["dropout"] or model["continuing_subword_prefix"] or model["byte_fallback"] or said["post_processor"])
+        return {"normalizer": normal, "pre_tokenizer": before} == BY_PARTS and plain and all(t["content"].startswith("<|") for t in said["added_tokens"])
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
+class PartIds(dict):
+    """Ids of parts of texts as little-endian 32-bit bytes; a part is encoded when it is first met."""
+
+    def __init__(self, tokenizer):
+        self.whole, self.model = tokenizer.encode, tokenizer.model
+
+    def __missing__(self, part: bytes) -> bytes:
+        if WORD.fullmatch(part):
+            ids = [t.id for t in self.model.tokenize(part.decode("latin-1").translate(SHOWN))]
+        else:
+            ids = self.whole(part.decode("utf-8"), add_special_tokens=False).ids
+        self[part] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
 
 class CachedEncoder:
-    """Ids of texts as little-endian 32-bit bytes; a part of a text is encoded once.
+    """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer lower-cases, drops white space and joins nothing across it, nor letters with the
-    punctuation after them, so the ids of a text are those of its parts in order. Plain Latin words
-    are encoded many at a time and told apart by the ids that end a word. Texts with a control
-    string's opening go to the tokenizer whole. The cache is emptied when it holds ``CACHE_WORDS`` parts.
+    If the file says that nothing is joined across white space, nor letters with the punctuation after
+    them, the ids of a text are those of its parts in order, and a part is encoded once. Other
+    tokenizers, and texts with a control string's opening, take whole texts. The cache is emptied when
+    it holds ``CACHE_WORDS`` parts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, parts: set[bytes]) -> None:
-        words = WORD.findall(b" ".join(parts))
-        if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.cache.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        for part in parts.difference(words):
-            self.cache[part] = self._whole(part.decode("utf-8"))
+        source = Path(path).read_text("utf-8")
+        self.tokenizer, self.by_parts = Tokenizer.from_str(source), encodes_by_parts(json.loads(source))
+        self.ids = PartIds(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._whole(text)
-        parts = MARK.sub(rb" \g<0>", text.encode("utf-8").lower()).split()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        found = list(map(self.cache.get, parts))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if missing:
-            self._learn({parts[i] for i in missing})
-            for i in missing:
-                found[i] = self.cache[parts[i]]
-        return b"".join(found)
+        if not self.by_parts or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+        return b"".join(map(self.ids.__getitem__, MARK.sub(rb" \g<0>", text.encode("utf-8").lower()).split()))
 
 
 @lru_cache(maxsize=2)
