@@ -2,15 +2,18 @@
 
 The automaton of all items is built on each worker from the items' words, training texts stream
 through it word by word, and the longest match that ends at each word gives the hit words. The items
-are a side table; ``MAX_WORDS`` bounds what one automaton holds. A larger benchmark is dealt into
-shards by hash, each shard scans the texts with an automaton of its own, and the spans are merged.
+are a side table; ``MAX_WORDS`` bounds what one automaton, and the driver, holds at a time. A larger
+benchmark is dealt into shards by hash; the texts are still read once, and each batch of them goes
+through the automata in turn.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,79 +143,79 @@ class ItemAutomaton:
                 spans.append((first, i))
 
 
-SPANS = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+class Shard:
+    """Some of the items, broadcast; its automaton is built once for a worker."""
 
+    def __init__(self, key: str, items):
+        self.key, self.items = key, items
 
-def _scan(items: list[tuple[str | None, str]], window: int, column: str, schema: pa.Schema | None = None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ItemAutomaton(((name, words_of(text)) for name, text in items), window)
-        for batch in batches:
-            counts, spans, names = [], [], []
-            for text in batch[column]:
-                words = words_of(text.as_py())
-                at, found = automaton.hits(words)
-                counts.append(len(words))
-                spans.append([list(x) for x in at])
-                names.append(sorted(x for x in found if x is not None))
-            more = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__n_words", "__spans", "__items"])
-
-    return run
-
-
-def _items(benchmark: DataFrame, max_words: int) -> list[list[tuple[str | None, str]]]:
-    """The items in shards of about ``max_words`` words; one letter counts as a word at least."""
-    small_batches(benchmark.sparkSession)
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Shard) and self.key == other.key
+
+    def __hash__(self) -> int:
+        return hash(self.key)
+
+
+@lru_cache(maxsize=1)
+def automaton_of(shard: Shard, window: int) -> ItemAutomaton:
+    return ItemAutomaton(((name, words_of(text)) for name, text in shard.items.value), window)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and out[-1][1] >= begin:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((begin, end))
+    return out
+
+
+def _found(texts: list[str | None], shards: list[Shard], window: int) -> list[tuple[int, list[tuple[int, int]], set]]:
+    """Number of words, hit spans and items of each text; all texts meet one automaton after the other."""
+    words = [words_of(t) for t in texts]
+    spans, items = [[] for _ in texts], [set() for _ in texts]
+    for shard in shards:
+        automaton = automaton_of(shard, window)
+        for k, found in enumerate(map(automaton.hits, words)):
+            spans[k] += found[0]
+            items[k] |= found[1]
+    return [(len(w), merged(s) if len(shards) > 1 else s, i) for w, s, i in zip(words, spans, items, strict=True)]
+
+
+def shards_of(benchmark: DataFrame, max_words: int = MAX_WORDS) -> list[Shard]:
+    """The items in broadcast shards of about ``max_words`` words, read one after the other; one letter counts as a word at least."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
     texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     words = texts.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\u0080-\U0010ffff]+")))).first()[0] or 0
-    shards = max(1, math.ceil(words / max_words))
-    return [[tuple(r) for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).collect()] for k in range(shards)]
+    n, key = max(1, math.ceil(words / max_words)), uuid.uuid4().hex
+    part = lambda k: texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+    return [Shard(f"{key}-{k}", spark.sparkContext.broadcast([tuple(r) for r in part(k).collect()])) for k in range(n)]
+
+
+#: What ``scan`` adds to the documents.
+FOUND = T.StructType([T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__items", T.ArrayType(T.StringType()))])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with __n_words, __spans ([begin, end) of hit words) and __items (ids found, as strings).
+    """``docs`` with __n_words, __spans ([begin, end) of hit words) and __items (ids found, as strings), in one scan.
 
     A null text has no words. Items without words are never found; one without an id hits words but
-    is not listed. Rows are never dropped; repeated rows are scanned alike.
+    is not listed. Rows are never dropped; repeated rows are scanned alike. Columns of ``docs`` of the
+    added names give way to them.
     """
-    spark, shards = docs.sparkSession, _items(benchmark, max_words)
-
-    def once(items: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
-        schema = T.StructType([*docs.schema, *[T.StructField(f"__{f.name}", f.dataType) for f in SPANS]])
-        return docs.mapInArrow(lambda batches: _scan(shared.value, window, "text")(batches), schema)
-
-    if len(shards) == 1:
-        return once(shards[0])
-    key = {"__id": F.col("doc_id"), "__text": F.xxhash64("text")}
-    keyed = [once(s).where("size(__spans) > 0").select(key["__id"].alias("__id"), key["__text"].alias("__text"), "__spans", "__items").dropDuplicates(["__id", "__text"]) for s in shards]
-    every = keyed[0]
-    for part in keyed[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("__id", "__text").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
-    merged = merged.withColumn("__spans", merge_spans(F.col("__spans")))
-    at = once([]).drop("__spans", "__items").withColumns(key)
-    joined = at.join(merged, at["__id"].eqNullSafe(merged["__id"]) & (at["__text"] == merged["__text"]), "left")
-    none = F.array()
-    return joined.select(*[at[c] for c in docs.columns], at["__n_words"], F.coalesce("__spans", none.cast("array<array<bigint>>")).alias("__spans"), F.coalesce("__items", none.cast("array<string>")).alias("__items"))
-
-
-def merge_spans(spans: Column) -> Column:
-    """Spans in order, those that overlap or touch made one."""
-    start = F.array().cast("array<array<bigint>>")
+    shards = shards_of(benchmark, max_words)
+    docs = docs.drop(*FOUND.names)
 
-    def step(done: Column, span: Column) -> Column:
-        last, head = F.element_at(done, -1), F.slice(done, 1, F.size(done) - 1)
-        joined = F.concat(head, F.array(F.array(last[0], F.greatest(last[1], span[1]))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))[1] >= span[0]), joined).otherwise(F.concat(done, F.array(span)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, spans, items = zip(*found, strict=True) if (found := _found(batch["text"].to_pylist(), shards, window)) else ((), (), ())
+            more = [pa.array(counts, pa.int64()), pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x for x in i if x is not None) for i in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *FOUND.names])
 
-    return F.aggregate(F.array_sort(spans), start, step)
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *FOUND]))
 
 
 def hit_words(spans: Column) -> Column:
@@ -228,34 +231,26 @@ def _cut(text: str, spans: list[list[int]]) -> str:
     return "".join([*left, text[begin:]])
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` without what the items' windows hit: hit spans are cut out of the texts.
 
     A text of which more than ``max_coverage`` of the words are hit goes as a whole. Texts without a
-    hit and null texts stay as they are; n_chars, where there, follows a text that was cut.
+    hit and null texts stay as they are; n_chars, where there, follows a text that was cut. Other
+    columns of any name stay.
     """
-    shards = _items(benchmark, MAX_WORDS)
-    if len(shards) > 1:
-        found = scan(docs, benchmark, window)
-        kept = found.where(hit_words(F.col("__spans")) <= F.lit(max_coverage) * F.col("__n_words"))
-        return kept.select(*docs.columns, "__spans").mapInArrow(lambda batches: map(_without_spans, batches), docs.schema)
-    shared = docs.sparkSession.sparkContext.broadcast(shards[0])  # MAX_WORDS words at most
+    shards = shards_of(benchmark, max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _scan(shared.value, window, "text")(batches):
-            hit = [sum(b - a for a, b in s) for s in batch["__spans"].to_pylist()]
-            few = pa.array([h <= max_coverage * n for h, n in zip(hit, batch["__n_words"].to_pylist(), strict=True)], pa.bool_())
-            yield _without_spans(batch.filter(few).drop_columns(["__n_words", "__items"]))
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            found = [(n, s) for n, s, _ in _found(texts, shards, window)]
+            cut = {k: _cut(texts[k], s) for k, (_, s) in enumerate(found) if s}
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            if cut:
+                columns["text"] = pa.array([cut.get(k, t) for k, t in enumerate(texts)], batch["text"].type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(cut[k]) if k in cut else n for k, n in enumerate(batch["n_chars"].to_pylist())], batch["n_chars"].type)
+            few = pa.array([sum(b - a for a, b in s) <= max_coverage * n for n, s in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(few)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _without_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch with the words of __spans cut out of its texts."""
-    columns = {name: batch[name] for name in batch.schema.names if name != "__spans"}
-    cut = {i: _cut(batch["text"][i].as_py(), s) for i, s in enumerate(batch["__spans"].to_pylist()) if s}
-    if cut:
-        columns["text"] = pa.array([cut.get(i, t) for i, t in enumerate(batch["text"].to_pylist())], batch["text"].type)
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([len(cut[i]) if i in cut else n for i, n in enumerate(batch["n_chars"].to_pylist())], batch["n_chars"].type)
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
