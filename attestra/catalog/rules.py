@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import json
 import re
+import xml.etree.ElementTree as ElementTree
+import zipfile
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.model import RuleError
+from attestra.plans.rules import read_yaml, yaml_errors
+from attestra.sources.tables import read_text
+
 #: Columns of a catalog; domain, target and shared_ids (identifiers that other catalogs use too) may be lists, joined by a bar.
 CATALOG = ["source", "rule_id", "domain", "message", "description", "condition", "target", "rule_type", "standard", "shared_ids"]
 # Weights of the parts of a match, what they add to a match by identifier, and the bounds of a match.
@@ -34,6 +43,91 @@ def read_catalog(spark: SparkSession, path: str, domains: DataFrame | None = Non
     return out.select(*CATALOG)
 
 
+# The elements of a configuration that are rules, and those whose attributes name a standard.
+RULE_ELEMENTS, STANDARD_ELEMENTS = {"rule", "validationrule", "validation_rule", "check"}, {"standard", "standardconfig"}
+#: Characters of a configuration file that is read whole.
+CONFIG_CHARS = 20_000_000
+
+
+def _said(e: ElementTree.Element) -> dict[str, str]:
+    """Attributes and texts of direct children, by name in small letters; what children hold in turn is joined by a bar."""
+    plain = lambda name: re.sub(r"[\s-]+", "_", name.rpartition("}")[2].strip()).lower()
+    out = {plain(k): v.strip() for k, v in e.attrib.items() if v.strip()}
+    for child in e:
+        texts = [t.strip() for t in child.itertext() if t.strip()]
+        if texts:
+            out.setdefault(plain(child.tag), "|".join(texts))
+    return out
+
+
+def read_config(spark: SparkSession, path: str, source: str = "config") -> DataFrame:
+    """Rules of an XML configuration in the catalog's columns. Rules without an id are left out; a document type is refused."""
+    text = read_text(spark, path)
+    if len(text) > CONFIG_CHARS or re.search("(?i)<!(?:doctype|entity)", text):
+        raise ValueError(f"{path}: over {CONFIG_CHARS} characters, or with a document type")
+    rows: list[tuple] = []
+
+    def walk(e: ElementTree.Element, standard: str | None) -> None:
+        kind, said = re.sub(r"[\s-]+", "_", e.tag.rpartition("}")[2]).lower(), _said(e)
+        if kind in RULE_ELEMENTS:
+            first = lambda *keys: next((said[k] for k in keys if k in said), None)
+            listed = lambda value: re.sub(r"\s*[;,|]\s*", "|", value).strip("|").upper() if value else None
+            condition = " ".join(f"{k.upper()} {v}" for k, v in (("when", first("when", "if", "where")), ("test", first("test", "condition", "expression", "logic"))) if v)
+            name = first("id", "rule_id", "ruleid", "rule")
+            if name:
+                rows.append((source, name, listed(first("domain", "domains", "domainlist", "domain_list")), first("message", "error_message", "text"), first("description", "desc", "explanation"), condition or None, listed(first("target", "variable", "variables", "var")), (first("type", "rule_type") or "").lower() or None, standard, "|".join(sorted(set(re.findall(r"\bCG\d{3,}\b", " ".join(said.values()))))) or None))
+            return
+        if kind in STANDARD_ELEMENTS:
+            standard = said.get("name") or said.get("standard_name") or standard
+        for child in e:
+            walk(child, standard)
+
+    root = ElementTree.fromstring(text)
+    walk(root, root.attrib.get("name"))
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in CATALOG))
+
+
+def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rule, error) of every rule in a tree of JSON and YAML files and zip archives of them; rule is its JSON text.
+
+    Files are read and parsed in Spark's tasks; one that can't be read gives its error, and no other suffers.
+    """
+    kinds = (".json", ".yaml", ".yml")
+
+    def parsed(name: str, content: bytes) -> list[tuple]:
+        try:
+            text = content.decode("utf-8")
+            raw = json.loads(text) if name.lower().endswith(".json") else read_yaml(text)
+            return [(name, json.dumps(r, ensure_ascii=False, default=str), None) for r in (raw if isinstance(raw, list) else [raw])]
+        except (ValueError, RuleError, *yaml_errors()) as error:
+            return [(name, None, str(error))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                if name.lower().endswith(".zip"):
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        rows += [r for member in archive.namelist() if member.lower().endswith(kinds) for r in parsed(f"{name}!{member}", archive.read(member))]
+                elif name.lower().endswith(kinds):
+                    rows += parsed(name, content)
+            yield pd.DataFrame(rows, columns=["path", "rule", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, rule string, error string")
+
+
+def export_rules(drafts: DataFrame, path: str, passed: DataFrame | None = None) -> DataFrame:
+    """Writes drafts (rule_id, rule: JSON text) as one folder for each rule, and returns (rule_id, exported).
+
+    With ``passed`` (rule_id) only those that passed their cases are written. Folders that are there stay.
+    """
+    wanted = drafts if passed is None else drafts.join(passed.select("rule_id").distinct(), "rule_id", "left_semi")
+    wanted.select("rule_id", F.col("rule").alias("value")).write.mode("append").partitionBy("rule_id").text(path)
+    out = wanted.select("rule_id").distinct().withColumn("exported", F.lit(True))
+    return drafts.select("rule_id").distinct().join(out, "rule_id", "left").withColumn("exported", F.coalesce("exported", F.lit(False)))
+
+
 def likeness(left: str | None, right: str | None) -> float:
     """How alike two texts are: the share of matching characters or of common words, whichever is larger."""
     if not left or not right:

@@ -70,3 +70,42 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(rule_id, before, after) of rules whose bucket changed between two scores."""
     old, new = before.select("rule_id", F.col("bucket").alias("before")), after.select("rule_id", F.col("bucket").alias("after"))
     return old.join(new, "rule_id", "full").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+# How a generated case can end, in the order in which they are asked.
+CASE_CLASSES = {
+    "EXPECTED_OUTPUT_MISSING": "n_expected IS NULL",
+    "ACTUAL_OUTPUT_MISSING": "n_found IS NULL AND NOT skipped",
+    "ACTUAL_MIXED_SKIPPED_AND_ISSUES": "skipped AND n_found > 0",
+    "ACTUAL_SKIPPED_BY_CORE": "skipped",
+    "NEGATIVE_DID_NOT_TRIGGER": "n_expected > 0 AND n_found = 0",
+    "POSITIVE_TRIGGERED_UNEXPECTEDLY": "n_expected = 0 AND n_found > 0",
+    "PARTIAL_STRUCTURAL_CHECK": "n_expected <> n_found AND n_described < n_expected AND n_matched = n_described",
+    "ISSUE_COUNT_MISMATCH": "n_expected <> n_found",
+    "STRUCTURAL_MISMATCH": "n_matched < n_described",
+    "PASS": "true",
+}
+
+
+def classified(cases: DataFrame) -> DataFrame:
+    """``cases`` with class: the first of ``CASE_CLASSES`` that holds.
+
+    Columns: rule_id, case_id, n_expected (issues wanted; null: no expectation), n_found (null: no report), skipped,
+    n_described (issues whose details are given) and n_matched (those found with their details).
+    """
+    out = F.lit(None).cast("string")
+    for name, condition in reversed(CASE_CLASSES.items()):
+        out = F.when(F.expr(condition), name).otherwise(out)
+    return cases.withColumn("class", out)
+
+
+def class_counts(cases: DataFrame) -> DataFrame:
+    """(class, cases, rules) of classified cases."""
+    return cases.groupBy("class").agg(F.count("*").alias("cases"), F.count_distinct("rule_id").alias("rules"))
+
+
+def gate(cases: DataFrame, allow_skipped: bool = False) -> bool:
+    """Whether there are cases and all of them passed, or were skipped where that is allowed."""
+    fine = ["PASS", *(["ACTUAL_SKIPPED_BY_CORE"] if allow_skipped else [])]
+    row = cases.agg(F.count("*").alias("n"), F.count_if(F.col("class").isin(fine)).alias("fine")).first()
+    return row["n"] > 0 and row["n"] == row["fine"]

@@ -284,6 +284,15 @@ def load_rules(paths: Iterable[str | Path]) -> list[Rule]:
     return out
 
 
+def yaml_errors() -> tuple[type[Exception], ...]:
+    """What a YAML text that can't be read raises."""
+    try:
+        import yaml
+    except ImportError:
+        return ()
+    return (yaml.YAMLError,)
+
+
 def read_yaml(source: str) -> Any:
     """YAML in which Y, N, yes, no, on and off stay texts."""
     try:
