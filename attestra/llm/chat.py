@@ -26,11 +26,12 @@ def format_chats(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFram
     """(conv_id, formatted, loss_spans): one row for each conversation.
 
     ``turns``: conv_id, turn, role, text. Turns go by turn, then role, then text, null turns first;
-    null roles and texts count as empty; rows without conv_id are one conversation. Repeated rows
-    are turns of their own. loss_spans are the [begin, end) code points of the trained role's texts.
+    null roles and texts count as empty; a row without conv_id is a conversation of its own. Repeated
+    rows are turns of their own. loss_spans are the [begin, end) code points of the trained role's texts.
     """
     turn = F.struct("turn", F.url_encode(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = turns.select("conv_id", alone.alias("alone"), turn.alias("turn")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
     def lead(t: Column, i: Column) -> Column:
         before = F.get(F.col("turns"), i - 1)["role"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def set_aside(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names under others, and how to rename them back."""
+    taken = {n.lower() for n in names}
+    other = {c: f"{c}-{uuid.uuid4().hex}" for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(other), {v: k for k, v in other.items()}
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -13,13 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import ascii_lower
+from attestra.llm.common import ascii_lower, materialize
 
 Z = 1.645
 LIMIT = 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 10_000.0
-#: Suffixes of two labels; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "com.cn", "co.za")
+#: Suffixes of several labels that are known without a list; any other suffix is the last label.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "com.cn", "co.za")
 #: Rules up to this number become one expression; more are joined by host.
 INLINE_RULES = 200
 
@@ -34,16 +34,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    name = F.regexp_replace(host, r":\d*$", "")
-    last, two = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(last)
+def _labels(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
+    """The host's name, and how many labels its suffix has: the longest one of ``suffixes`` that it ends with, else one."""
+    name, n = F.regexp_replace(host, r":\d*$", ""), F.lit(1)
+    for k in sorted({s.count(".") + 1 for s in suffixes}):
+        n = F.when(F.substring_index(name, ".", -k).isin([s for s in suffixes if s.count(".") + 1 == k]), k).otherwise(n)
+    return name, n
 
 
-def domain_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    name, n = _labels(host, suffixes)
+    return F.array_join(F.slice(F.split(name, r"\."), -F.least(n, F.size(F.split(name, r"\."))), n), ".")
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """The suffix and the label before it."""
-    name = F.regexp_replace(host, r":\d*$", "")
-    return F.when(F.substring_index(name, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    name, n = _labels(host, suffixes)
+    return F.array_join(F.slice(F.split(name, r"\."), -F.least(n + 1, F.size(F.split(name, r"\."))), n + 1), ".")
 
 
 def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -85,15 +92,16 @@ def _moments(groups: DataFrame) -> tuple[float, float]:
     return rate, min(max(strength, LEAST_STRENGTH), MOST_STRENGTH)
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, n, bad, rate, low): posterior bad rate and its lower bound for each host.
 
     ``outcomes``: host and bad (0, 1, or null where the page is not labelled). Hosts without a
-    labelled page get what their domain, suffix or the whole tells. Counts are summed before any
+    labelled page get what their domain, suffix or the whole tells. ``suffixes`` are the public suffixes
+    of two labels or more, a few of which are known anyway. Counts are summed before any
     shuffle, so a host that holds most pages is no burden.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}), "hosts")  # pages are read once
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     rate, of_suffix = _moments(suffixes)
@@ -106,7 +114,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return hosts.select("host", "n", "bad", "rate", (F.col("rate") - z * deviation).alias("low"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], limit: float = LIMIT, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule and verdict.
 
     Pages that a rule fits are the labelled ones: block is a bad outcome, allow a good one. Pages
@@ -115,5 +123,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], limit: float
     """
     judged = with_rule(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
     outcomes = judged.select("host", F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0).alias("bad"))
-    known = host_reputation(outcomes, z).where(F.col("low") > limit).select("host", F.lit("block").alias("known"))
+    known = host_reputation(outcomes, z, suffixes).where(F.col("low") > limit).select("host", F.lit("block").alias("known"))
     return judged.join(known, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "known", F.lit("allow")).alias("verdict"))

@@ -10,7 +10,7 @@ one language against the rest. A document's values are the means of its segments
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import small_batches
+from attestra.llm.common import set_aside, small_batches
 from attestra.llm.sampling import labelled_sample
 
 SEGMENT = 512
@@ -30,6 +30,8 @@ TRAIN_PER_LANGUAGE, TRAIN_SEGMENTS, LANDMARKS = 400, 3, 64
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
+#: What ``predict`` adds to the documents.
+ADDED = ("__lang", "__score", "__value")
 ROWS = 512
 
 SYMBOLS = 160
@@ -86,6 +88,15 @@ class LanguageModel:
         return out
 
 
+    def means(self, text: str) -> np.ndarray:
+        """A text's value for each language: the mean of its segments', by their lengths."""
+        cut = segments(text)
+        return np.average(self.values(cut), axis=0, weights=[len(p) for p in cut])
+
+    def best(self, text: str) -> float:
+        return float(self.means(text).max())
+
+
 def presence(pieces: list[np.ndarray], order: int, table: np.ndarray, columns: int) -> np.ndarray:
     """0/1 matrix, segments by n-grams."""
     held = np.zeros((len(pieces), columns), np.float32)
@@ -138,23 +149,38 @@ def has_letter(text: str) -> bool:
 
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageModel:
     """Trains on at most about ``per_language`` documents of each language (doc_id, text, lang)."""
+    return train(_sample(docs, per_language))
+
+
+def _sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    return train([(r["text"], r["lang"]) for r in labelled_sample(rows, "lang", per_language)])
+    return [(r["text"], r["lang"]) for r in labelled_sample(rows, "lang", per_language)]
+
+
+def fit_with_limit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[LanguageModel, float]:
+    """A model, and half of the least value that a text of a taught language reaches, found on every fourth row, which doesn't train."""
+    rows = _sample(docs, per_language)
+    model = train([r for i, r in enumerate(rows) if i % 4])
+    held = [model.best(text) for text, _ in rows[::4] if has_letter(text)] if model.languages else []
+    return model, max(0.0, min(held, default=0.0) / 2)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with __lang and __score (0 to 1), from the text alone.
+    """``docs`` with __lang, __score (0 to 1) and __value, from the text alone.
 
-    A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.
+    __value is the regression's own for that language: about 1 for its texts and 0 for what has nothing in
+    common with any. A null text or one without a letter is ``und`` with score and value 0, as is every text
+    if nothing was learned. Columns of ``docs`` of the added names give way to them.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop(*ADDED)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*docs.schema, *[T.StructField(n, T.StringType() if n == "__lang" else T.DoubleType()) for n in ADDED]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
+            names, scores, best = [UNKNOWN] * len(batch), [0.0] * len(batch), [0.0] * len(batch)
             waiting: list[tuple[int, int]] = []
             pieces: list[np.ndarray] = []
 
@@ -165,7 +191,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 for row, n in waiting:
                     mean = np.average(values[at : at + n], axis=0, weights=[len(p) for p in pieces[at : at + n]])
                     odds = np.exp(SHARPNESS * (mean - mean.max()))
-                    names[row], scores[row] = known.languages[int(mean.argmax())], float(1 / odds.sum())
+                    names[row], scores[row], best[row] = known.languages[int(mean.argmax())], float(1 / odds.sum()), float(mean.max())
                     at += n
                 waiting.clear()
                 pieces.clear()
@@ -179,12 +205,21 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     if len(pieces) >= 4 * ROWS:
                         flush()
             flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(best, pa.float64())], names=[*batch.schema.names, *ADDED])
 
     return docs.mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """``docs`` without the texts that have no language: ``und`` or a score under ``least_score``."""
-    found = predict(docs, fit(docs))
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*docs.columns)
+def keep_known(docs: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` without the texts that are in no language the labels teach, or in none of ``wanted``.
+
+    What has no letter goes, and what is less than half as typical of its language as the least typical of the
+    labelled texts that were held out (see ``fit_with_limit``). Without any label nothing is known and all texts go.
+    """
+    kept, back = set_aside(docs, ADDED)
+    model, limit = fit_with_limit(docs)
+    found = predict(kept, model)
+    fits = (F.col("__lang") != UNKNOWN) & (F.col("__value") > limit)
+    if wanted is not None:
+        fits = fits & F.col("__lang").isin(list(wanted))
+    return found.where(fits).select(*[F.col(f"`{c}`") for c in kept.columns]).withColumnsRenamed(back)

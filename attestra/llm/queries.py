@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +22,13 @@ RULES = [
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and whether it stays, of every vector."""
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that benchmark windows hit, and a digest of the items found, of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words(F.col("__spans"))
@@ -42,6 +43,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document, learned from three quarters of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     out = fold(F.col("doc_id"), 4) == 2
     found = language.predict(docs.select("doc_id", "text"), language.fit(docs.where(~out)))
@@ -49,18 +51,24 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz and single-word scores of every document, learned from six sevenths of them."""
     return katz.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
 
 
 def op5_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page, by rule or by its host's reputation."""
     return hosts.judge(table(spark, sf_dir, "pages"), RULES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces in sequences of at most 4096."""
+    import public_tokenizers  # the files are needed by this query alone
+
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -77,6 +85,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = fold(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~out))
@@ -91,10 +100,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate value with the forest's score."""
     return secrets.findings(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.llm.common import materialize
+from attestra.llm.common import materialize, set_aside
 
 KEY = r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential|authorization)"
 SIGN = r"(?:=>|:=|==?|:)\s{0,3}[\"']?"
@@ -265,8 +265,10 @@ def findings(docs: DataFrame, model: RandomForestClassificationModel | None = No
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None, limit: float = LIMIT, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret's value replaced by ``mask``; no row goes.
 
-    n_chars, where there, follows a text that changed. Null texts stay null.
+    n_chars, where there, follows a text that changed. Null texts stay null. Other columns of any name stay.
     """
+    docs, back = set_aside(docs, ("__found", "__gaps", "__pos", "__text", "__id", "__hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     secrets = scan(docs, model, limit).where("secret").groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")).agg(F.collect_set("pos").alias("__pos"))
     clean = docs.where(~has_candidate(F.col("text")))
     rest = text_parts(docs).withColumn("__text", F.xxhash64("text"))
@@ -281,4 +283,4 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     rest = rest.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.unionByName(rest.select(*docs.columns))
+    return clean.unionByName(rest.select(*columns)).withColumnsRenamed(back)

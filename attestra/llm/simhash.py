@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import materialize, small_batches
+from attestra.llm.common import materialize, set_aside, small_batches
 from attestra.llm.components import connected_components
 from attestra.llm.covering import apart, covering_masks, longs, mixed, table_keys
 from attestra.llm.shingles import NAMES, linked_sets, marks_of
@@ -176,6 +176,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     agree in id and text one stays. Texts link if their sets of five-word shingles have a similarity
     of 0.8 or more; see ``shingles``.
     """
+    docs, back = set_aside(docs, ("__id", "__text"))
     key = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")}
     marks = materialize(marks_of(docs), "marks")
     firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first"), *[F.any_value(n).alias(n) for n in NAMES])
@@ -192,4 +193,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         return at.join(wanted, at["__id"].eqNullSafe(wanted["__id"]) & (at["__text"] == wanted["__text"]), "left_semi")
 
     repeated = rows(keep.where("n > 1")).dropDuplicates(["__id", "__text"])
-    return rows(keep.where("n = 1")).unionByName(repeated).select(*docs.columns)
+    return rows(keep.where("n = 1")).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)

@@ -117,9 +117,11 @@ SENTENCES = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T
 def score(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
     """``docs`` with __score (0 to 1) and __offending, the sentences whose own score is ``limit`` or more.
 
-    A null or empty text, or one without words, scores 0. Rows are never dropped.
+    A null or empty text, or one without words, scores 0. Rows are never dropped. Columns of ``docs`` of the
+    added names give way to them.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop("__score", "__offending")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema, T.StructField("__score", T.DoubleType()), T.StructField("__offending", SENTENCES)])
 
