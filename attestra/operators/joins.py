@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestra.functions import scalars
-from attestra.functions.positions import with_position
 from attestra.functions.scalars import quoted
 from attestra.model import ORD, Dataset, MissingColumn
 
@@ -52,7 +51,8 @@ def join(left: Dataset, right: Dataset, how: str, left_by: Sequence[str], right_
         shown.append(quoted(c).alias(name))
     other = right.df.select(*typed, *shown, F.col(ORD).alias("__right_ord"))
     both = left.df.withColumnRenamed(ORD, "__left_ord").join(other, condition, how).drop(*[f"__r{i}" for i in range(len(keys))])
-    return left.with_df(with_position(both, [F.col("__left_ord"), F.col("__right_ord").asc_nulls_first()], ORD).drop("__left_ord", "__right_ord"))
+    order = F.struct(F.col("__left_ord").alias("left"), F.col("__right_ord").alias("right"))  # a struct sorts by its parts, so no row has to be numbered
+    return left.with_df(both.withColumn(ORD, order).drop("__left_ord", "__right_ord"))
 
 
 def match_all(left: Dataset, others: Sequence[tuple[Dataset, Sequence[str]]]) -> Dataset:

@@ -209,7 +209,7 @@ def joined(how: str, left: str, right: str, left_by: list[str], right_by: list[s
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a join in left order, then right order, with their place."""
     ds = joins.join(dataset(spark, sf_dir, "nation"), dataset(spark, sf_dir, "supplier"), "left_join", ["n_nationkey"], ["s_nationkey"])
-    return ds.df.select("n_nationkey", F.col("`supplier.s_suppkey`").alias("s_suppkey"), F.col(ORD).cast("long").alias("place"))
+    return with_position(ds.df, [ORD], "place").select("n_nationkey", F.col("`supplier.s_suppkey`").alias("s_suppkey"), "place")
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:

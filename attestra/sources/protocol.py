@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.model import ORD, Dataset
+from attestra.model import ORD, Dataset, RuleError
 
 MOST_LEVELS = 40
 # Fixed value: the code of a reason that does not apply.
@@ -28,15 +28,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def objects(documents: DataFrame) -> DataFrame:
     """(document, path, parent, key, id, kind, name, value): every object with an id or an instance type.
 
-    ``parent`` is the path of the object around it, ``kind`` its instanceType.
+    ``parent`` is the path of the object around it, ``kind`` its instanceType. Documents nested over
+    ``MOST_LEVELS`` levels deep, arrays counted, are refused.
     """
     level = documents.select("document", F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("key"), "value").where("value IS NOT NULL")
     levels: list[DataFrame] = []
     nested = "schema_of_variant(value) LIKE 'OBJECT%' OR schema_of_variant(value) LIKE 'ARRAY%'"
-    for _ in range(MOST_LEVELS):
+    while True:
         level = level.where(nested)
         if level.isEmpty():
             break
+        if len(levels) == MOST_LEVELS:
+            raise RuleError(f"documents are nested over {MOST_LEVELS} levels deep", "invalid_document")
         levels.append(level)
         level.createOrReplaceTempView("__level")
         level = documents.sparkSession.sql("""
