@@ -141,17 +141,37 @@ def read_package(spark: SparkSession, path: str) -> list[Dataset]:
 DECLARED = {"char": "string", "text": "string", "num": "double", "float": "double", "integer": "double", "bool": "boolean", "boolean": "boolean"}
 
 
+def _declared(source: str, stems: Sequence[str]) -> list[dict[str, str]]:
+    """Rows of dataset, variable, label, type and length, from either layout of a study's variables."""
+    rows = list(csv.reader(io.StringIO(source)))
+    headers = [h.strip() for h in rows[0]] if rows else []
+    if not {h.lower() for h in headers} & {"dataset", "variable", "name", "variable_name", "variable name"} and len(set(stems)) == 1:
+        cell = lambda k, i: rows[k][i].strip() if k < len(rows) and i < len(rows[k]) else ""
+        return [{"dataset": stems[0], "variable": h.upper(), "label": cell(1, i), "type": cell(2, i), "length": cell(3, i)} for i, h in enumerate(headers) if h]
+    return list(csv.DictReader(io.StringIO(source)))
+
+
+def _by_label(names: Sequence[str], variables: Sequence[Variable]) -> dict[str, str]:
+    """New names of columns that are headed by the label of one variable."""
+    plain = lambda text: " ".join(text.split()).upper()
+    known, labels = {v.name.upper() for v in variables}, [plain(v.label) for v in variables]
+    named = {label: v.name for label, v in zip(labels, variables, strict=True) if label and labels.count(label) == 1}
+    return {n: named[plain(n)] for n in names if n.strip().upper() not in known and plain(n) in named and named[plain(n)] not in names}
+
+
 def read_study(spark: SparkSession, folder: str) -> tuple[list[Dataset], list[str]]:
     """The tables of a study directory, and warnings.
 
     ``_datasets.csv`` (Filename, Label) lists them, ``_variables.csv`` (dataset, variable, label, type,
-    length) declares types. A number that can't be read, empty or a point becomes null; text keeps
-    its empty cells. Files outside the folder are refused.
+    length) declares types; for a study of one table it may also be laid out like the table, with
+    rows of labels, types and lengths. A column headed by a variable's label gets its name. A number that
+    can't be read, empty or a point becomes null; text keeps its empty cells. Files outside the folder
+    are refused.
     """
     folder = folder.rstrip("/")
     listed = list(csv.DictReader(io.StringIO(read_text(spark, f"{folder}/_datasets.csv"))))
-    declared = list(csv.DictReader(io.StringIO(read_text(spark, f"{folder}/_variables.csv"))))
     lower = lambda row: {(k or "").strip().lower(): (v or "").strip() for k, v in row.items()}
+    declared = _declared(read_text(spark, f"{folder}/_variables.csv"), [PurePosixPath(lower(r).get("filename", "")).stem.upper() for r in listed])
     by_table: dict[str, list[dict[str, str]]] = {}
     for row in map(lower, declared):
         by_table.setdefault(row.get("dataset", "").upper().rpartition(".")[0] or row.get("dataset", "").upper(), []).append(row)
@@ -166,6 +186,8 @@ def read_study(spark: SparkSession, folder: str) -> tuple[list[Dataset], list[st
         names = raw.columns
         variables = tuple(Variable(v["variable"], v.get("label", ""), v.get("type", ""), int(v["length"]) if v.get("length", "").isdigit() else None) for v in by_table.get(stem, []) if v.get("variable"))
         kinds = {v.name: DECLARED.get(v.type.lower(), "string") for v in variables}
+        raw = raw.withColumnsRenamed(_by_label(names, variables))
+        names = raw.columns
         df = raw.withColumn(ORD, F.monotonically_increasing_id())
         bad = []
         for c in names:

@@ -122,3 +122,12 @@ def test_metadata(spark, tmp_path):
     assert found.find("c1") == found.find("severity") == ["MILD", "light", "SEVERE"] and found.find("x") is None
     (tmp_path / "d.csv").write_text("dictionary,term\nWHO,aspirin\n")
     assert metadata.read_dictionaries(spark, str(tmp_path / "d.csv")).collect()[0]["term"] == "aspirin"
+
+
+def test_study_with_labels_and_a_horizontal_dictionary(spark, tmp_path):
+    (tmp_path / "_datasets.csv").write_text("Filename,Label\nae.csv,Events\n")
+    (tmp_path / "_variables.csv").write_text("USUBJID,AESEQ,AETERM\nSubject,Sequence  Number,Term\nChar,Num,Char\n20,8,\n")
+    (tmp_path / "ae.csv").write_text("USUBJID,Sequence Number,Term\ns1,1,headache\ns2,x,\n")
+    (ae,), warnings = tables.read_study(spark, str(tmp_path))
+    assert ae.columns == ["USUBJID", "AESEQ", "AETERM"] and [tuple(r) for r in ae.df.select(*ae.columns).collect()] == [("s1", 1.0, "headache"), ("s2", None, "")]
+    assert [(v.name, v.label, v.type, v.length) for v in ae.variables] == [("USUBJID", "Subject", "Char", 20), ("AESEQ", "Sequence  Number", "Num", 8), ("AETERM", "Term", "Char", None)] and len(warnings) == 1
