@@ -192,5 +192,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         at = docs.withColumns(key)
         return at.join(wanted, at["__id"].eqNullSafe(wanted["__id"]) & (at["__text"] == wanted["__text"]), "left_semi")
 
-    repeated = rows(keep.where("n > 1")).dropDuplicates(["__id", "__text"])
-    return rows(keep.where("n = 1")).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)
+    kept, repeated = rows(keep.where("n = 1")), keep.where("n > 1")
+    if not repeated.isEmpty():  # texts are moved a second time only where rows agree in id and text
+        kept = kept.unionByName(rows(repeated).dropDuplicates(["__id", "__text"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)

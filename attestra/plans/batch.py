@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import scalars
 from attestra.functions.positions import with_position
-from attestra.model import ORD, SOURCE_ROW, ColumnRef, Dataset, Rule, leaves
+from attestra.model import ORD, SOURCE_ROW, AnyOf, ColumnRef, Dataset, Leaf, Rule, leaves
 from attestra.operators.conditions import Compiler, wants_presence
 
 ISSUE_COLUMNS = ["rule_id", "dataset", "domain", "row", "variables", "message", "usubjid", "seq"]
@@ -44,18 +44,27 @@ def _signature(ds: Dataset, names: Sequence[str]) -> Column:
     return F.array(*[F.concat(F.lit(f"{n.upper()}="), F.coalesce(c, F.lit(""))) for n, c in zip(names, shown, strict=True)]).cast("array<string>")
 
 
-def batch_issues(ds: Dataset, rules: Sequence[Rule]) -> DataFrame:
+def _failing(compiler: Compiler, rule: Rule) -> Column:
+    """The targets of those parts of an ``any`` of plain parts that hold; the others' are left out."""
+    parts = [(part, compiler.dataset.column(part.target)) for part in rule.conditions.parts]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(compiler.leaf(part), F.lit(name)) for part, name in parts if name]).cast("array<string>")))
+
+
+def batch_issues(ds: Dataset, rules: Sequence[Rule], narrowed: Collection[str] = ()) -> DataFrame:
     """One row for each row of the table and rule that it violates; the table is read once.
 
     All conditions are columns of one projection. Only rows' order keys and issues are numbered, and the
-    rules that hold are exploded afterwards. Of a group rule the first issue of each group stays.
+    rules that hold are exploded afterwards. Of a group rule the first issue of each group stays. The rules of
+    ``narrowed`` name only the targets of the parts of an ``any`` that hold.
     """
     compiler, found, grouped = Compiler(ds), [], [r.id for r in rules if r.sensitivity == "group"]
     for rule in rules:
         compiler.presence = wants_presence(rule.conditions, rule.rule_type, rule.sensitivity)
         mask = compiler.tree(rule.conditions)
         names = reported_variables(ds, rule)
-        said = {"rule_id": F.lit(rule.id), "variables": F.array(*map(F.lit, names)).cast("array<string>"), "message": F.lit(rule.message)}
+        plain_any = isinstance(rule.conditions, AnyOf) and all(isinstance(part, Leaf) for part in rule.conditions.parts)
+        shown = _failing(compiler, rule) if rule.id in narrowed and plain_any else F.array(*map(F.lit, names)).cast("array<string>")
+        said = {"rule_id": F.lit(rule.id), "variables": shown, "message": F.lit(rule.message)}
         said["signature"] = _signature(ds, names) if rule.id in grouped else F.lit(None).cast("array<string>")
         found.append(F.when(mask, F.struct(*[c.alias(n) for n, c in said.items()])))
     issues = F.array_compact(F.array(*found)).alias("issues")

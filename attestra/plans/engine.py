@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions.positions import checkpointed
-from attestra.model import All, AnyOf, Condition, Dataset, Leaf, Not, NoValue, Result, Rule, RuleError, Terms, Values, leaves
+from attestra.model import ORD, All, AnyOf, Condition, Dataset, Leaf, MissingColumn, Not, NoValue, Result, Rule, RuleError, Terms, Values, leaves
 from attestra.operators import joins, operations
 from attestra.plans.batch import ISSUE_COLUMNS, batch_issues
 from attestra.plans.matching import matched
@@ -93,14 +93,29 @@ def _counts_only(rule: Rule) -> bool:
     return rule.sensitivity == "dataset" and any(counted(s) == "variable_count" or (counted(s) == "record_count" and not operations.first_of(s, *operations.BY)) for s in rule.operations)
 
 
-def rule_issues(rule: Rule, spark: SparkSession, datasets: Sequence[Dataset], knowledge: Knowledge) -> list[tuple[Dataset, DataFrame]]:
-    """The rule's issues on each of its tables, lazily; a table that lacks a column is left out if there are others."""
+#: Columns of issues as SQL types.
+ISSUES = "rule_id string, dataset string, domain string, row long, variables array<string>, message string, usubjid string, seq string"
+
+
+def _made_up(spark: SparkSession, rule: Rule, name: str, domain: str | None, row: int | None, variables: list[str]) -> DataFrame:
+    return spark.createDataFrame([(rule.id, name, domain, row, variables, rule.message, None, None)], ISSUES)
+
+
+def rule_issues(rule: Rule, spark: SparkSession, datasets: Sequence[Dataset], knowledge: Knowledge, absent: str = "", narrowed: Collection[str] = ()) -> list[tuple[Dataset, DataFrame]]:
+    """The rule's issues on each of its tables, lazily; a table that lacks a column is left out if there are others.
+
+    ``absent`` column: such a table has one issue, at row 0. ``absent`` table: where no table is in scope, the first
+    one that the scope names has one issue.
+    """
     rule = replace(rule, conditions=with_codelists(rule.conditions, knowledge))
     out, error = [], None
     for ds, joined in matched(rule, _tables(rule, spark, datasets, knowledge), datasets):
         try:
-            issues = batch_issues(operated(rule, joined, datasets, knowledge), [rule])
+            issues = batch_issues(operated(rule, joined, datasets, knowledge), [rule], narrowed)
         except RuleError as e:
+            if absent == "column" and isinstance(e, MissingColumn):
+                out.append((ds, _made_up(spark, rule, ds.name, ds.domain, 0, [e.column])))
+                continue
             error = e
             if e.reason != "missing_column":
                 raise
@@ -108,18 +123,22 @@ def rule_issues(rule: Rule, spark: SparkSession, datasets: Sequence[Dataset], kn
         out.append((ds, once_for_dataset(issues) if _counts_only(rule) else issues))
     if not out and error is not None:
         raise error
+    named = operations.words(rule.domains, "Include", "include") if isinstance(rule.domains, dict) else []
+    if not out and absent == "table" and named:
+        out.append((Dataset(named[0], spark.createDataFrame([], f"{ORD} long"), named[0]), _made_up(spark, rule, named[0], named[0], None, [])))
     return out
 
 
 def validate(
-    spark: SparkSession, rules: Sequence[Rule], datasets: Sequence[Dataset], knowledge: Knowledge | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (), standard: str | None = None, version: str | None = None, hooks: dict[str, Any] | None = None
+    spark: SparkSession, rules: Sequence[Rule], datasets: Sequence[Dataset], knowledge: Knowledge | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (), standard: str | None = None, version: str | None = None, hooks: dict[str, Any] | None = None, absent: dict[str, str] | None = None, narrowed: Collection[str] = ()
 ) -> Report:
     """Runs the rules and counts their issues with one job for each batch of rules that share a table.
 
     Rules that need nothing but one table's rows go through one scan together. ``hooks`` may give a
-    function of the issues DataFrame for a rule's id.
+    function of the issues DataFrame for a rule's id; ``absent`` says by rule id whether a missing column or table is an
+    issue, and ``narrowed`` lists rules that name only the targets that fail (see ``rule_issues``, ``batch_issues``).
     """
-    knowledge, hooks = knowledge or Knowledge(), hooks or {}
+    knowledge, hooks, absent = knowledge or Knowledge(), hooks or {}, absent or {}
     chosen, results = select_rules(rules, include, exclude)
     chosen, outside = for_standard(chosen, standard, version, asked_for=bool(include))
     results += outside
@@ -132,7 +151,7 @@ def validate(
         if reason:
             results.append(Result(rule.id, "", "skipped", rule.message, skip_reason=reason))
             continue
-        plain = rule.rule_type == "record_data" and rule.sensitivity == "record" and not rule.operations and not rule.match_datasets and rule.id not in hooks
+        plain = rule.rule_type == "record_data" and rule.sensitivity == "record" and not rule.operations and not rule.match_datasets and not (rule.id in hooks or rule.id in absent or rule.id in narrowed)
         if plain and all(not isinstance(leaf.comparator, NoValue) or "contained_by" not in leaf.operator for leaf in leaves(rule.conditions)):
             tables = [d for d in datasets if in_scope(rule, d)]
             fits = [d for d in tables if all(d.column(leaf.target) for leaf in leaves(rule.conditions))]
@@ -142,7 +161,7 @@ def validate(
                     ran.append((rule, d.name))
                 continue
         try:
-            found = rule_issues(rule, spark, datasets, knowledge)
+            found = rule_issues(rule, spark, datasets, knowledge, absent.get(rule.id, ""), narrowed)
         except RuleError as error:
             results.append(Result(rule.id, "", "skipped", str(error), skip_reason=error.reason))
             continue
@@ -163,7 +182,7 @@ def validate(
                         ran.remove((rule, name))
                         results.append(Result(rule.id, name, "skipped", str(error), skip_reason=error.reason))
     shape = [F.col(c).cast("array<string>" if c == "variables" else "long" if c == "row" else "string").alias(c) for c in ISSUE_COLUMNS]
-    empty = spark.createDataFrame([], "rule_id string, dataset string, domain string, row long, variables array<string>, message string, usubjid string, seq string")
+    empty = spark.createDataFrame([], ISSUES)
     issues = checkpointed(reduce(DataFrame.unionByName, [f.select(*shape) for f in frames], empty))  # counted, reported and shown: found once
     counts = {(r["rule_id"], r["dataset"]): r["count"] for r in issues.groupBy("rule_id", "dataset").count().collect()}  # one row for each rule and table
     for rule, name in ran:

@@ -45,6 +45,15 @@ def repeated(issues: DataFrame, times: int) -> DataFrame:
     return issues.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(int(times))))).drop("__k")
 
 
+def fixed_variables(issues: DataFrame, *names: str) -> DataFrame:
+    """One issue for each of ``names``, in place of the variables found."""
+    return issues.withColumn("variables", F.explode(F.array(*[F.array(F.lit(n)) for n in names])))
+
+
+def at_row(issues: DataFrame, row: int) -> DataFrame:
+    return issues.withColumn("row", F.lit(int(row)).cast("long"))
+
+
 def shifted(issues: DataFrame, by: int) -> DataFrame:
     return issues.withColumn("row", F.col("row") + int(by))
 
@@ -57,7 +66,7 @@ def without_variable(issues: DataFrame, name: str) -> DataFrame:
     return issues.withColumn("variables", F.array_remove("variables", name))
 
 
-HOOKS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (one_per_variable, without_locators, once_for_dataset, first_row_only, repeated, shifted, with_variable, without_variable)}
+HOOKS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (one_per_variable, without_locators, once_for_dataset, first_row_only, fixed_variables, at_row, repeated, shifted, with_variable, without_variable)}
 
 
 def from_manifest(manifest: dict[str, Sequence[Any]]) -> dict[str, Callable[[DataFrame], DataFrame]]:

@@ -93,6 +93,19 @@ def test_include_and_hooks(spark, study):
     assert validate(spark, [], study).results == []
 
 
+def test_absent_columns_and_tables_and_narrowed_variables(spark, study):
+    rules = [
+        rule("A1", {"name": "NOWHERE", "operator": "equal_to", "value": 1}, Scope={"Domains": {"Include": ["AE"]}}),
+        rule("A2", {"name": "X", "operator": "equal_to", "value": 1}, Scope={"Domains": {"Include": ["ZZ"]}}),
+        rule("A3", {"any": [{"name": "AEVAL", "operator": "greater_than", "value": 8}, {"name": "AESEQ", "operator": "equal_to", "value": 1}]}, Scope={"Domains": {"Include": ["AE"]}}),
+    ]
+    got = validate(spark, rules, study, absent={"A1": "column", "A2": "table"}, narrowed=["A3"])
+    rows = sorted((r["rule_id"], r["dataset"], r["row"] or 0, r["variables"]) for r in got.issues.collect())
+    assert rows == [("A1", "AE", 0, ["NOWHERE"]), ("A2", "ZZ", 0, []), ("A3", "AE", 1, ["AESEQ"]), ("A3", "AE", 2, ["AEVAL"]), ("A3", "AE", 3, ["AESEQ"]), ("A3", "AE", 4, ["AESEQ"])]
+    plain = validate(spark, rules, study)
+    assert {(r.rule_id, r.skip_reason) for r in plain.results if r.status == "skipped"} == {("A1", "missing_column"), ("A2", "no_dataset")}
+
+
 def test_command_line(tmp_path):
     (tmp_path / "ae.csv").write_text("USUBJID,AESEV\ns1,MILD\ns2,BAD\n")
     (tmp_path / "r.json").write_text(json.dumps({"Core": {"Id": "C1"}, "Rule Type": "Record Data", "Check": {"name": "AESEV", "operator": "is_not_contained_by", "value": ["MILD"]}, "Outcome": {"Message": "m"}}))
