@@ -180,7 +180,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     key = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")}
     marks = materialize(marks_of(docs), "marks")
     firsts = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text")).alias("first"), *[F.any_value(n).alias(n) for n in NAMES])
-    distinct = materialize(firsts, "distinct")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = materialize(firsts.repartition(parts, "node"), "distinct")  # few bytes that become many rows: not in few tasks
     roots = linked_sets(docs, distinct)
     of_fp = distinct.join(roots.withColumnRenamed("id", "node"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
     keep = of_fp.select(F.col("first.doc_id").alias("__id"), F.col("first.__text").alias("__text"))
