@@ -469,7 +469,8 @@ def score(docs: DataFrame, held_out: Column, ranked_share: float = RANKED_SHARE)
 
     tables = words.select("bucket", "keys", "counts").unionByName(weights, allowMissingColumns=True)
     of_words = encoded.select("chunk", "rare").mapInArrow(_asked_words(buckets), "chunk long, bucket int, keys binary")
-    of_words = of_words.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(_answered_words, ANSWERS)
+    of_words = materialize(of_words.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(_answered_words, ANSWERS), "answers")
+    discard(words, weights)
     answers = counted.where(F.col("kind") == ANSWER).select("chunk", "v", "w", "counts").unionByName(of_words, allowMissingColumns=True)
     scored = encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored(shared, model, start), SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
