@@ -121,9 +121,10 @@ def test_chat_round_trip(spark):
     got = {r["conv_id"]: r for r in chat.read_chats(made).collect()}
     for c in {t[0] for t in turns}:
         mine = sorted(((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in turns if t[0] == c))
+        mine = mine[:1] if c is None else mine  # the two rows without an id are conversations of their own
         if c is None or c < 100:
             assert sorted((t["role"], t["text"]) for t in got[c]["turns"]) == sorted((r, x) for *_, r, x in mine)
-        assert len(got[c]["turns"]) == (1 if c is None else len(mine))
+        assert len(got[c]["turns"]) == len(mine)
         assert got[c]["loss_text"] == "".join(t["text"] for t in got[c]["turns"] if t["role"] == "assistant")
         assert got[c]["formatted"].count("<|im_start|>") == got[c]["formatted"].count("<|im_end|>\n")
     merged = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
