@@ -1,4 +1,4 @@
-"""Command line: ``python -m attestra.cli validate --rules DIR --data DIR``."""
+"""Command line: ``python -m attestra.cli validate --rules DIR --data DIR``, and the catalog tools."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 from attestra import reports
+from attestra.catalog import rules as catalog
 from attestra.plans.engine import Knowledge, validate
 from attestra.plans.rules import load_rules
 from attestra.session import local_session
@@ -16,7 +17,15 @@ from attestra.sources.transport import read_transport
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="attestra")
-    run = top.add_subparsers(dest="command", required=True).add_parser("validate", help="run rules on tables")
+    commands = top.add_subparsers(dest="command", required=True)
+    mapped = commands.add_parser("map", help="the best match of each catalog rule in another catalog, and how far each can be converted")
+    mapped.add_argument("--catalog", required=True, help="CSV, or an XML configuration")
+    mapped.add_argument("--other", required=True)
+    mapped.add_argument("--output", required=True, help="folder of CSV parts")
+    gathered = commands.add_parser("gather", help="all rules of a tree of JSON and YAML files and archives")
+    gathered.add_argument("--rules", required=True)
+    gathered.add_argument("--output", required=True, help="folder of Parquet parts")
+    run = commands.add_parser("validate", help="run rules on tables")
     run.add_argument("--rules", nargs="+", required=True)
     run.add_argument("--data", nargs="+", required=True, help="folders, or CSV, JSON, Parquet and transport files")
     run.add_argument("--include", nargs="*", default=[])
@@ -36,6 +45,14 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "map":
+        spark = local_session()
+        ours, theirs = ((catalog.read_config if p.lower().endswith(".xml") else catalog.read_catalog)(spark, p) for p in (args.catalog, args.other))
+        catalog.classify(ours, catalog.map_rules(ours, theirs)).write.mode("overwrite").csv(args.output, header=True)
+        return 0
+    if args.command == "gather":
+        catalog.read_rule_files(local_session(), args.rules).write.mode("overwrite").parquet(args.output)
+        return 0
     if args.include and args.exclude:
         print("ids can be included or excluded, not both", file=sys.stderr)
         return 2

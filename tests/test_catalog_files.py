@@ -6,6 +6,7 @@ import zipfile
 import pytest
 
 from attestra.catalog import rules
+from attestra.cli import main
 from attestra.harness import score
 
 CONFIG = """<Config name="C" version="1"><Standard Name="SDTM-IG" version="3.4"><Rules>
@@ -40,6 +41,17 @@ def test_rule_files(spark, tmp_path):
     assert {r["rule_id"]: r["exported"] for r in done.collect()} == {"A": False, "B": True} and [p.name for p in (tmp_path / "out").glob("rule_id=*")] == ["rule_id=B"]
 
 
+def test_command_line(spark, tmp_path):
+    (tmp_path / "c.xml").write_text(CONFIG)
+    (tmp_path / "o.csv").write_text("id,domain,message,target,standard\nY1,AE,severity is known,AESEV,SDTM-IG\n")
+    assert main(["map", "--catalog", str(tmp_path / "c.xml"), "--other", str(tmp_path / "o.csv"), "--output", str(tmp_path / "map")]) == 0
+    got = {r["rule_id"]: (r["other_id"], r["kind"]) for r in spark.read.csv(str(tmp_path / "map"), header=True).collect()}
+    assert got["SD1"][0] == "Y1" and got["SD2"] == (None, "manual")
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules/a.json").write_text('{"Core": {"Id": "A"}}')
+    assert main(["gather", "--rules", str(tmp_path / "rules"), "--output", str(tmp_path / "all")]) == 0 and spark.read.parquet(str(tmp_path / "all")).count() == 1
+
+
 def test_classes_of_cases(spark):
     shape = "rule_id string, case_id string, n_expected long, n_found long, skipped boolean, n_described long, n_matched long, want string"
     rows = [
